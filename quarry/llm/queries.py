@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, mixing
+from quarry.llm import bpe, chat, mixing, urlfilter
 from quarry.llm.common import table
 
 
@@ -14,13 +14,21 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.word_totals(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op10_bpe": op10_bpe}
+    return {"op1_mix": op1_mix, "op4_chat": op4_chat, "op5_urls": op5_urls, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE_SQL}
+    return {"op1_mix": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_urls": urlfilter.ORACLE_SQL}
