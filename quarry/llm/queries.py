@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, mixing, urlfilter
+from quarry.llm import bpe, chat, linededup, mixing, urlfilter
 from quarry.llm.common import table
 
 
@@ -22,13 +22,17 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op4_chat": op4_chat, "op5_urls": op5_urls, "op10_bpe": op10_bpe}
+    return {"op1_mix": op1_mix, "op4_chat": op4_chat, "op5_urls": op5_urls, "op6_lines": op6_lines, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_urls": urlfilter.ORACLE_SQL}
+    return {"op1_mix": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_urls": urlfilter.ORACLE_SQL, "op6_lines": linededup.ORACLE_SQL}
