@@ -18,7 +18,6 @@ import re
 import struct
 from functools import cache as memo
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -70,7 +69,6 @@ class Vocabulary:
         self._left: dict[int, tuple] = {}
         self._apart: dict[int, bool] = {}
         self.whole: dict[str, int] = {}
-        self.automaton = ahocorasick.Automaton()
         reachable = set()
         made = sorted((t for t in ids.values()), key=lambda t: self.parts.get(t, (0, 0, -1))[2])
         text_of = {t: s for s, t in ids.items()}
@@ -83,8 +81,47 @@ class Vocabulary:
                 continue
             reachable.add(t)
             self.whole[text_of[t]] = t
-            self.automaton.add_word(text_of[t], (t, len(text_of[t])))
-        self.automaton.make_automaton()
+        self.build_automaton()
+
+    def build_automaton(self) -> None:
+        """A trie of the tokens with suffix links. ends[state]: the tokens that are suffixes of
+        what has been read, longest first; moves[state] also gets the moves by suffix links, as
+        they are first used."""
+        self.moves: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
+        for letters, t in self.whole.items():
+            at = 0
+            for c in letters:
+                to = self.moves[at].get(c)
+                if to is None:
+                    to = self.moves[at][c] = len(self.moves)
+                    self.moves.append({})
+                    own.append(None)
+                at = to
+            own[at] = (t, len(letters))
+        self.link, self.ends = [0] * len(own), [()] * len(own)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for c, to in self.moves[at].items():
+                    if at:
+                        back = self.link[at]
+                        while back and c not in self.moves[back]:
+                            back = self.link[back]
+                        self.link[to] = self.moves[back].get(c, 0)
+                    rest = self.ends[self.link[to]]
+                    self.ends[to] = (own[to], *rest) if own[to] else rest
+                    below.append(to)
+            level = below
+
+    def move(self, at: int, c: str) -> int:
+        """A move that the trie itself doesn't have."""
+        back = at
+        while back and c not in self.moves[back]:
+            back = self.link[back]
+        to = self.moves[at][c] = self.moves[back].get(c, 0)
+        return to
 
     def edge(self, token: int, side: int) -> tuple:
         """The tokens that stand at one edge (0 left, 1 right) of a token while it is being
@@ -133,18 +170,23 @@ class Vocabulary:
         if (t := self.whole.get(letters)) is not None:
             return [t]
         last = [-1] * (len(letters) + 1)
-        known = self._apart.get
-        for end, (t, size) in self.automaton.iter(letters):
+        known, moves, ends = self._apart.get, self.moves, self.ends
+        state = end = 0
+        for c in letters:
             end += 1
-            if last[end] < 0:
+            to = moves[state].get(c)
+            state = self.move(state, c) if to is None else to
+            for t, size in ends[state]:
                 if size == end:
                     last[end] = t
-                elif (before := last[end - size]) >= 0:
+                    break
+                if (before := last[end - size]) >= 0:
                     fits = known(before << 16 | t)
                     if fits is None:
                         fits = self.fits(before, t)
                     if fits:
                         last[end] = t
+                        break
         out, at = [], len(letters)
         while at:
             t = last[at]
@@ -171,6 +213,8 @@ class Encoder:
         self.special_names = names
         self.tokens: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {c: self.token(c) for c in ".,;:!?"}
         self._library = None
         self._spec = spec
 
@@ -184,40 +228,65 @@ class Encoder:
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
     def token(self, pretoken: str) -> bytes:
-        packed = self.tokens.get(pretoken)
+        """Ids of one pre-token."""
+        if pretoken.isascii() and pretoken.isprintable():
+            letters = pretoken.replace(" ", self.space)
+        else:
+            letters = pretoken.encode().decode("latin-1").translate(self.letters)
+        return pack(self.vocabulary.encode_letters(letters))
+
+    def keep(self, piece: str, packed: bytes) -> bytes:
+        """Remember the ids of a space and a piece; the older half goes when the newer is full,
+        but for what has been used meanwhile."""
+        if len(piece) <= 64:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = packed
+        return packed
+
+    def word(self, word: str) -> bytes:
+        """Ids of a space and letters."""
+        packed = self.pieces.get(word)
         if packed is None:
-            if len(self.tokens) > CACHE_ENTRIES:
-                self.tokens.clear()
-            if pretoken.isascii() and pretoken.isprintable():
-                letters = pretoken.replace(" ", self.space)
-            else:
-                letters = pretoken.encode().decode("latin-1").translate(self.letters)
-            packed = pack(self.vocabulary.encode_letters(letters))
-            if len(pretoken) <= 64:
-                self.tokens[pretoken] = packed
+            packed = self.older.get(word)
+            packed = self.keep(word, self.token(" " + word) if packed is None else packed)
         return packed
 
     def spaced(self, piece: str) -> bytes:
         """Ids of a space and a piece; a word, or a word and a mark, needs no splitting."""
         if piece.isalpha() and max(piece) < _COMMON_END:
-            return self.token(" " + piece)
-        if piece[-1] in ".,;:!?" and (word := piece[:-1]).isalpha() and max(word) < _COMMON_END:
-            return self.token(" " + word) + self.token(piece[-1])
-        return self.plain(" " + piece)
+            return self.word(piece)
+        if (mark := self.marks.get(piece[-1])) is not None and (word := piece[:-1]).isalpha() and max(word) < _COMMON_END:
+            return self.word(word) + mark
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self.plain(" " + piece)
+        return packed if piece[-1].isspace() else self.keep(piece, packed)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.token, self.pretokens(text)))
+        out = []
+        for x in self.pretokens(text):
+            if x[0] == " " and (word := x[1:]).isalpha() and max(word) < _COMMON_END:
+                out.append(self.word(word))
+            else:
+                packed = self.tokens.get(x)
+                if packed is None:
+                    packed = self.token(x)
+                    if len(x) <= 64:
+                        if len(self.tokens) >= CACHE_ENTRIES:
+                            self.tokens.clear()
+                        self.tokens[x] = packed
+                out.append(packed)
+        return b"".join(out)
 
     def part(self, text: str) -> bytes:
         """Ids of a text without special strings. A space after a non-space always starts a
         pre-token, so the text falls into pieces there; with other spacing it is split whole."""
         pieces = text.split(" ")
-        if len(pieces) == 1:
+        if len(pieces) == 1 or (pieces[0] and pieces[0][-1].isspace()):
             return self.plain(text)
         found = list(map(self.pieces.get, pieces))
         found[0] = self.plain(pieces[0])
-        if pieces[0] and pieces[0][-1].isspace():
-            return self.plain(text)
         if None in found:
             final = len(pieces) - 1
             for i, packed in enumerate(found):
@@ -225,12 +294,7 @@ class Encoder:
                     piece = pieces[i]
                     if not piece or (piece[-1].isspace() and i < final):
                         return self.plain(text)
-                    packed = self.spaced(piece)
-                    if not piece[-1].isspace() and len(piece) <= 64:
-                        if len(self.pieces) > CACHE_ENTRIES:
-                            self.pieces.clear()
-                        self.pieces[piece] = packed
-                    found[i] = packed
+                    found[i] = self.spaced(piece)
         return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
