@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, linededup, mixing, urlfilter
+from quarry.llm import bpe, chat, langid, linededup, mixing, ngramjoin, urlfilter
 from quarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.word_totals(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -26,12 +30,16 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op4_chat": op4_chat, "op5_urls": op5_urls, "op6_lines": op6_lines, "op10_bpe": op10_bpe}
+    return {"op1_mix": op1_mix, "op3_language": op3_language, "op4_chat": op4_chat, "op5_urls": op5_urls, "op6_lines": op6_lines, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
