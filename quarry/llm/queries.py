@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, langid, linededup, mixing, ngramjoin, urlfilter
+from quarry.llm import ann, bpe, chat, langid, linededup, maxscore, mixing, ngramjoin, urlfilter
 from quarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.word_totals(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.matches(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_language": op3_language, "op4_chat": op4_chat, "op5_urls": op5_urls, "op6_lines": op6_lines, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
+    return {"op1_mix": op1_mix, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_chat": op4_chat, "op5_urls": op5_urls, "op6_lines": op6_lines, "op7_top_k": op7_top_k, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_urls": urlfilter.ORACLE_SQL, "op6_lines": linededup.ORACLE_SQL}
+    return {"op1_mix": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_urls": urlfilter.ORACLE_SQL, "op6_lines": linededup.ORACLE_SQL, "op7_top_k": maxscore.ORACLE_SQL}
