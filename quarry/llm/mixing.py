@@ -29,7 +29,7 @@ from quarry.llm.common import materialize, word_count
 
 #: Documents in a block on average, and words in an output shard.
 BLOCK_DOCS = 256
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 24
 KEY_BITS = 60
 GROUP_BITS = 10
 
@@ -109,11 +109,11 @@ def hypergeometric(u: Column, total: Column, marked: Column, draws: Column) -> C
     total, marked, draws = (x.cast("long") for x in (total, marked, draws))
     mode = F.floor((draws + 1) * (marked + 1).cast("double") / (total + 2)).cast("long")
     low, high = F.greatest(F.lit(0).cast("long"), draws - (total - marked)), F.least(draws, marked)
-    start = F.struct(u.alias("u"), F.least(F.greatest(mode, low), high).alias("m"), low.alias("low"), high.alias("high"), total.alias("N"), marked.alias("k"), draws.alias("n"))
+    start = F.struct(u.alias("u"), F.least(F.greatest(mode, low), high).alias("m"), low.alias("low"), high.alias("high"), total.alias("total"), marked.alias("marked"), draws.alias("draws"))
     f = _log_factorial
 
     def walk(s: Column) -> Column:
-        u, m, low, high, N, k, n = (s[c] for c in ("u", "m", "low", "high", "N", "k", "n"))
+        u, m, low, high, N, k, n = (s[c] for c in ("u", "m", "low", "high", "total", "marked", "draws"))
         p = F.exp(f(k) - f(m) - f(k - m) + f(N - k) - f(n - m) - f(N - k - n + m) - f(N) + f(n) + f(N - n))
         spread = F.sqrt(n.cast("double") * k / F.greatest(N, F.lit(1)) * (N - k) / F.greatest(N, F.lit(1)) * (N - n) / F.greatest(N - 1, F.lit(1)))
         steps = F.least(high - low, (12 * spread).cast("long") + 24)
@@ -157,14 +157,13 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
             return F.struct(a["node"].alias("node"), (a["rest"] - k).alias("rest"), (a["draws"] - x).alias("draws"), F.concat(a["out"], F.array(x)).alias("out"))
 
         start = F.struct(F.col("node").alias("node"), whole.alias("rest"), F.ceil(whole / 2).cast("long").alias("draws"), F.array().cast("array<long>").alias("out"))
-        # draws - x needs x once more: bind it by a one-element transform inside hypergeometric()
         left = F.aggregate("ks", start, draw, lambda a: a["out"])
         nodes = nodes.select("node", "ks", F.explode(F.array(F.struct(F.lit(0).alias("side"), left.alias("left")))).alias("h"))
         both = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.col("h.left").alias("ks")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("ks", F.col("h.left"), lambda k, x: k - x).alias("ks")),
         )
-        nodes = nodes.select(F.inline(both))
+        nodes = materialize(nodes.select(F.inline(both)))  # a row per node: each level is planned by itself
     leaf = nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.posexplode("ks").alias("ix", "n"))
     return leaf.filter("n > 0")
 
