@@ -32,6 +32,7 @@ BLOCK_DOCS = 256
 SHARD_WORDS = 1 << 24
 KEY_BITS = 60
 GROUP_BITS = 10
+FILL_ROUNDS = 4
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -68,7 +69,8 @@ def _block(key: Column, bits: Column) -> Column:
 
 
 def _boundary(keyed: DataFrame) -> DataFrame:
-    """Per source with a part pass: the key where it ends, and the document that fills its end best.
+    """Per source with a part pass: the key where it ends, and documents beyond it that fill the gap:
+    the largest that fits, FILL_ROUNDS - 1 times, then the one that comes closest.
 
     keyed: ix, key, size, block, rest. Two levels of running totals find the block in which the
     part pass ends; only the documents of that block are ordered.
@@ -89,10 +91,17 @@ def _boundary(keyed: DataFrame) -> DataFrame:
         F.first("block").alias("end_block"),
         (F.first("rest") - F.coalesce(F.max(F.when(~F.col("over"), F.col("total"))), F.first("start"))).alias("gap"),
     )
-    off = F.abs(F.col("size") - F.col("gap"))
-    fits = keyed.join(ends, "ix").filter((F.col("key") >= F.col("end_key")) & (off < F.col("gap")))
-    fit = fits.groupBy("ix").agg(F.min(F.struct(off.alias("off"), F.col("key").alias("fit_key"))).alias("fit"))
-    return ends.join(fit, "ix", "left").select("ix", "end_key", "end_block", F.col("fit.fit_key").alias("fit_key"))
+    state = materialize(ends.withColumn("fits", F.array().cast("array<long>")))
+    for turn in range(FILL_ROUNDS):
+        off = F.abs(F.col("size") - F.col("gap"))
+        closer = (F.col("size") <= F.col("gap")) if turn + 1 < FILL_ROUNDS else (off < F.col("gap"))
+        fits = keyed.join(state, "ix").filter((F.col("size") > 0) & (F.col("key") >= F.col("end_key")) & ~F.array_contains("fits", F.col("key")) & closer)
+        fit = fits.groupBy("ix").agg(F.min(F.struct(off.alias("off"), "key", "size")).alias("fit"))
+        state = state.join(fit, "ix", "left").withColumns(
+            {"gap": F.col("gap") - F.coalesce("fit.size", F.lit(0)), "fits": F.when(F.col("fit").isNull(), F.col("fits")).otherwise(F.concat("fits", F.array("fit.key")))}
+        )
+        state = materialize(state.drop("fit"))
+    return state.select("ix", "end_key", "end_block", "fits")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -215,7 +224,7 @@ def mix(
     copies = F.concat(
         F.slice(shards, F.lit(1), passes),
         F.when(F.col("key") < F.col("end_key"), F.slice(shards, passes + 1, F.lit(1))).otherwise(none),
-        F.when(F.col("key") == F.col("fit_key"), F.array("end_shard")).otherwise(none),
+        F.when(F.array_contains("fits", F.col("key")), F.array("end_shard")).otherwise(none),
     )
     return rows.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
@@ -236,7 +245,7 @@ def word_totals(docs: DataFrame) -> DataFrame:
 
 
 #: The same in DuckDB SQL: the blocks and the tree deal out copies but don't change their number.
-ORACLE_SQL = r"""
+_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k
@@ -262,14 +271,31 @@ p AS (
          sum(size) OVER (PARTITION BY d.source ORDER BY k RANGE UNBOUNDED PRECEDING) AS total
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, target - passes * source_size AS rest FROM p),
-e AS (
+e0 AS (
   SELECT source, min(rest) - coalesce(max(total) FILTER (total <= rest), 0) AS gap
   FROM q WHERE rest > 0 GROUP BY source),
-b AS (
-  SELECT q.source, arg_min(k, (abs(size - gap), k)) AS fit
-  FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source
-  WHERE total > rest AND abs(size - gap) < gap GROUP BY q.source)
+{ROUNDS}
+b AS (SELECT source, {FITS} AS fits FROM e{LAST})
 SELECT q.doc_id, q.size, q.source_size, q.target,
-       (q.size * (passes + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END + CASE WHEN k = fit THEN 1 ELSE 0 END))::BIGINT AS taken
+       (q.size * (passes + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END + CASE WHEN list_contains(fits, k) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source
 """
+
+
+def _oracle() -> str:
+    """ORACLE_SQL with a pair of tables for each round of filling."""
+    rounds = ""
+    for i in range(1, FILL_ROUNDS + 1):
+        close = "size <= gap" if i < FILL_ROUNDS else "abs(size - gap) < gap"
+        unused = "".join(f" AND (k{j} IS NULL OR k <> k{j})" for j in range(1, i))
+        rounds += f"""f{i} AS (
+  SELECT q.source, arg_min(k, (abs(size - gap), k)) AS k{i}, arg_min(size, (abs(size - gap), k)) AS s{i}
+  FROM q JOIN e{i - 1} e ON q.source IS NOT DISTINCT FROM e.source
+  WHERE rest > 0 AND total > rest AND size > 0 AND {close}{unused} GROUP BY q.source),
+e{i} AS (SELECT e.* EXCLUDE (gap), gap - coalesce(s{i}, 0) AS gap, k{i} FROM e{i - 1} e LEFT JOIN f{i} f ON e.source IS NOT DISTINCT FROM f.source),
+"""
+    fits = "[" + ", ".join(f"k{i}" for i in range(1, FILL_ROUNDS + 1)) + "]"
+    return _SQL.replace("{ROUNDS}", rounds).replace("{FITS}", fits).replace("{LAST}", str(FILL_ROUNDS))
+
+
+ORACLE_SQL = _oracle()
