@@ -88,7 +88,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     place = np.arange(len(kept)) - np.repeat(first, sizes)
     values = _BYTE[kept] * _PLACE[place & 255]
     if sizes.max() > 256:
-        values = _mix(values + (place >> 8).astype(np.uint64))
+        far = place > 255
+        values[far] = _mix(values[far] + (place[far] >> 8).astype(np.uint64))
     return _mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
 
 
