@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.htmltrees import Boosted, boost, decode, features, kept_text, parse
 
-PAGES_LEARNED = 900
+PAGES_LEARNED = 1000
 SEED = 17
 _MARK = "data-kept"
 
@@ -63,9 +63,9 @@ class _Writer:
             out.append(f"<p{mark}>{text}" + ("" if kind < 0.12 else "</p>"))
         return "".join(out)
 
-    def boilerplate(self) -> str:
+    def boilerplate(self, kinds: tuple[str, ...] = tuple("nav menu header footer aside related ad ad comments comments cookie newsletter form share meta".split())) -> str:
         r = self.rng
-        kind = r.choice("nav menu header footer aside related ad ad comments comments cookie newsletter form share meta".split())
+        kind = r.choice(kinds)
         tag = lambda *tags: r.choice(tags)
         if kind == "nav":
             t = tag("nav", "nav", "div")
@@ -91,7 +91,8 @@ class _Writer:
             return f"<{t}{self.attrs('comments comment-list responses disqus discussion', 1)}>" + r.choice(["", f"<h3>{self.words(1, 3)}</h3>", "<h2>Comments</h2>"]) + "".join(one() for _ in range(r.randint(1, 6))) + f"</{t}>"
         if kind == "cookie":
             t = tag("div", "div", "section", "dialog", "aside")
-            return f"<{t}{self.attrs('cookie cookies consent notice gdpr alert popup modal', 1)}><p>{self.words(5, 45)}</p>" + r.choice(["", "<button>OK</button>"]) + f"</{t}>"
+            said = self.words(4, 45)
+            return f"<{t}{self.attrs('cookie cookies consent notice notice gdpr alert popup modal', 1)}>" + r.choice([f"<p>{said}</p>", said]) + r.choice(["", "<button>OK</button>"]) + f"</{t}>"
         if kind == "newsletter":
             return f"<div{self.attrs('newsletter subscribe signup', 1)}><p>{self.words(4, 25)}</p><form><label>{self.words(1, 3)}</label><input><button>{self.words(1, 2)}</button></form></div>"
         if kind == "form":
@@ -123,11 +124,13 @@ class _Writer:
                 out.append(f"<table{k}><tr{k}><td{k}>{self.words(1, 8)}</td><td{k}>{self.words(1, 8)}</td></tr></table>")
             if r.random() < 0.06:
                 out.append(f"<div{k}>{self.words(5, 60)}</div>")
-            if r.random() < 0.2:
-                out.append(self.boilerplate())
+            if r.random() < 0.3:
+                out.append(self.boilerplate(("ad", "cookie", "cookie", "newsletter", "share", "form", "related", "comments", "nav")))
         body = "".join(out)
         if r.random() < 0.15:
             body = f"<div{k}{self.attrs('inner text row', 0.4)}>{body}</div>"
+        if r.random() < 0.1:
+            return body  # straight in the body
         t = r.choice("article article article main main section div div div".split())
         names = "article content post entry story main body text"
         body = f"<{t}{k}{self.attrs(names, 0.85 if t == 'div' else 0.3)}>{body}</{t}>"

@@ -281,7 +281,7 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, most_bins: int = 32, ridge: float = 4.0) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, most_bins: int = 32, ridge: float = 4.0) -> Boosted:
     """Fit by second-order boosting of the logistic loss, splits from histograms."""
     edges = []
     for column in x.T:
