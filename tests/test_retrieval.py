@@ -33,6 +33,17 @@ def test_bm25_equals_plain_calculation(spark):
         assert got.get(k, 0) == pytest.approx(want)
 
 
+def test_stored_index_gives_the_same(spark, tmp_path):
+    chunks = schemas.chunks(spark, SMALL)
+    asked = spark.createDataFrame([(1, "the nation of and"), (2, "und heit")], "query_id long, query string")
+    index = bm25.build(chunks)
+    rows = lambda i: sorted((r.query_id, r.id, round(r.bm25_score, 9)) for r in bm25.search(i, asked, 10).collect())
+    stored = index.save(str(tmp_path / "index"), 8)
+    assert rows(stored) == rows(index) == rows(bm25.load(spark, str(tmp_path / "index")))
+    plan = bm25.scores(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
 def test_plans_of_scoring_have_no_python(spark):
     for name in ("bm25_topk", "dense_topk", "hybrid_topk", "mmr_select"):
         plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
