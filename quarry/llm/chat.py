@@ -164,9 +164,9 @@ def digests(turns: DataFrame, template: Template = Template()) -> DataFrame:
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """turns and conversation -1, whose texts hold other templates' control strings."""
-    spark = turns.sparkSession
-    said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = turns.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 
