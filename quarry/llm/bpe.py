@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bounded_batches
+
 #: Fixed value: the public byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this code point (before the Armenian letters) the classes of PATTERN agree between Unicode versions.
 _COMMON_END = "\u0530"
 _NEVER = 1 << 60
 #: Entries that a worker's caches hold before they start anew; a bound on memory, not on work.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 @memo
@@ -160,7 +162,7 @@ class Vocabulary:
 
     def fits(self, before: int, t: int) -> bool:
         """Whether t can follow `before` in an encoding; kept for the next time."""
-        if len(self._apart) > 4 * CACHE_ENTRIES:
+        if len(self._apart) > 2 * CACHE_ENTRIES:
             self._apart.clear()
         out = self._apart[before << 16 | t] = not self.crossed(before, t)
         return out
@@ -323,6 +325,7 @@ def _encoder(spec) -> Encoder:
 
 def _spec(spark, vocabulary_path: str):
     """The vocabulary file (a few MB, fixed by the tokenizer, not by the data), sent to workers."""
+    bounded_batches(spark)
     with open(vocabulary_path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

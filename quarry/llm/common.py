@@ -45,6 +45,20 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes in a batch that goes to a Python worker, for operators that read whole texts.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers have BATCH_ROWS rows and BATCH_BYTES bytes at most, so that two
+    workers and their buffers fit beside the heap; smaller settings of the session stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever extra columns it brings."""
     taken = {c.lower() for c in df.columns}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bounded_batches
 from quarry.llm.htmltrees import Boosted, boost, decode, features, kept_text, parse
 
 PAGES_LEARNED = 1000
@@ -188,6 +189,7 @@ def extract_texts(sources: list[str | None], model: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, html: str = "html", to: str = "main_text", pages_learned: int = PAGES_LEARNED) -> DataFrame:
     """pages with the main text of their html."""
+    bounded_batches(pages.sparkSession)
     model = trained(pages_learned)
 
     @F.arrow_udf("string")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bounded_batches
+
 N = 3
 DIM = 512
 SYMBOLS = 64
@@ -127,6 +129,7 @@ def learnable(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, dim: int = DIM, seed: int = SEED) -> Profiles:
     """Profiles from text and lang of docs (doc_id, text, lang)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -159,6 +162,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, dim: int = DIM, seed: int =
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", to: str = "language") -> DataFrame:
     """docs with a struct of lang and score."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_name, materialize
+from quarry.llm.common import bounded_batches, fresh_name, materialize
 
 MIN_CHARS = 10
 #: Fixed value: the white space of the contract.
@@ -154,6 +154,7 @@ class LineState:
 
 def postings(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """(shard, key, doc_id), once for each row and key."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<binary>")
     def keys(texts: pa.Array) -> pa.Array:
@@ -245,6 +246,7 @@ def delete(state: LineState, doc_ids: DataFrame) -> LineState:
 def rewrite(docs: DataFrame, state: LineState, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its text less the lines whose keys other, smaller documents hold too, and `lines`:
     struct of n_lines (before) and n_dropped. Needs doc_id."""
+    bounded_batches(docs.sparkSession)
     shared = state.counts.filter("refs > 1").select("shard", "key", "owner")
     lost = state.postings.join(shared, ["shard", "key"]).filter("doc_id <> owner")
     name, own = fresh_name(docs, "lost"), fresh_name(docs, "lost_id")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_name, materialize
+from quarry.llm.common import bounded_batches, fresh_name, materialize
 from quarry.llm.components import connected_components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -324,6 +324,7 @@ def _verify(n: int, threshold: float):
 
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs with `similar`: struct of class_id and n_links. Needs doc_id and text."""
+    bounded_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = materialize(signatures(docs, bands, rows, n))
     same = signed.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
