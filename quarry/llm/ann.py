@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours with score-aware (anisotropic) product quantisation.
+"""Nearest neighbours with score-aware (anisotropic) product quantisation.
 
 A vector x is held as four-bit codes, one for each DIMS dimensions. The codebooks minimise not the
 plain quantisation error but one in which the part of the error that is parallel to x costs more
@@ -7,14 +7,16 @@ Euclidean distance is maximum inner product of (2x, -|x|^2) with (q, 1); the nor
 is, and the codes stand for x.
 
 Search: each task encodes its vectors and adds, for every query, the 16-entry table values of the
-codes; the `rerank` best of each task and query are kept, merged, and scored exactly in double
-precision on the original vectors.
+codes. A guess is off by at most |q| times the length of what the codes leave of x, so each vector
+has a score that it can't exceed. The `rerank` best guesses of a chunk are scored exactly, and then
+every other vector that can still come under the k-th distance so far, however many they are. A
+task thus gives its k nearest for certain, and the nearest of all tasks are the nearest of all.
 
 The index is fitted on a bounded sample (at most `sample` vectors, by a digest of vec_id); every
-vector is encoded. Recall is measured against brute force in the tests.
+vector is encoded. The fit decides how many vectors are scored exactly, not what is found.
 
 Defined results: null, empty, zero and non-finite vectors take no part; equal distances go to the smaller
-vec_id, also in the scan, so copies of one vector are found in the order of their ids; rows that
+vec_id, so copies of one vector are found in the order of their ids; rows that
 repeat a vec_id are candidates of their own; fewer candidates than k give all of them.
 """
 
@@ -26,12 +28,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import best, chunks, merge_best, same_length, scan, to_batch, usable
+from quarry.llm.blocks import best, chunks, same_length, scan, to_batch, usable
 
 CENTRES = 16
 DIMS = 1
 SAMPLE = 8192
+#: Guesses of a chunk that are scored exactly before the others are judged.
 RERANK = 192
+#: Queries whose guesses are in memory at a time.
+TURN = 256
+#: A query with more than this share of a chunk left to score gets one product with the whole chunk first.
+MANY = 1 / 16
 #: Inner products from this share of |x| |q| up are the ones that the weighting is for.
 THRESHOLD = 0.2
 
@@ -70,6 +77,10 @@ class Quantiser:
                 total = rest + error[:, p]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for, with the padding of the parts."""
+        return np.take_along_axis(self.books[None], codes[:, :, None, None].astype(int), 2).reshape(len(codes), -1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(queries, parts, CENTRES) inner products of the queries' parts with the centres."""
         return np.einsum("npd,pcd->npc", self._split(queries), self.books)
@@ -125,15 +136,78 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
     return fit(np.stack(picked["embedding"].to_numpy()))
 
 
+def distances(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, summed in the order of the dimensions so that copies have equal ones."""
+    total = np.zeros(len(x))
+    for p in range(x.shape[1]):
+        total += (x[:, p] - queries[:, p]) ** 2
+    return np.sqrt(total)
+
+
+def k_best(rows: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int):
+    """Of each row, the k smallest distances, ties to smaller ids; sorted by row."""
+    order = np.lexsort((ids, far, rows))
+    rows, ids, far = rows[order], ids[order], far[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[keep], far[keep]
+
+
+class Turn:
+    """The k nearest so far of a few queries; rows, ids and far are those of the queries, by row."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
+        self.query_ids, self.queries, self.k, self.rerank = query_ids, queries, k, max(rerank, k)
+        self.squares = (queries * queries).sum(1)
+        self.rows, self.ids, self.far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def floor(self) -> np.ndarray:
+        """The least <q, x> - |x|^2 / 2 that can come under the k-th distance, or tie with it, less rounding."""
+        ends = np.searchsorted(self.rows, np.arange(len(self.queries)), "right")
+        full = np.bincount(self.rows, minlength=len(self.queries)) >= self.k
+        worst = np.full(len(self.queries), np.inf)
+        worst[full] = self.far[ends[full] - 1] ** 2
+        slip = 8 * (self.queries.shape[1] + 8) * 2.0**-53
+        return (self.squares - worst) / 2 - slip * (self.squares + worst)
+
+    def score(self, ids: np.ndarray, x: np.ndarray, chosen: np.ndarray):
+        """Exact distances of the chosen (queries x vectors), block by block, into the best."""
+        rows, at = np.nonzero(chosen)
+        for i in range(0, len(rows), 1 << 16):
+            r, c = rows[i : i + (1 << 16)], at[i : i + (1 << 16)]
+            found = np.concatenate([self.rows, r]), np.concatenate([self.ids, ids[c]]), np.concatenate([self.far, distances(x[c], self.queries[r])])
+            self.rows, self.ids, self.far = k_best(*found, self.k)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, guess: np.ndarray, left: np.ndarray, size: np.ndarray):
+        """Vectors with their guesses (queries x vectors), |x - decoded| and |decoded|."""
+        half, norm = (x * x).sum(1) / 2, np.sqrt(self.squares)[:, None]
+        other = ids[None] != self.query_ids[:, None]
+        # what the codes leave out, and the rounding of the single-precision sums
+        reach = guess + norm * (left * (1 + 1e-6)) + (guess.dtype.type(2) ** -23 * (x.shape[1] + 8)) * (norm * size + half)
+        open_ = other & ~(reach < self.floor()[:, None])
+        if len(ids) > self.rerank:
+            first = np.zeros_like(open_)
+            guess = np.where(other, guess, -np.inf)
+            np.put_along_axis(first, np.argpartition(-guess, self.rerank - 1, axis=1)[:, : self.rerank], True, 1)
+            self.score(ids, x, first & open_)
+            open_ &= ~first & ~(reach < self.floor()[:, None])
+        many = open_.sum(1) > max(MANY * len(ids), self.k)
+        if many.any():
+            # products in double precision; those that surely have k better ones go
+            close = np.where(open_[many], self.queries[many] @ x.T - half, -np.inf)
+            slip = 8 * (x.shape[1] + 8) * 2.0**-53 * (self.squares[many, None] + 2 * half)
+            edge = -np.partition(-(close - slip), self.k - 1, axis=1)[:, self.k - 1]
+            open_[many] &= ~(close + slip < np.maximum(edge, self.floor()[many])[:, None])
+        self.score(ids, x, open_)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query among the other rows.
+    """(query_id, rank, vec_id, score): the k nearest of each query among the other rows.
 
     vectors: vec_id, embedding. is_query: a condition on its rows. score: Euclidean distance.
     """
     rows = usable_vectors(vectors)
     model = train(rows, sample)
-    schema = "query_id long, vec_id long, guess double"
-    keep = max(rerank, k) + 1
+    schema = "query_id long, vec_id long, score double"
     if model is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -141,40 +215,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK, sam
         def run(batches):
             tables = model.tables(queries).astype(np.float32)
             flat = np.ascontiguousarray(tables.transpose(1, 2, 0).reshape(-1, len(queries)))
-            ids, scores = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0), np.float32)
             offsets = np.arange(tables.shape[1]) * CENTRES
+            turns = [Turn(query_ids[at : at + TURN], queries[at : at + TURN], k, rerank) for at in range(0, len(queries), TURN)]
             for new_ids, x in chunks(batches):
-                codes = model.encode(x).astype(np.int64) + offsets
+                codes = model.encode(x)
+                decoded = model.decode(codes)
+                left = np.sqrt(((np.pad(x, ((0, 0), (0, decoded.shape[1] - x.shape[1]))) - decoded) ** 2).sum(1))
+                size = np.sqrt((decoded * decoded).sum(1))
+                places = codes.astype(np.int64) + offsets
                 half = ((x * x).sum(1) / 2).astype(np.float32)
-                found_ids, found = [], []
-                order = np.argsort(new_ids, kind="stable")
-                new_ids, codes, half = new_ids[order], codes[order], half[order]
-                for at in range(0, len(queries), 256):
-                    total = np.tile(-half, (min(256, len(queries) - at), 1))
-                    for p in range(codes.shape[1]):
-                        total += flat[:, at : at + 256][codes[:, p]].T
-                    if total.shape[1] > keep:
-                        # all above the keep-th score, and of its ties the smallest ids
-                        edge = -np.partition(-total, keep - 1, axis=1)[:, keep - 1]
-                        rank = np.where(total > edge[:, None], 0, np.where(total == edge[:, None], 1, 2)).astype(np.int8)
-                        pick = np.argsort(rank, axis=1, kind="stable")[:, :keep]
-                    else:
-                        pick = np.tile(np.arange(total.shape[1]), (len(total), 1))
-                    found_ids.append(new_ids[pick])
-                    found.append(np.take_along_axis(total, pick, 1))
-                ids, scores = merge_best(ids, scores, np.concatenate(found_ids), np.concatenate(found), keep)
-            if ids.shape[1]:
-                yield to_batch({"query_id": np.repeat(query_ids, ids.shape[1]), "vec_id": ids.ravel(), "guess": scores.ravel().astype(np.float64)})
+                for i, turn in enumerate(turns):
+                    guess = np.tile(-half, (len(turn.queries), 1))
+                    for p in range(places.shape[1]):
+                        guess += flat[:, i * TURN : (i + 1) * TURN][places[:, p]].T
+                    turn.add(new_ids, x, guess, left, size)
+            for turn in turns:
+                if len(turn.rows):
+                    yield to_batch({"query_id": turn.query_ids[turn.rows], "vec_id": turn.ids, "score": turn.far})
 
         return run
 
-    asked = rows.filter(is_query)
-    found = scan(rows, asked, make, schema).filter("query_id <> vec_id")
-    found = best(found, rerank, [F.col("guess").desc(), F.col("vec_id")]).select("query_id", "vec_id").distinct()
-    found = found.join(rows.withColumnRenamed("embedding", "x"), "vec_id")
-    found = found.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    squares = F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    found = found.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+    found = scan(rows, rows.filter(is_query), make, schema)
     out = best(found, k, [F.col("score"), F.col("vec_id")])
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -122,6 +122,21 @@ def test_nearest_odd_vectors(spark):
     assert ann.neighbours(vectors_of(spark, rows).limit(0)).count() == 0
 
 
+def test_nearest_among_near_copies(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[::3] = x[0] + rng.normal(0, 0.01, (1000, 64))
+    rows = [(i, [float(c) for c in v.astype(np.float32)], 0, 1) for i, v in enumerate(x)]
+    whole = [(i, np.array(v)) for i, v, *_ in rows]
+    got = defaultdict(list)
+    for r in sorted(ann.neighbours(vectors_of(spark, rows)).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    for q in whole[::100]:
+        want = brute(whole, q, 10, lambda a, b: float(np.sqrt(((a[1] - b) ** 2).sum())), False)
+        assert got[q[0]] == [i for _, i in want]
+
+
 def test_parallel_error_costs_more():
     x = np.random.default_rng(0).normal(size=(400, 16))
     x /= np.sqrt((x * x).sum(1))[:, None]
