@@ -146,6 +146,23 @@ def test_engine_end_to_end(spark, tmp_path):
     assert Engine(spark, str(tmp_path / "store"), Models(generate=lambda p: ["ok"] * len(p))).ask(asked, 2).first().answer == "ok"
 
 
+def test_figures_are_resolved_against_all_images(spark):
+    pages = {}
+    for r in sorted(schemas.images(spark, SMALL).collect(), key=lambda r: r.id):
+        pages.setdefault(r.page, []).append((str(r.id), r.vlm_caption.lower()))
+    want = []
+    for query, asked in ((1, [(f, p) for f in (1, 2, 3) for p in (4, 5)]), (4, [(12, 3)])):
+        used = set()
+        for figure, page in asked:
+            free = [(i, place, c) for place, (i, c) in enumerate(pages[page], 1) if i not in used]
+            hit = [x for x in free if x[1] == figure or any(f"{n} {figure}" in x[2] for n in ("figure", "fig", "fig."))]
+            for i, *_ in hit[:1] or free:
+                used.add(i)
+                want.append((query, i, page, f"Figure {figure}" if hit else f"Figure {figure} on page {page}"))
+    assert len(pages[3]) > 12
+    assert sorted(map(tuple, catalogue.QUERIES["figure_resolve"](spark, SMALL).collect())) == sorted(want)
+
+
 def test_hashed_bag_is_unit():
     v = hashed_bag(["a b c", "", None])
     assert sum(x * x for x in v[0]) == pytest.approx(1) and v[1] is None and v[2] is None
