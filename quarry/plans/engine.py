@@ -20,6 +20,15 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, pictures: DataFrame | None,
     return {"text": text, "images": images.search(pictures, queries, image_k, text_results=text, links=links) if pictures is not None else None}
 
 
+def with_id(rows: DataFrame) -> DataFrame:
+    """rows with id: doc_id * 2^63 + page * 2^31 + the number in chunk_id, which no two chunks share; in their order."""
+    wide = lambda c: c.cast("long").cast("decimal(20,0)")
+    number = F.substring_index("chunk_id", "_chunk", -1)
+    page = wide(F.col("page")) * F.lit(1 << 31).cast("decimal(10,0)")
+    document = wide(F.col("doc_id")) * F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return rows.withColumn("id", (document + page + wide(number)).cast("decimal(38,0)"))
+
+
 @dataclass
 class Engine:
     """Tables below a path, models by hooks. All methods take and return DataFrames."""
@@ -33,18 +42,17 @@ class Engine:
 
     def ingest(self, pages: DataFrame) -> DataFrame:
         """Blocks, headings and vectors of pages (doc_id, page, text) into the store; a summary row.
-        A chunk's id is doc_id * 2^20 + page * 2^10 + its number, so documents don't replace each other."""
+        The store's key is doc_id and chunk_id (page and number), so neither pages nor documents replace each other."""
         headed = chunking.page_headings(pages, ["doc_id"], ["page"])
         blocks = chunking.text_blocks(pages).join(headed.select("doc_id", "page", "section_heading"), ["doc_id", "page"])
-        key = F.col("doc_id") * (1 << 20) + F.col("page") * (1 << 10) + F.col("idx")
-        rows = blocks.select(key.alias("id"), "doc_id", "chunk_id", "text", "page", "section_heading", F.lit(False).alias("is_table"))
+        rows = with_id(blocks).select("id", "doc_id", "chunk_id", "text", "page", "section_heading", F.lit(False).alias("is_table"))
         rows = rows.withColumn("embedding", batch_udf(self.models.embed, "array<float>")("text"))
-        all_rows = self.store.add("chunks", rows, ["id"])
+        all_rows = self.store.add("chunks", rows, ["doc_id", "chunk_id"])
         return reports.ingest_summary(all_rows, self.spark.createDataFrame([], "id long"))
 
     def retrieve(self, queries: DataFrame, text_k: int = 5) -> DataFrame:
         """Text results for queries (query_id, query); refused queries find nothing."""
-        chunks = self.store.read("chunks")
+        chunks = with_id(self.store.read("chunks"))  # also of stores with ids of another form
         asked = queries.withColumn("query", self.models.expand(sanitize_query(F.col("query")))).filter("query <> ''")
         asked = asked.withColumn("query_vec", batch_udf(self.models.embed, "array<float>")("query"))
         rerank = rerank_with(self.models.rerank) if self.models.rerank else None

@@ -163,6 +163,22 @@ def test_figures_are_resolved_against_all_images(spark):
     assert sorted(map(tuple, catalogue.QUERIES["figure_resolve"](spark, SMALL).collect())) == sorted(want)
 
 
+def test_engine_keeps_chunks_of_long_pages_and_documents(spark, tmp_path):
+    long = "\n\n".join(f"Paragraph {i} of a page that is far longer than pages usually are." for i in range(1030))
+    one = "A single paragraph about {} that is long enough to be a block."
+    rows = [(1, 1, long), (1, 2, one.format("zebras")), (1, 1025, one.format("giraffes")), (2, 1, one.format("lions")), (1 << 42, 1, one.format("hippos"))]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.ingest(pages).first().text_chunks == 1034
+    assert e.ingest(pages).first().text_chunks == 1034
+    chunks = e.store.read("chunks")
+    assert chunks.select("id").distinct().count() == 1034
+    assert [tuple(r) for r in chunks.orderBy("id").select("doc_id", "page").distinct().orderBy("doc_id", "page").collect()] == [r[:2] for r in rows]
+    asked = spark.createDataFrame([(i, one.format(w)) for i, w in enumerate(("zebras", "giraffes", "lions", "hippos"))], "query_id long, query string")
+    found = {(r.query_id, r.text) for r in e.retrieve(asked, 2).filter("rank = 1").collect()}
+    assert found == {(i, one.format(w)) for i, w in enumerate(("zebras", "giraffes", "lions", "hippos"))}
+
+
 def test_hashed_bag_is_unit():
     v = hashed_bag(["a b c", "", None])
     assert sum(x * x for x in v[0]) == pytest.approx(1) and v[1] is None and v[2] is None
