@@ -18,7 +18,7 @@ documents are similar to it, copies included).
 A word is a run of characters other than ASCII white space, in lower case. N-grams are compared by
 64-bit digests. Defined results: a document of fewer than n words has one n-gram, all its words; null,
 empty and blank texts are similar to nothing; rows of null doc_id get a null class and no links;
-rows that share doc_id and words are one document. Extra columns pass through.
+rows that share a doc_id are one document, with the n-grams of each of them. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -158,34 +158,53 @@ class Signer:
         return total
 
 
+def gram_sets(docs: list[list[str | None]], n: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """N-grams of documents given as lists of texts, and a digest of their words; none and b"" without words."""
+    words = iter(text_words([x for d in docs for x in d]))
+    sets, keys = [], []
+    for d in docs:
+        own = [w for w in (next(words) for _ in d) if len(w)]
+        found = sorted({hashlib.md5(w.tobytes(), usedforsecurity=False).digest() for w in own})
+        keys.append(found[0] if len(found) == 1 else found and hashlib.md5(b"".join(found), usedforsecurity=False).digest() or b"")
+        grams = [shingles(w, n) for w in own]
+        sets.append(grams[0] if len(grams) == 1 else np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64))
+    return sets, keys
+
+
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, texts): a row per doc_id with the texts of its rows."""
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if _repeats(rows):
+        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    return rows.select("doc_id", F.array("text").alias("texts"))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
-    """(doc_id, words_key, bands, marks) of the documents that have words."""
+    """(doc_id, words_key, bands, marks) of the documents (doc_id, texts) that have words."""
 
     def sign(batches):
         signer = Signer(bands, rows)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                words = text_words(texts[at : at + 256])
-                some = [i for i, w in enumerate(words) if len(w)]
+                sets, keys = gram_sets(texts[at : at + 256], n)
+                some = [i for i, k in enumerate(keys) if k]
                 if not some:
                     continue
-                minima = signer.minima([shingles(words[i], n) for i in some])
+                minima = signer.minima([sets[i] for i in some])
                 hashes = signer.band_hashes(minima).view(np.int64)
-                keys = [hashlib.md5(words[i].tobytes(), usedforsecurity=False).digest() for i in some]
                 marks = (minima >> np.uint32(7)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[at : at + 256][some], pa.int64()),
-                        pa.array(keys, pa.binary()),
+                        pa.array([keys[i] for i in some], pa.binary()),
                         pa.array(list(hashes), pa.list_(pa.int64())),
                         pa.array([m.tobytes() for m in marks], pa.binary()),
                     ],
                     ["doc_id", "words_key", "bands", "marks"],
                 )
 
-    rows_ = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows_.mapInArrow(sign, "doc_id long, words_key binary, bands array<long>, marks binary")
+    return docs.select("doc_id", "texts").mapInArrow(sign, "doc_id long, words_key binary, bands array<long>, marks binary")
 
 
 class Forest:
@@ -279,7 +298,7 @@ def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
 
 def _verify_task(rows: list[tuple], n: int, threshold: float, hood: int, left: int, right: int):
     """Links of one pair of blocks: (doc_id, links) and spanning links (a, b)."""
-    sets = [shingles(w, n) for w in text_words([r[2] for r in rows])]
+    sets = gram_sets([r[2] for r in rows], n)[0]
     one = [i for i, r in enumerate(rows) if r[1] == left]
     two = [i for i, r in enumerate(rows) if r[1] == right] if left != right else one
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -312,11 +331,11 @@ def _verify(n: int, threshold: float):
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(7)]
-            for hood, left, right, block, doc, text, copies in zip(*cols, strict=True):
+            for hood, left, right, block, doc, texts, copies in zip(*cols, strict=True):
                 if task != (hood, left, right):
                     yield from done()
                     task, rows = (hood, left, right), []
-                rows.append((doc, block, text, copies))
+                rows.append((doc, block, texts, copies))
         yield from done()
 
     return run
@@ -326,10 +345,11 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     """docs with `similar`: struct of class_id and n_links. Needs doc_id and text."""
     bounded_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    signed = materialize(signatures(docs, bands, rows, n))
+    whole = whole_documents(docs)
+    signed = materialize(signatures(whole, bands, rows, n))
     same = signed.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     same = materialize(same)
-    reps = signed.join(same, "words_key").filter("doc_id = rep").dropDuplicates(["doc_id", "words_key"])
+    reps = signed.join(same, "words_key").filter("doc_id = rep")
     hoods = connected_components(candidate_links(reps))
 
     # number the members of each neighbourhood and deal them to blocks
@@ -338,11 +358,10 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     members = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = materialize(members.select("root", "node", "copies", "blocks", "block"))
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    held = texts.join(members.hint("shuffle_hash"), "node").dropDuplicates(["node"]) if _repeats(signed) else texts.join(members.hint("shuffle_hash"), "node")
+    held = whole.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    held = held.select("root", "block", "node", "text", "copies", F.explode(others).alias("other"))
-    held = held.select("root", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "block", "node", "text", "copies")
+    held = held.select("root", "block", "node", "texts", "copies", F.explode(others).alias("other"))
+    held = held.select("root", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "block", "node", "texts", "copies")
     held = held.repartition("root", "l", "r").sortWithinPartitions("root", "l", "r", "node")
     found = materialize(held.mapInArrow(_verify(n, threshold), "doc_id long, links long, other long"))
 
@@ -355,8 +374,6 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
         F.coalesce("root", "rep").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    if _repeats(signed):
-        result = result.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     own, name = fresh_name(docs, "own"), fresh_name(docs, "found")
     result = result.select(F.col("doc_id").alias(own), F.struct("class_id", "n_links").alias(name))
     out = docs.join(result.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left")
@@ -364,9 +381,9 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     return out.select(*[docs[c] for c in docs.columns], similar.alias("similar"))
 
 
-def _repeats(signed: DataFrame) -> bool:
+def _repeats(rows: DataFrame) -> bool:
     """Whether some doc_id has more than one row."""
-    return not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def classes(docs: DataFrame) -> DataFrame:

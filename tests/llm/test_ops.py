@@ -10,6 +10,7 @@ import struct
 from collections import defaultdict
 from math import comb
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -427,6 +428,20 @@ def test_join_equals_brute_force(spark):
     assert ngramjoin.similar_documents(odd).count() == 7
 
 
+def test_join_of_documents_in_several_rows(spark):
+    text = lambda name, k: " ".join(f"{name}{i}" for i in range(k))
+    rows = [(i, text(f"w{i}x", 100)) for i in range(6)]
+    rows += [(i, text(f"v{i}x", 4)) for i in range(6)]
+    rows += [(i + 10, text(f"w{i}x", 99)) for i in range(6)] + [(20, text("w0x", 50)), (21, text("w0x", 100)), (21, None), (21, text("w0x", 100).upper())]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.classes(d).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert out == {i: (k, n) for i, k, n in c.sql(ngramjoin.ORACLE_SQL).fetchall()}
+    assert out[13] == (3, 1) and out[0] == (0, 2)
+
+
 def test_join_of_one_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK", 8)
     rng = random.Random(5)
