@@ -433,6 +433,7 @@ def test_join_of_documents_in_several_rows(spark):
     rows = [(i, text(f"w{i}x", 100)) for i in range(6)]
     rows += [(i, text(f"v{i}x", 4)) for i in range(6)]
     rows += [(i + 10, text(f"w{i}x", 99)) for i in range(6)] + [(20, text("w0x", 50)), (21, text("w0x", 100)), (21, None), (21, text("w0x", 100).upper())]
+    rows += [(30, text("a", 100)), (30, text("b", 100)), (31, text("a", 100))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.classes(d).collect()}
     c = duckdb.connect()
