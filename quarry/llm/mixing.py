@@ -9,13 +9,18 @@
    the conditional hypergeometric distribution, by inversion from its mode.
 4. Each shard takes the next blocks in its sources' permuted order, so the shards' blocks are
    disjoint, and orders its documents by a digest of its own.
+5. The part pass ends within a block. Of its documents those well before the end are taken, and of
+   the CHOICES round the end the subset whose words come nearest to what the target still lacks.
 
 All of it is DataFrame expressions. Windows run over tables with a row per source, per group of
-blocks or per document of one block, never over all documents of a source.
+blocks or per document of one block, never over all documents of a source. A node of the tree holds
+only the sources that have blocks in it, so a level holds no more entries than there are blocks.
 
 Defined results: null text has size 0; the null source is a source of its own and comes last; rows
 that share a doc_id within a source share one draw; an empty table gives an empty table; a source
-of size 0 has target 0. Extra columns pass through, whatever their names. Reruns agree.
+of size 0 has target 0; very long texts are only counted. A source whose documents are few and of
+very unlike sizes may have no subset near its target; it gets the nearest. Extra columns pass through,
+whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
@@ -25,14 +30,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, word_count
+from quarry.llm.common import fresh_name, materialize, result_name, word_count
 
-#: Documents in a block on average, and words in an output shard.
+#: Documents in a block at most on average, and words in an output shard.
 BLOCK_DOCS = 256
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 23
 KEY_BITS = 60
 GROUP_BITS = 10
-FILL_ROUNDS = 4
+#: Documents round the end of a part pass of which every subset is tried.
+CHOICES = 12
+#: Level of the tree from which its nodes are dealt over tasks.
+WIDE_LEVEL = 10
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -60,7 +68,8 @@ def _targets(sizes: DataFrame, weights: list[int], cap: int) -> DataFrame:
     target = F.when(is_free, F.col("weight") * (F.col("free.left") / F.col("free.share"))).otherwise(F.col("limit").cast("double"))
     per = per.withColumn("target", target)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / BLOCK_DOCS))).cast("int")
+    # the least number of bits for which BLOCK_DOCS << bits reaches n_docs
+    bits = F.when(F.col("n_docs") <= BLOCK_DOCS, 0).otherwise(F.length(F.bin(F.floor((F.col("n_docs") - 1) / BLOCK_DOCS).cast("long"))))
     return per.select("source", "ix", "source_size", "weight", "target", passes.cast("long").alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("rest"), bits.alias("bits"))
 
 
@@ -68,12 +77,53 @@ def _block(key: Column, bits: Column) -> Column:
     return F.call_function("shiftright", key, F.lit(KEY_BITS) - bits)
 
 
+def _nearest_subset(units: Column, gap: Column) -> Column:
+    """struct of end_key and fits for the units (key, size) of a block in order and the words still due.
+
+    Units before end_key are taken, and those whose keys are in fits: of the CHOICES units round the
+    place where the running total passes the gap, the subset that comes nearest; ties go to the smaller mask.
+    """
+    one = F.struct(units.alias("units"), gap.alias("gap"))
+
+    def place(s: Column) -> Column:
+        count = F.aggregate(
+            s["units"],
+            F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n")),
+            lambda a, x: F.struct((a["total"] + x["size"]).alias("total"), F.when(a["total"] + x["size"] <= s["gap"], a["n"] + 1).otherwise(a["n"]).alias("n")),
+            lambda a: a["n"],
+        )
+        start = F.greatest(F.lit(0), F.least(count - CHOICES // 2, F.size(s["units"]) - CHOICES))
+        return F.struct(s["units"].alias("units"), s["gap"].alias("gap"), start.alias("start"))
+
+    def window(s: Column) -> Column:
+        before = F.aggregate(F.slice(s["units"], F.lit(1), s["start"]), F.lit(0).cast("long"), lambda a, x: a + x["size"])
+        return F.struct(F.slice(s["units"], s["start"] + 1, F.lit(CHOICES)).alias("some"), (s["gap"] - before).alias("gap"))
+
+    def choose(s: Column) -> Column:
+        bit = lambda mask, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+
+        def words(mask: Column) -> Column:
+            start = F.struct(F.lit(0).cast("long").alias("sum"), mask.alias("mask"))
+            step = lambda a, x: F.struct((a["sum"] + a["mask"].bitwiseAND(F.lit(1)) * x["size"]).alias("sum"), F.shiftright(a["mask"], 1).alias("mask"))
+            return F.aggregate(s["some"], start, step, lambda a: a["sum"])
+
+        masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(s["some"])) - 1)
+        best = F.array_min(F.transform(masks, lambda m: F.struct(F.abs(words(m) - s["gap"]).alias("off"), m.alias("mask"))))["mask"]
+        fits = F.filter(F.transform(s["some"], lambda x, i: F.when(bit(best, i), x["key"])), lambda k: k.isNotNull())
+        return F.struct(s["some"][0]["key"].alias("end_key"), fits.alias("fits"))
+
+    out = one
+    for step in (place, window, choose):  # each bound once, so that its fields aren't computed anew at each use
+        out = F.get(F.transform(F.array(out), step), F.lit(0))
+    return out
+
+
 def _boundary(keyed: DataFrame) -> DataFrame:
-    """Per source with a part pass: the key where it ends, and documents beyond it that fill the gap:
-    the largest that fits, FILL_ROUNDS - 1 times, then the one that comes closest.
+    """Per source with a part pass: the block in which it ends, the key up to which its documents are
+    taken, and the keys beyond that are taken too.
 
-    keyed: ix, key, size, block, rest. Two levels of running totals find the block in which the
-    part pass ends; only the documents of that block are ordered.
+    keyed: ix, key, size, block, rest. Two levels of running totals find the block; only its documents
+    (rows of one key count as one) are gathered, a few hundred.
     """
     blocks = keyed.groupBy("ix", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("group", F.shiftright("block", GROUP_BITS))
@@ -84,24 +134,10 @@ def _boundary(keyed: DataFrame) -> DataFrame:
     blocks = blocks.join(groups, ["ix", "group"]).withColumn("start", F.col("base") + F.coalesce(F.sum("words").over(before), F.lit(0)))
     last = blocks.filter((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("words")))
     inside = keyed.join(last.select("ix", "block", "start"), ["ix", "block"])
-    total = F.col("start") + F.sum("size").over(Window.partitionBy("ix").orderBy("key"))
-    inside = inside.withColumn("total", total).withColumn("over", F.col("total") > F.col("rest"))
-    ends = inside.groupBy("ix").agg(
-        F.min(F.when(F.col("over"), F.col("key"))).alias("end_key"),
-        F.first("block").alias("end_block"),
-        (F.first("rest") - F.coalesce(F.max(F.when(~F.col("over"), F.col("total"))), F.first("start"))).alias("gap"),
-    )
-    state = materialize(ends.withColumn("fits", F.array().cast("array<long>")))
-    for turn in range(FILL_ROUNDS):
-        off = F.abs(F.col("size") - F.col("gap"))
-        closer = (F.col("size") <= F.col("gap")) if turn + 1 < FILL_ROUNDS else (off < F.col("gap"))
-        fits = keyed.join(state, "ix").filter((F.col("size") > 0) & (F.col("key") >= F.col("end_key")) & ~F.array_contains("fits", F.col("key")) & closer)
-        fit = fits.groupBy("ix").agg(F.min(F.struct(off.alias("off"), "key", "size")).alias("fit"))
-        state = state.join(fit, "ix", "left").withColumns(
-            {"gap": F.col("gap") - F.coalesce("fit.size", F.lit(0)), "fits": F.when(F.col("fit").isNull(), F.col("fits")).otherwise(F.concat("fits", F.array("fit.key")))}
-        )
-        state = materialize(state.drop("fit"))
-    return state.select("ix", "end_key", "end_block", "fits")
+    units = inside.groupBy("ix", "block", "key").agg(F.sum("size").alias("size"), F.first(F.col("rest") - F.col("start")).alias("gap"))
+    ends = units.groupBy("ix", F.col("block").alias("end_block")).agg(F.array_sort(F.collect_list(F.struct("key", "size"))).alias("units"), F.first("gap").alias("gap"))
+    found = ends.select("ix", "end_block", _nearest_subset(F.col("units"), F.col("gap")).alias("s"))
+    return found.select("ix", "end_block", "s.end_key", "s.fits")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -155,26 +191,27 @@ def _uniform(*parts: Column) -> Column:
 
 def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """Block counts per shard: (shard, ix, n). quotas: ix, quota; one row per source."""
-    nodes = quotas.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "quota"))), lambda x: x["quota"]).alias("ks"))
-    nodes = nodes.select(F.lit(1).cast("long").alias("node"), F.coalesce("ks", F.array().cast("array<long>")).alias("ks"))
-    for _ in range(levels):
-        whole = F.aggregate("ks", F.lit(0).cast("long"), lambda a, k: a + k)
+    some = quotas.filter("quota > 0")
+    nodes = some.groupBy().agg(F.array_sort(F.collect_list(F.struct("ix", F.col("quota").cast("long").alias("k")))).alias("ks"))
+    nodes = nodes.select(F.lit(1).cast("long").alias("node"), "ks")
+    for level in range(levels):
+        whole = F.aggregate("ks", F.lit(0).cast("long"), lambda a, s: a + s["k"])
 
-        def draw(a: Column, k: Column) -> Column:
-            u = _uniform(F.lit(seed), a["node"], F.size(a["out"]))
-            x = hypergeometric(u, a["rest"], k, a["draws"])
-            return F.struct(a["node"].alias("node"), (a["rest"] - k).alias("rest"), (a["draws"] - x).alias("draws"), F.concat(a["out"], F.array(x)).alias("out"))
+        def draw(a: Column, s: Column) -> Column:
+            x = hypergeometric(_uniform(F.lit(seed), a["node"], s["ix"]), a["rest"], s["k"], a["draws"])
+            return F.struct(a["node"].alias("node"), (a["rest"] - s["k"]).alias("rest"), (a["draws"] - x).alias("draws"), F.concat(a["out"], F.array(x)).alias("out"))
 
         start = F.struct(F.col("node").alias("node"), whole.alias("rest"), F.ceil(whole / 2).cast("long").alias("draws"), F.array().cast("array<long>").alias("out"))
         left = F.aggregate("ks", start, draw, lambda a: a["out"])
         nodes = nodes.select("node", "ks", F.explode(F.array(F.struct(F.lit(0).alias("side"), left.alias("left")))).alias("h"))
+        side = lambda count: F.filter(F.zip_with("ks", F.col("h.left"), lambda s, x: F.struct(s["ix"].alias("ix"), count(s, x).alias("k"))), lambda s: s["k"] > 0)
         both = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("h.left").alias("ks")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("ks", F.col("h.left"), lambda k, x: k - x).alias("ks")),
+            F.struct((F.col("node") * 2).alias("node"), side(lambda s, x: x).alias("ks")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), side(lambda s, x: s["k"] - x).alias("ks")),
         )
-        nodes = materialize(nodes.select(F.inline(both)))  # a row per node: each level is planned by itself
-    leaf = nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.posexplode("ks").alias("ix", "n"))
-    return leaf.filter("n > 0")
+        nodes = nodes.select(F.inline(both)).filter(F.size("ks") > 0)
+        nodes = materialize(nodes.repartition("node") if level >= WIDE_LEVEL else nodes)  # each level is planned by itself
+    return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.inline("ks")).withColumnRenamed("k", "n")
 
 
 def mix(
@@ -184,8 +221,10 @@ def mix(
     cap: int = 3,
     seed: int = 20,
     shard_words: int = SHARD_WORDS,
+    to: str | None = None,
 ) -> DataFrame:
-    """docs with `mix`: struct of size, source_size, target, and copies, the shards that take it.
+    """docs with `to` (`mix`, with underscores before it where docs has one): struct of size, source_size,
+    target, and copies, the shards that take it.
 
     A document's words in the mix are size times the number of its copies. Needs doc_id, source
     and, unless `size` is given, text. No row of docs is moved: decisions come from small tables.
@@ -208,12 +247,10 @@ def mix(
     before = Window.partitionBy("ix").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     drawn = shares.select("ix", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("draw"))
-    drawn = drawn.join(plan.select("ix", "bits", "quota"), "ix")
+    drawn = drawn.join(plan.select("ix", "bits"), "ix")
     drawn = drawn.withColumn("block", F.col("draw") % F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))).withColumn("turn", F.call_function("shiftright", F.col("draw"), F.col("bits")))
-    ends = drawn.filter(F.col("draw") == F.col("quota") - 1).select("ix", F.col("shard").alias("end_shard"))
     drawn = drawn.groupBy("ix", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "shard"))), lambda x: x["shard"]).alias("shards"))
     drawn = materialize(drawn)
-    plan = plan.join(ends, "ix", "left")
 
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("row_source"), key.alias("key"), size.cast("long").alias("size"))
     rows = rows.join(plan, rows["row_source"].eqNullSafe(plan["source"])).withColumn("block", _block(F.col("key"), F.col("bits")))
@@ -221,20 +258,18 @@ def mix(
     none = F.array().cast("array<int>")
     passes = F.col("passes").cast("int")
     shards = F.coalesce("shards", none)
-    copies = F.concat(
-        F.slice(shards, F.lit(1), passes),
-        F.when(F.col("key") < F.col("end_key"), F.slice(shards, passes + 1, F.lit(1))).otherwise(none),
-        F.when(F.array_contains("fits", F.col("key")), F.array("end_shard")).otherwise(none),
-    )
-    return rows.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
+    part = (F.col("key") < F.col("end_key")) | F.array_contains("fits", F.col("key"))
+    copies = F.concat(F.slice(shards, F.lit(1), passes), F.when(part, F.slice(shards, passes + 1, F.lit(1))).otherwise(none))
+    return rows.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias(to or result_name(docs, "mix")))
 
 
 def mixed(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, by shard and shuffled within it."""
-    out = mix(docs, seed=seed, **options)
-    out = out.select(*docs.columns, F.posexplode("mix.copies").alias("mix_copy", "mix_shard"))
-    out = out.repartition("mix_shard")
-    return out.sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), "mix_shard", "doc_id", "mix_copy")).select(*docs.columns)
+    name, copy, shard = (fresh_name(docs, x) for x in ("mix", "copy", "shard"))
+    out = mix(docs, seed=seed, to=name, **options)
+    out = out.select(*docs.columns, F.posexplode(f"{name}.copies").alias(copy, shard))
+    out = out.repartition(shard)
+    return out.sortWithinPartitions(shard, F.xxhash64(F.lit(seed), shard, "doc_id", copy)).select(*docs.columns)
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
@@ -245,13 +280,13 @@ def word_totals(docs: DataFrame) -> DataFrame:
 
 
 #: The same in DuckDB SQL: the blocks and the tree deal out copies but don't change their number.
-_SQL = r"""
+ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
          ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w
   FROM d GROUP BY source),
 f AS (
@@ -262,40 +297,34 @@ f AS (
 g AS (
   SELECT *, (SELECT min(place) FROM f WHERE NOT (cap * share < w * lft)) AS free FROM f),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, CASE WHEN n_docs <= {BLOCK_DOCS} THEN 0 ELSE length(bin((n_docs - 1) // {BLOCK_DOCS})) END AS bits,
          CASE WHEN place >= free THEN w * ((SELECT lft::DOUBLE / share FROM g x WHERE x.place = x.free)) ELSE cap::DOUBLE END AS target
   FROM g),
 p AS (
-  SELECT d.*, source_size, target,
-         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
-         sum(size) OVER (PARTITION BY d.source ORDER BY k RANGE UNBOUNDED PRECEDING) AS total
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes, k >> (60 - bits)::INT AS block
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, target - passes * source_size AS rest FROM p),
-e0 AS (
-  SELECT source, min(rest) - coalesce(max(total) FILTER (total <= rest), 0) AS gap
-  FROM q WHERE rest > 0 GROUP BY source),
-{ROUNDS}
-b AS (SELECT source, {FITS} AS fits FROM e{LAST})
+b AS (SELECT source, block, min(rest) AS rest, sum(size)::BIGINT AS words FROM q WHERE rest > 0 GROUP BY ALL),
+e AS (SELECT source, block, rest, words, sum(words) OVER (PARTITION BY source ORDER BY block) - words AS start FROM b),
+u AS (
+  SELECT q.source, q.block, k, sum(size)::BIGINT AS size, min(q.rest - start) AS gap
+  FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source AND q.block = e.block AND start <= e.rest AND e.rest < start + words GROUP BY ALL),
+r AS (
+  SELECT *, row_number() OVER w AS place, sum(size) OVER w AS run, count(*) OVER (PARTITION BY source) AS n FROM u WINDOW w AS (PARTITION BY source ORDER BY k)),
+c AS (SELECT source, greatest(0, least(count(*) FILTER (run <= gap) - {CHOICES // 2}, max(n) - {CHOICES})) AS start FROM r GROUP BY source),
+v AS (
+  SELECT r.source, k, size, gap, place - start AS nth, coalesce(sum(size) FILTER (place <= start) OVER (PARTITION BY r.source), 0) AS base
+  FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source),
+y AS (SELECT source, max(nth) AS m, min(gap - base) AS gap FROM v WHERE nth BETWEEN 1 AND {CHOICES} GROUP BY source),
+z AS (SELECT source, gap, unnest(generate_series(0, (1 << least(m, {CHOICES})::INT) - 1)) AS mask FROM y),
+o AS (
+  SELECT z.source, mask, abs(sum(CASE WHEN (mask >> (nth - 1)::INT) & 1 = 1 THEN size ELSE 0 END) - min(z.gap)) AS away
+  FROM z JOIN v ON z.source IS NOT DISTINCT FROM v.source AND nth BETWEEN 1 AND {CHOICES} GROUP BY ALL),
+a AS (SELECT source, arg_min(mask, (away, mask)) AS mask FROM o GROUP BY source),
+h AS (
+  SELECT a.source, min(k) AS end_key, coalesce(list(k) FILTER ((mask >> (nth - 1)::INT) & 1 = 1), []) AS fits
+  FROM a JOIN v ON a.source IS NOT DISTINCT FROM v.source AND nth BETWEEN 1 AND {CHOICES} GROUP BY a.source)
 SELECT q.doc_id, q.size, q.source_size, q.target,
-       (q.size * (passes + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END + CASE WHEN list_contains(fits, k) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source
-"""
-
-
-def _oracle() -> str:
-    """ORACLE_SQL with a pair of tables for each round of filling."""
-    rounds = ""
-    for i in range(1, FILL_ROUNDS + 1):
-        close = "size <= gap" if i < FILL_ROUNDS else "abs(size - gap) < gap"
-        unused = "".join(f" AND (k{j} IS NULL OR k <> k{j})" for j in range(1, i))
-        rounds += f"""f{i} AS (
-  SELECT q.source, arg_min(k, (abs(size - gap), k)) AS k{i}, arg_min(size, (abs(size - gap), k)) AS s{i}
-  FROM q JOIN e{i - 1} e ON q.source IS NOT DISTINCT FROM e.source
-  WHERE rest > 0 AND total > rest AND size > 0 AND {close}{unused} GROUP BY q.source),
-e{i} AS (SELECT e.* EXCLUDE (gap), gap - coalesce(s{i}, 0) AS gap, k{i} FROM e{i - 1} e LEFT JOIN f{i} f ON e.source IS NOT DISTINCT FROM f.source),
+       (q.size * (passes + CASE WHEN rest > 0 AND (k < end_key OR list_contains(fits, k)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q LEFT JOIN h ON q.source IS NOT DISTINCT FROM h.source
 """
-    fits = "[" + ", ".join(f"k{i}" for i in range(1, FILL_ROUNDS + 1)) + "]"
-    return _SQL.replace("{ROUNDS}", rounds).replace("{FITS}", fits).replace("{LAST}", str(FILL_ROUNDS))
-
-
-ORACLE_SQL = _oracle()
