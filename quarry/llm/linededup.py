@@ -4,21 +4,29 @@ State, all as tables in the shared folder:
 
 * postings (shard, key, doc_id): which document holds which line key, exactly;
 * counts (shard, key, refs, owner): the reference count of a key, that is, in how many documents it
-  stands, and its owner, the smallest doc_id among them;
-* filters (shard, bits): one cuckoo filter of the keys of each shard.
+  stands, and its owner, the smallest doc_id among them, as each key came in first;
+* shared (shard, key, refs, owner): the same of the keys that more than one document holds, up to date;
+* filters (shard, size, bits): one cuckoo filter of the keys of each shard, and how many it holds.
 
-insert() asks the filters of the touched shards which of the new keys may be known; only these are
-looked up in the exact table. delete() lowers the counts, gives keys new owners, and takes keys
-that no document holds any more out of the filters, so a document's insertion can be undone.
-rewrite() drops lines by the exact table alone, so a filter's false positives change nothing.
+insert() asks the filters of the touched shards which of the new keys may be known. Only these are
+looked up in the exact table, and a key becomes shared either within its batch or by such a look-up;
+a key that its filter doesn't know goes into counts and filter unseen. rewrite() reads shared alone,
+so what is dropped has come through the filters and has been confirmed exactly: false positives
+change nothing, and a filter has no false negatives. dedup() inserts its documents in BATCHES.
+
+delete() lowers the counts, gives keys new owners, and takes keys that no document holds any more
+out of the filters, so a document's insertion can be undone. A filter that would be over FULL is built
+anew, twice as large as needed, from the exact table of its shard.
 
 A key is the 128-bit digest of the line, stripped of ASCII white space and with A-Z in lower case.
-Keys shorter than `min_chars` code points are never dropped. Counting aggregates before it
-shuffles, so a line that a third of the documents share costs a row per task.
+Keys shorter than `min_chars` code points are never dropped. Counting aggregates before it shuffles,
+so a line that a third of the documents share costs a row per task, and its postings meet its owner
+by a broadcast of hot keys.
 
 Defined results: null or empty text is one empty line; rows that share a doc_id are one document;
-rows of null doc_id are not indexed and keep all lines; an empty table gives an empty table. Extra
-columns pass through rewrite().
+documents that the state holds already are not inserted again; rows of null doc_id are not indexed
+and keep all lines; very long texts are cut into lines whole; an empty table gives an empty table.
+Extra columns pass through rewrite(), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, fresh_name, materialize
+from quarry.llm.common import bounded_batches, fresh_name, join_hot, materialize, repeats, result_name
 
 MIN_CHARS = 10
 #: Fixed value: the white space of the contract.
 SPACES = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 1 << 18
+#: Batches in which dedup() inserts, and the load from which a filter is built anew.
+BATCHES, FULL = 2, 0.85
 
 
 class CuckooFilter:
@@ -54,6 +64,10 @@ class CuckooFilter:
         buckets = 1 << max(4, int(np.ceil(np.log2(max(1, keys) / cls.SLOTS / 0.8))))
         return cls(np.zeros((buckets, cls.SLOTS), "<u2"))
 
+    def room(self) -> int:
+        """Keys that fit before the filter is over FULL."""
+        return int(FULL * self.table.size)
+
     @classmethod
     def from_bytes(cls, data: bytes) -> CuckooFilter:
         return cls(np.frombuffer(data, "<u2").reshape(-1, cls.SLOTS).copy())
@@ -139,17 +153,18 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 class LineState:
     postings: DataFrame
     counts: DataFrame
+    shared: DataFrame
     filters: DataFrame
     shards: int
 
     POSTINGS = "shard int, key binary, doc_id long"
     COUNTS = "shard int, key binary, refs long, owner long"
-    FILTERS = "shard int, bits binary"
+    FILTERS = "shard int, size long, bits binary"
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int) -> LineState:
-        make = lambda schema: spark.createDataFrame([], schema)
-        return cls(make(cls.POSTINGS), make(cls.COUNTS), make(cls.FILTERS), shards)
+        make = lambda schema: spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))])
+        return cls(make(cls.POSTINGS), make(cls.COUNTS), make(cls.COUNTS), make(cls.FILTERS), shards)
 
 
 def postings(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -170,35 +185,57 @@ def postings(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFr
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """Reference counts; documents that come in one row need no distinct."""
-    per = rows.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    return per.select("shard", "key", F.when(F.col("owner") == F.col("last"), F.lit(1)).otherwise(F.col("n")).cast("long").alias("refs"), "owner")
-
+    """Reference counts and owners of distinct postings."""
+    return rows.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("owner"))
 
-def _extend_filters(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """Per shard: the new filter, with all of `keys` (shard, key, known) put in that are new."""
 
-    def build(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        fresh = _hash(list(new["key"]))
-        table = CuckooFilter.from_bytes(old["bits"].iloc[0]) if len(old) else CuckooFilter.empty(len(fresh))
-        if not table.insert(fresh):
-            raise OverflowError(f"filter of shard {key[0]} is full: rebuild the state with more shards")
-        return pd.DataFrame({"shard": [key[0]], "bits": [table.to_bytes()]})
-
-    grouped = keys.groupBy("shard").cogroup(filters.groupBy("shard"))
-    return grouped.applyInPandas(build, LineState.FILTERS)
+def _filter_of(rows: pd.DataFrame) -> CuckooFilter | None:
+    return CuckooFilter.from_bytes(rows["bits"].iloc[0]) if len(rows) else None
 
 
 def _probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
     """keys (shard, key) with `maybe`: whether the shard's filter may hold the key."""
 
     def ask(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        maybe = CuckooFilter.from_bytes(old["bits"].iloc[0]).contains(_hash(list(new["key"]))) if len(old) and len(new) else np.zeros(len(new), bool)
+        table = _filter_of(old)
+        maybe = np.zeros(len(new), bool) if table is None or not len(new) else table.contains(_hash(list(new["key"])))
         return pd.DataFrame({"shard": new["shard"], "key": new["key"], "maybe": maybe})
 
     return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(ask, "shard int, key binary, maybe boolean")
 
 
+def _extend_filters(unseen: DataFrame, counts: DataFrame, filters: DataFrame) -> DataFrame:
+    """The filters with the keys of unseen (shard, key) put in. Where one would be over FULL, it is built
+    anew from the exact counts of its shard and the unseen keys, with room for twice as many."""
+
+    def put(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        table, held = _filter_of(old), int(old["size"].iloc[0]) if len(old) else 0
+        full = False
+        if len(new):
+            table = table or CuckooFilter.empty(len(new))
+            full = held + len(new) > table.room() or not table.insert(_hash(list(new["key"])))
+        return pd.DataFrame({"shard": [key[0]], "size": [held + len(new)], "bits": [None if full else table.to_bytes()]})
+
+    out = materialize(unseen.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(put, LineState.FILTERS))
+    full = out.filter("bits IS NULL").select("shard")
+    if full.isEmpty():
+        return out
+    whole = counts.select("shard", "key").unionByName(unseen).join(full, "shard", "left_semi")
+    return materialize(out.filter("bits IS NOT NULL").unionByName(build_filters(whole)))
+
+
+def build_filters(keys: DataFrame) -> DataFrame:
+    """Filters of the distinct keys (shard, key), with room for twice as many; larger ones where one fails."""
+
+    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+        marks, room = _hash(list(rows["key"])), 2 * len(rows)
+        while not (table := CuckooFilter.empty(room)).insert(marks):
+            room *= 2
+        return pd.DataFrame({"shard": [key[0]], "size": [len(rows)], "bits": [table.to_bytes()]})
+
+    return keys.groupBy("shard").applyInPandas(build, LineState.FILTERS)
+
+
 def shards_for(docs: DataFrame) -> int:
     """Shards so that each has about KEYS_PER_SHARD keys, from the number of line ends."""
     lines = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")))).first()[0] or 0
@@ -206,49 +243,57 @@ def shards_for(docs: DataFrame) -> int:
 
 
 def insert(state: LineState, docs: DataFrame) -> LineState:
-    """The state after the documents of docs, none of which it holds yet, have come in."""
-    first = state.postings.isEmpty()
-    new = materialize(postings(docs, state.shards).distinct() if not first else postings(docs, state.shards))
+    """The state after the documents of docs have come in; those that it holds already are left out."""
+    if not state.postings.isEmpty():
+        docs = docs.join(state.postings.select("doc_id").distinct(), "doc_id", "left_anti")
+    new = postings(docs, state.shards)
+    return insert_postings(state, materialize(new.distinct() if repeats(docs.filter("doc_id IS NOT NULL")) else new))
+
+
+def insert_postings(state: LineState, new: DataFrame) -> LineState:
+    """The state with new postings, distinct and of documents that it doesn't hold."""
+    by = ["shard", "key"]
     fresh = materialize(_count(new))
-    if first:
-        return LineState(new, fresh, materialize(_extend_filters(fresh.select("shard", "key"), state.filters)), state.shards)
-    asked = materialize(_probe(fresh.select("shard", "key"), state.filters))
-    known = asked.filter("maybe").join(state.counts, ["shard", "key"], "left_semi").select("shard", "key")
-    unseen = fresh.select("shard", "key").join(known, ["shard", "key"], "left_anti")
-    filters = _extend_filters(unseen, state.filters)
-    rest = state.filters.join(unseen.select("shard").distinct(), "shard", "left_anti")
-    both = fresh.unionByName(state.counts.join(known, ["shard", "key"], "left_semi"))
-    merged = both.groupBy("shard", "key").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
-    untouched = state.counts.join(known, ["shard", "key"], "left_anti")
-    return LineState(materialize(state.postings.unionByName(new)), materialize(merged.unionByName(untouched)), materialize(filters.unionByName(rest)), state.shards)
+    asked = materialize(_probe(fresh.select(*by), state.filters)) if not state.filters.isEmpty() else fresh.select(*by, F.lit(False).alias("maybe"))
+    # the exact look-up, of nothing but what the filters let through
+    known = materialize(state.counts.join(asked.filter("maybe").select(*by), by, "left_semi"))
+    unseen = fresh.join(known.select(*by), by, "left_anti")
+    before = known.join(state.shared.select(*by, F.col("refs").alias("r"), F.col("owner").alias("o")), by, "left")
+    before = before.select(*by, F.coalesce("r", "refs").alias("refs"), F.coalesce("o", "owner").alias("owner"))
+    again = before.unionByName(fresh.join(known.select(*by), by, "left_semi")).groupBy(*by).agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
+    shared = state.shared.join(known.select(*by), by, "left_anti").unionByName(again).unionByName(unseen.filter("refs > 1"))
+    filters = _extend_filters(unseen.select(*by), state.counts, state.filters)
+    counts = unseen if state.counts.isEmpty() else state.counts.unionByName(unseen)
+    rows = new if state.postings.isEmpty() else state.postings.unionByName(new)
+    return LineState(rows, materialize(counts), materialize(shared), filters, state.shards)
 
 
 def delete(state: LineState, doc_ids: DataFrame) -> LineState:
     """The state as if the documents of doc_ids (doc_id) had never come in."""
-    gone = state.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    touched = gone.select("shard", "key").distinct()
-    left = materialize(state.postings.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select("shard", "key", "doc_id"))
-    again = _count(left.join(touched, ["shard", "key"], "left_semi").distinct())
-    counts = materialize(state.counts.join(touched, ["shard", "key"], "left_anti").unionByName(again))
-    dead = touched.join(counts, ["shard", "key"], "left_anti")
+    by = ["shard", "key"]
+    gone = materialize(state.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*by).distinct())
+    left = materialize(state.postings.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*by, "doc_id"))
+    again = materialize(_count(left.join(gone, by, "left_semi")))
+    counts = materialize(state.counts.join(gone, by, "left_anti").unionByName(again))
+    shared = materialize(state.shared.join(gone, by, "left_anti").unionByName(again.filter("refs > 1")))
+    dead = gone.join(again.select(*by), by, "left_anti")
 
     def take_out(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         if not len(old) or not len(keys):
             return old
-        table = CuckooFilter.from_bytes(old["bits"].iloc[0])
+        table = _filter_of(old)
         table.delete(_hash(list(keys["key"])))
-        return pd.DataFrame({"shard": [key[0]], "bits": [table.to_bytes()]})
+        return pd.DataFrame({"shard": [key[0]], "size": [int(old["size"].iloc[0]) - len(keys)], "bits": [table.to_bytes()]})
 
     filters = state.filters.groupBy("shard").cogroup(dead.groupBy("shard")).applyInPandas(take_out, LineState.FILTERS)
-    return LineState(left, counts, materialize(filters), state.shards)
+    return LineState(left, counts, shared, materialize(filters), state.shards)
 
 
-def rewrite(docs: DataFrame, state: LineState, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with its text less the lines whose keys other, smaller documents hold too, and `lines`:
-    struct of n_lines (before) and n_dropped. Needs doc_id."""
+def rewrite(docs: DataFrame, state: LineState, text: str = "text", min_chars: int = MIN_CHARS, to: str | None = None) -> DataFrame:
+    """docs with its text less the lines whose keys other, smaller documents hold too, and `to` (`lines`,
+    with underscores before it where docs has one): struct of n_lines (before) and n_dropped. Needs doc_id."""
     bounded_batches(docs.sparkSession)
-    shared = state.counts.filter("refs > 1").select("shard", "key", "owner")
-    lost = state.postings.join(shared, ["shard", "key"]).filter("doc_id <> owner")
+    lost = join_hot(state.postings, state.shared, ["shard", "key"], "refs").filter("doc_id <> owner")
     name, own = fresh_name(docs, "lost"), fresh_name(docs, "lost_id")
     lost = lost.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(name))
 
@@ -269,13 +314,20 @@ def rewrite(docs: DataFrame, state: LineState, text: str = "text", min_chars: in
     out = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost[own], "left")
     result = fresh_name(docs, "kept")
     out = out.withColumn(result, keep(F.col(text).cast("string"), F.col(name)))
-    return out.select(*[F.col(f"{result}.text").alias(text) if c == text else docs[c] for c in docs.columns], F.struct(f"{result}.n_lines", f"{result}.n_dropped").alias("lines"))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """rewrite() of docs by a state that holds just these documents."""
-    state = insert(LineState.empty(docs.sparkSession, shards_for(docs)), docs)
-    return rewrite(docs, state)
+    return out.select(*[F.col(f"{result}.text").alias(text) if c == text else docs[c] for c in docs.columns], F.struct(f"{result}.n_lines", f"{result}.n_dropped").alias(to or result_name(docs, "lines")))
+
+
+def dedup(docs: DataFrame, batches: int = BATCHES, to: str | None = None) -> DataFrame:
+    """rewrite() of docs by a state that holds just these documents, inserted in batches."""
+    state = LineState.empty(docs.sparkSession, shards_for(docs))
+    rows = postings(docs, state.shards)
+    if repeats(docs.filter("doc_id IS NOT NULL")):
+        rows = rows.distinct()
+    rows = materialize(rows)
+    for i in range(batches):
+        state = insert_postings(state, rows.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(batches)) == i))
+    state.postings = rows  # the batches together
+    return rewrite(docs, state, to=to)
 
 
 def digests(docs: DataFrame) -> DataFrame:
