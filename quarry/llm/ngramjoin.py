@@ -3,22 +3,28 @@
 1. Documents with the same words are one class; the smallest doc_id stands for it.
 2. Representatives get MinHash signatures. The number of bands and rows is the cheapest that
    reaches the target recall at the threshold.
-3. Representatives meet on band hashes. A meeting place is read as a stream: each newcomer is
-   compared, by one byte of each minimum, with the leaders met so far, and linked to those that
-   may be similar; a newcomer very close to a leader isn't kept as a leader itself, since whatever
-   is similar to it is close to that leader too. So a place of m copies costs m rows, not m * m.
+3. Representatives meet on band hashes; places of one are dropped before signatures are sent to them.
+   A place is read as a stream: each newcomer is compared, by one byte of each minimum, with the leaders
+   met so far, and linked to those that may be similar; a newcomer very close to a leader isn't kept as
+   a leader itself, since whatever is similar to it is close to that leader too. So a place of m copies
+   costs m rows, not m * m. A place of over PLACE rows is dealt out over tasks, whose leaders are then
+   compared with one another, a pair of tasks' leaders to a task.
 4. The links' connected components are the neighbourhoods within which pairs are verified, all
    pairs against all, on the full n-gram sets; large neighbourhoods are dealt out as pairs of
    blocks of BLOCK documents. Only counts and the links of a spanning forest leave a task.
 5. The components of the verified links are the classes.
 
+Copies, neighbourhoods, places and stars that hold a large share of all rows meet their one row of facts
+by a broadcast of hot keys (common.join_hot).
+
 Result per document: class_id (the smallest doc_id of its class) and n_links (how many other
 documents are similar to it, copies included).
 
 A word is a run of characters other than ASCII white space, in lower case. N-grams are compared by
 64-bit digests. Defined results: a document of fewer than n words has one n-gram, all its words; null,
 empty and blank texts are similar to nothing; rows of null doc_id get a null class and no links;
-rows that share a doc_id are one document, with the n-grams of each of them. Extra columns pass through.
+rows that share a doc_id are one document, with the n-grams of each of them; very long texts are read
+whole; an empty table gives an empty table. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, fresh_name, materialize
+from quarry.llm.common import bounded_batches, fresh_name, join_hot, materialize, repeats, result_name
 from quarry.llm.components import connected_components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -40,6 +46,9 @@ BLOCK = 256
 #: Estimates from which a newcomer is linked to a leader, and from which it isn't kept as one.
 #: If J(x, leader) >= 1 - e then what is similar to x at t has J(leader) >= t - e.
 LINK_FROM, CLOSE_FROM = 0.45, 0.88
+#: Rows of a place that one task reads, and the estimate from which leaders of two tasks are linked: what
+#: each stands for may be 1 - CLOSE_FROM away from it.
+PLACE, LINK_ACROSS = 4096, 0.35
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 19
 
@@ -55,6 +64,8 @@ def choose_bands(threshold: float, recall: float, most: int = MAX_MINIMA) -> tup
             if 1 - (1 - threshold**rows) ** bands >= recall:
                 options.append((rows, bands))
                 break
+    if not options:
+        raise ValueError(f"{most} minima can't reach a recall of {recall} at {threshold}")
     least = min((r * b for r, b in options if r >= 3), default=min(r * b for r, b in options))
     rows, bands = max((r, b) for r, b in options if r * b <= 2 * least)
     return bands, rows
@@ -174,7 +185,7 @@ def gram_sets(docs: list[list[str | None]], n: int) -> tuple[list[np.ndarray], l
 def whole_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, texts): a row per doc_id with the texts of its rows."""
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if _repeats(rows):
+    if repeats(rows):
         return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
     return rows.select("doc_id", F.array("text").alias("texts"))
 
@@ -231,31 +242,45 @@ class Forest:
         return True
 
 
+def _guess(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated similarities of rows of marks, broadcast, less the bytes that agree by chance."""
+    return ((marks == other).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
 def _meet(batches):
-    """Links among the members of each meeting place; rows come sorted by place."""
-    place, leaders, ids, forest, used = None, np.empty((16, 0), np.uint8), [], Forest(), 0
+    """Links among the members of each part of a meeting place, rows sorted by place and part; of places
+    in several parts their leaders too, as rows without b."""
+    task, leaders, ids, forest, used, split = None, np.empty((16, 0), np.uint8), [], Forest(), 0, False
+    out: list[tuple] = []
+
+    def done():
+        if split:
+            out.extend((ids[i], None, *task, leaders[i].tobytes()) for i in range(used))
+
+    def rows():
+        cols = list(zip(*out, strict=True))
+        out.clear()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "place", "part", "marks"])
+
     for batch in batches:
-        places = batch.column(0).to_numpy(zero_copy_only=False)
-        docs = batch.column(1).to_numpy(zero_copy_only=False)
-        marks = batch.column(2).to_pylist()
-        out: list[tuple[int, int]] = []
-        for p, d, m in zip(places.tolist(), docs.tolist(), marks, strict=True):
+        for p, part, parts, d, m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             v = np.frombuffer(m, np.uint8)
-            if p != place:
-                place, ids, forest, used = p, [], Forest(), 0
+            if (p, part) != task:
+                done()
+                task, ids, forest, used, split = (p, part), [], Forest(), 0, parts > 1
                 if leaders.shape[1] != len(v) or len(leaders) > 4096:
                     leaders = np.empty((16, len(v)), np.uint8)
             elif used:
-                same = (leaders[:used] == v).mean(axis=1)
-                guess = (same - 1 / 256) / (1 - 1 / 256)
+                guess = _guess(leaders[:used], v)
                 best = int(np.argmax(guess))
                 near = np.flatnonzero(guess >= LINK_FROM).tolist()
                 if guess[best] >= CLOSE_FROM:  # all that are linked through d are linked to one of these
-                    out.append((ids[best], d))
-                    out += [(ids[best], ids[k]) for k in near if forest.join(best, k)]
+                    out.append((ids[best], d, None, None, None))
+                    out += [(ids[best], ids[k], None, None, None) for k in near if forest.join(best, k)]
                     continue
                 me = forest.add()
-                out += [(ids[k], d) for k in near if forest.join(k, me)]
+                out += [(ids[k], d, None, None, None) for k in near if forest.join(k, me)]
             if not used:
                 forest.add()
             if used == len(leaders):
@@ -264,17 +289,58 @@ def _meet(batches):
             used += 1
             ids.append(d)
         if out:
-            a = np.array(out, np.int64)
+            yield rows()
+    done()
+    if out:
+        yield rows()
+
+
+def _meet_across(batches):
+    """Links between the leaders of two parts of a place; rows sorted by place, l, r and part."""
+    task, held, right = None, [], []
+
+    def links():
+        if not held or not right:
+            return
+        forest, found = Forest(), []
+        for _ in range(len(held) + len(right)):
+            forest.add()
+        others = np.stack([np.frombuffer(m, np.uint8) for _, m in right])
+        for i, (d, m) in enumerate(held):
+            near = np.flatnonzero(_guess(others, np.frombuffer(m, np.uint8)) >= LINK_ACROSS).tolist()
+            found += [(d, right[k][0]) for k in near if forest.join(i, len(held) + k)]
+        if found:
+            a = np.array(found, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
+    for batch in batches:
+        for p, x, y, part, d, m in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (p, x, y) != task:
+                yield from links()
+                task, held, right = (p, x, y), [], []
+            (held if part == x else right).append((d, m))
+    yield from links()
+
 
 def candidate_links(reps: DataFrame) -> DataFrame:
-    """(a, b): links that join all representatives that may be similar. reps: doc_id, bands, marks."""
-    places = reps.select("doc_id", "marks", F.explode("bands").alias("place"))
-    shared = places.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("place")
-    met = places.join(shared, "place", "left_semi").select("place", "doc_id", "marks")
-    met = met.repartition("place").sortWithinPartitions("place", "doc_id")
-    return met.mapInArrow(_meet, "a long, b long").distinct()
+    """(a, b): links that join all representatives that may be similar. reps: doc_id, bands, marks; read
+    more than once."""
+    places = reps.select("doc_id", F.explode("bands").alias("place"))
+    shared = materialize(places.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = join_hot(places, shared, ["place"], "n").select("place", F.ceil(F.col("n") / PLACE).cast("int").alias("parts"), "doc_id")
+    # signatures go only to places of two or more
+    met = met.join(reps.select("doc_id", "marks"), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    met = met.select("place", "part", "parts", "doc_id", "marks").repartition("place", "part").sortWithinPartitions("place", "part", "doc_id")
+    found = materialize(met.mapInArrow(_meet, "a long, b long, place long, part int, marks binary"))
+    links = found.filter("b IS NOT NULL").select("a", "b")
+    leaders = found.filter("b IS NULL")
+    if leaders.isEmpty():
+        return links
+    parts = shared.select("place", F.ceil(F.col("n") / PLACE).cast("int").alias("parts")).filter("parts > 1")
+    pairs = leaders.join(parts, "place").select("place", "part", "a", "marks", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))).alias("other"))
+    pairs = pairs.select("place", F.least("part", "other").alias("l"), F.greatest("part", "other").alias("r"), "part", "a", "marks")
+    pairs = pairs.repartition("place", "l", "r").sortWithinPartitions("place", "l", "r", "part")
+    return links.unionByName(pairs.mapInArrow(_meet_across, "a long, b long"))
 
 
 def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -341,21 +407,21 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with `similar`: struct of class_id and n_links. Needs doc_id and text."""
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, to: str | None = None) -> DataFrame:
+    """docs with `to` (`similar`, with underscores before it where docs has one): struct of class_id and
+    n_links. Needs doc_id and text."""
     bounded_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     whole = whole_documents(docs)
     signed = materialize(signatures(whole, bands, rows, n))
-    same = signed.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-    same = materialize(same)
-    reps = signed.join(same, "words_key").filter("doc_id = rep")
+    same = materialize(signed.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    reps = materialize(signed.drop("words_key").join(same.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"))
     hoods = connected_components(candidate_links(reps))
 
     # number the members of each neighbourhood and deal them to blocks
-    members = hoods.join(same.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies")), "node")
+    members = materialize(hoods.join(reps.select(F.col("doc_id").alias("node"), "copies"), "node"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = join_hot(members, sizes, ["root"], "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = materialize(members.select("root", "node", "copies", "blocks", "block"))
     held = whole.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node")
@@ -367,8 +433,8 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("other IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-    same = same.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    result = signed.select("doc_id", "words_key").join(same, "words_key")
+    same = materialize(same.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left"))
+    result = join_hot(signed.select("doc_id", "words_key"), same, ["words_key"], "copies")
     result = result.select(
         "doc_id",
         F.coalesce("root", "rep").alias("class_id"),
@@ -378,12 +444,7 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     result = result.select(F.col("doc_id").alias(own), F.struct("class_id", "n_links").alias(name))
     out = docs.join(result.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left")
     similar = F.struct(F.coalesce(F.col(f"{name}.class_id"), F.col("doc_id")).alias("class_id"), F.coalesce(F.col(f"{name}.n_links"), F.lit(0)).alias("n_links"))
-    return out.select(*[docs[c] for c in docs.columns], similar.alias("similar"))
-
-
-def _repeats(rows: DataFrame) -> bool:
-    """Whether some doc_id has more than one row."""
-    return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return out.select(*[docs[c] for c in docs.columns], similar.alias(to or result_name(docs, "similar")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
