@@ -66,13 +66,15 @@ def page_numbers(answer: Column) -> Column:
 
 def figure_references(answers: DataFrame, result_pages: DataFrame | None = None) -> DataFrame:
     """(query_id, figure_number, page): every figure of an answer with every page it names, or, if it
-    names none, with the pages of the text results (query_id, page)."""
-    rows = answers.select("query_id", figure_numbers(F.col("answer")).alias("figures"), page_numbers(F.col("answer")).alias("pages")).filter(F.size("figures") > 0)
+    names none, with the pages of the text results (query_id, page). A doc_id of answers is kept."""
+    more = [c for c in ("doc_id",) if c in answers.columns]
+    rows = answers.select("query_id", *more, figure_numbers(F.col("answer")).alias("figures"), page_numbers(F.col("answer")).alias("pages")).filter(F.size("figures") > 0)
     if result_pages is not None:
         known = result_pages.filter("page > 0").groupBy("query_id").agg(F.array_sort(F.collect_set("page")).alias("known"))
         rows = rows.join(known, "query_id", "left")
         rows = rows.withColumn("pages", F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.coalesce("known", F.array().cast("array<int>"))))
-    return rows.select("query_id", F.explode("figures").alias("figure_number"), "pages").select("query_id", "figure_number", F.explode("pages").alias("page"))
+    rows = rows.select("query_id", *more, F.explode("figures").alias("figure_number"), "pages")
+    return rows.select("query_id", *more, "figure_number", F.explode("pages").alias("page"))
 
 
 def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame | None = None) -> DataFrame:
@@ -80,20 +82,22 @@ def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame |
 
     Per reference, in order of figure and page: the first image of the page not referred to yet whose
     caption or surroundings name the figure, or whose position on the page is its number; else all the
-    others of the page. shown: (query_id, image_id) that are referred to already.
+    others of the page. shown: (query_id, image_id) that are referred to already. Where references have a
+    doc_id the page is that document's; only the images of pages referred to are read.
     """
-    place = F.row_number().over(Window.partitionBy("page").orderBy("id"))
-    pool = images.select("page", F.col("id").cast("string").alias("image_id"), place.alias("position"), F.lower(F.coalesce("vlm_caption", F.lit(""))).alias("caption"), F.lower(F.coalesce("surrounding_context", F.lit(""))).alias("around"))
-    rows = references.join(pool, "page")
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("id"))
+    pool = images.select("doc_id", "page", F.col("id").cast("string").alias("image_id"), place.alias("position"), F.lower(F.coalesce("vlm_caption", F.lit(""))).alias("caption"), F.lower(F.coalesce("surrounding_context", F.lit(""))).alias("around"))
+    rows = references.join(pool, ["doc_id", "page"]) if "doc_id" in references.columns else references.join(pool, "page")
+    named = lambda c: F.regexp_like(F.col(c), F.concat(F.lit(r"fig(ure|\.)? "), F.col("figure_number").cast("string")))
+    rows = rows.select("query_id", "figure_number", "doc_id", "page", "position", "image_id", (named("caption") | named("around") | (F.col("position") == F.col("figure_number"))).alias("fits"))
     if shown is not None:
         rows = rows.join(shown.select("query_id", F.col("image_id").cast("string")), ["query_id", "image_id"], "left_anti")
 
     def run(pdf):
         used, out = set(), []
         for (figure, page), group in pdf.groupby(["figure_number", "page"], sort=True):
-            free = [r for r in group.sort_values("position").itertuples() if r.image_id not in used]
-            names = [f"figure {figure}", f"fig {figure}", f"fig. {figure}"]
-            hit = [r for r in free if r.position == figure or any(n in r.caption or n in r.around for n in names)]
+            free = [r for r in group.sort_values(["doc_id", "position"]).itertuples() if r.image_id not in used]
+            hit = [r for r in free if r.fits]
             for r in hit[:1] or free:
                 used.add(r.image_id)
                 out.append((r.query_id, r.image_id, page, f"Figure {figure}" if hit else f"Figure {figure} on page {page}"))
@@ -102,3 +106,8 @@ def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame |
         return pd.DataFrame(out, columns=["query_id", "image_id", "page", "caption"])
 
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, image_id string, page int, caption string")
+
+
+def image_references(images: DataFrame) -> DataFrame:
+    """(query_id, image_id, page, caption): image results as they are shown beside an answer."""
+    return images.select("query_id", F.col("id").cast("string").alias("image_id"), "page", F.coalesce("vlm_caption", F.lit("")).alias("caption"))

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 RELATED = "array<struct<chunk_id: string, text: string, section_heading: string, distance: double, overlap: double>>"
-CHUNKS = "id long, text string, page int, section_heading string, is_table boolean"
-IMAGES = "id long, page int, vlm_caption string, ocr_text string, related_text_content string, embedding array<float>, bbox " + BOX
+CHUNKS = "id long, doc_id long, text string, page int, section_heading string, is_table boolean"
+#: Schemas of what decoders give.
+DECODED_IMAGES = f"doc_id long, page int, image_id string, format string, bbox {BOX}, content binary"
+DECODED_TABLES = f"doc_id long, page int, table_id string, headers array<string>, rows array<array<string>>, bbox {BOX}"
+#: Rows of the driver's tables that stand for one document of 20 pages.
+A_DOCUMENT = 100
+IMAGES = "id long, doc_id long, page int, vlm_caption string, ocr_text string, related_text_content string, embedding array<float>, bbox " + BOX
 QUERIES = "query_id long, query string, query_vec array<float>"
 METADATA_VERSION = "1.1"
 
@@ -18,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as text chunks: id, text, page, section_heading, is_table."""
+    """documents as text chunks: id, doc_id, text, page, section_heading, is_table."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"),
+        F.floor(F.col("doc_id") / A_DOCUMENT).alias("doc_id"),
         "text",
         (1 + F.col("doc_id") % 20).cast("int").alias("page"),
         F.col("source").alias("section_heading"),
@@ -34,14 +40,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as images, with captions from documents and OCR text from benchmark."""
+    """embeddings as images, with captions and related text from documents and OCR text from benchmark."""
     e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("vlm_caption"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("vlm_caption"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("ocr_text"))
     i = e.join(d, "vec_id", "left").join(b, F.col("vec_id") % 40 == F.col("item"), "left")
     v = F.col("vec_id")
     return i.select(
         v.alias("id"),
+        F.floor(v / A_DOCUMENT).alias("doc_id"),
         (1 + v % 20).cast("int").alias("page"),
         F.coalesce("vlm_caption", F.lit("")).alias("vlm_caption"),
         F.coalesce("ocr_text", F.lit("")).alias("ocr_text"),
