@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import is_heading, pack, paragraphs, strip
+from quarry.functions.text import is_heading, paragraphs, strip
 
 LEAST_BLOCK, LEAST_CHUNK = 50, 50
 #: Separators in the order in which they are tried.
@@ -40,19 +40,43 @@ def _quote(separator: str) -> str:
     return separator.replace(".", r"\.")
 
 
-def mean_piece(text: Column, separator: str) -> Column:
+def _mean_piece(text: Column, separator: str) -> Column:
     """Mean length of the pieces that aren't blank, 0 if there are none."""
-    pieces = F.filter(F.split(text, _quote(separator)), lambda x: strip(x) != "")
-    return F.when(F.size(pieces) > 0, F.aggregate(pieces, F.lit(0), lambda s, x: s + F.length(x)) / F.size(pieces)).otherwise(F.lit(0.0))
+    total = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"))
+    step = lambda a, x: F.when(x.rlike(r"\S"), F.struct((a["n"] + 1).alias("n"), (a["chars"] + F.length(x)).alias("chars"))).otherwise(a)
+    return F.aggregate(F.split(text, _quote(separator)), total, step, lambda a: F.when(a["n"] > 0, a["chars"] / a["n"]).otherwise(F.lit(0.0)))
 
 
 def route(text: Column, size: int) -> Column:
     """Number of the first separator whose pieces have about the wanted size, or null."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(SEPARATORS))):
-        mean = mean_piece(text, SEPARATORS[i])
-        out = F.when((mean >= size / 2) & (mean <= size * 2), F.lit(i)).otherwise(out)
-    return out
+    means = F.array(*[_mean_piece(text, x) for x in SEPARATORS])
+    found = F.array_position(F.transform(means, lambda m: (m >= size / 2) & (m <= size * 2)), F.lit(True))
+    return F.when(found > 0, (found - 1).cast("int"))
+
+
+def _not_blank(text: str) -> bool:
+    return bool(text.strip(" \t\n\x0b\f\r"))
+
+
+def pack_pieces(pieces: list[str], size: int, joiner: str) -> list[str]:
+    """Neighbouring pieces joined while their lengths together stay within size; joiners don't count."""
+    out, open_, n = [], [], 0
+    for x in pieces:
+        if open_ and n + len(x) > size:
+            out.append(joiner.join(open_))
+            open_, n = [], 0
+        open_.append(x)
+        n += len(x)
+    return [*out, joiner.join(open_)] if open_ else out
+
+
+def split_text(text: str, size: int, overlap: int) -> list[str]:
+    """The packed pieces of route()'s separator, or windows where no separator fits."""
+    for separator in SEPARATORS:
+        pieces = [x for x in text.split(separator) if _not_blank(x)]
+        if pieces and size / 2 <= sum(map(len, pieces)) / len(pieces) <= size * 2:
+            return pack_pieces(pieces, size, separator)
+    return split_by_size(text, size, overlap)
 
 
 def split_by_size(text: str, size: int, overlap: int) -> list[str]:
@@ -79,20 +103,14 @@ def split_by_size(text: str, size: int, overlap: int) -> list[str]:
 
 def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """(original_chunk_id, chunk_id, chunk_index, total_chunks, text, page, section_heading) of docs
-    (chunk_id, text, page, section_heading): pieces at the best separator, packed up to size, or windows."""
+    (chunk_id, text, page, section_heading): pieces at the best separator, packed up to size, or windows.
+    Greedy packing and windows go from left to right, so one Arrow function does both in one pass."""
 
     @F.arrow_udf("array<string>")
-    def windows(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else split_by_size(x, size, overlap) for x in texts.to_pylist()], pa.list_(pa.string()))
-
-    rows = docs.filter(F.length(strip(F.col("text"))) >= LEAST_CHUNK).withColumn("way", route(F.col("text"), size))
-    packed = F.lit(None).cast("array<string>")
-    for i, separator in enumerate(SEPARATORS):
-        pieces = F.filter(F.split("text", _quote(separator)), lambda x: strip(x) != "")
-        packed = F.when(F.col("way") == i, pack(pieces, size, separator)).otherwise(packed)
-    routed = rows.filter("way IS NOT NULL").withColumn("parts", packed)
-    sized = rows.filter("way IS NULL").withColumn("parts", windows("text"))
-    both = routed.unionByName(sized)
+    def parts(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else split_text(x, size, overlap) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    both = docs.filter(F.length(strip(F.col("text"))) >= LEAST_CHUNK).withColumn("parts", parts("text"))
     name = F.coalesce("chunk_id", F.lit("chunk"))
     out = both.select(name.alias("original_chunk_id"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("section_heading", F.lit("")).alias("section_heading"), F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text"))
     out = out.filter(F.length(strip(F.col("text"))) >= LEAST_CHUNK)
