@@ -26,6 +26,10 @@ class Index:
     stats: DataFrame
     buckets: int = 0
 
+    def release(self) -> None:
+        """Give back what build() keeps; the index can still be used, at the price of building it anew."""
+        self.postings.unpersist()
+
     def save(self, path: str, buckets: int = 64) -> Index:
         """Write the index; postings by bucket of the term and sorted by term, so that a search reads
         the buckets of its terms and skips row groups within them."""
@@ -43,6 +47,14 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats.drop("buckets"), stats.first()["buckets"])
 
 
+def searchable(chunks: DataFrame) -> DataFrame:
+    """(id, text) of chunks as they are indexed: tables with the text related to them."""
+    if "related_text_content" not in chunks.columns:
+        return chunks.select("id", "text")
+    more = F.when(F.col("is_table"), F.col("related_text_content"))
+    return chunks.select("id", F.concat_ws(" ", "text", more).alias("text"))
+
+
 def build(chunks: DataFrame, keep: bool = True) -> Index:
     """Index of chunks (id, text). Chunks without tokens don't count as documents.
 

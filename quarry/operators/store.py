@@ -67,36 +67,90 @@ def flat_metadata(linked: Column, n: int = 500) -> Column:
     return F.substring(F.array_join(linked.cast("array<string>"), ","), 1, n)
 
 
+def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, metadata): all columns of a row but vectors and bytes as JSON, with the metadata's version."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    shown = [c for c in rows.columns if kinds[c] not in ("binary", "array<float>", "array<double>") and c != "metadata_version"]
+    return rows.select(key, F.to_json(F.struct(*shown, F.lit(METADATA_VERSION).alias("metadata_version")), {"ignoreNullFields": "false"}).alias("metadata"))
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the version that this one was about to make."""
+
+
 class Store:
-    """Versioned Parquet tables below a path: a write makes a new version, then moves the pointer."""
+    """Versioned Parquet tables below a path, in buckets of a key.
+
+    A write rewrites the buckets that its rows fall into, as a new version of these, and then creates the
+    file that names each bucket's version. Only one writer can create the file of a version; readers go by
+    the newest, so they see a write whole or not at all.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self, name: str) -> int:
+    def _fs(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> int:
+        """The newest version of a table, 0 if there is none."""
+        place, fs = self._fs(f"{self.path}/{name}/versions")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(place)), default=0) if fs.exists(place) else 0
+
+    def _buckets(self, name: str, version: int) -> dict[int, int]:
+        """Bucket -> version of its files; BUCKETS entries at most."""
+        if not version:
+            return {}
+        text = self.spark.read.text(f"{self.path}/{name}/versions/{version}").collect()
+        return {int(b): int(v) for b, v in (r[0].split(" ") for r in text)}
+
+    def _read(self, name: str, buckets: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/{name}/v{v}/bucket={b}" for b, v in buckets.items()]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+
+    def read(self, name: str) -> DataFrame | None:
+        return self._read(name, self._buckets(name, self.version(name)))
+
+    def add(self, name: str, new: DataFrame, key: list[str], replace: bool = True, whole: list[str] | None = None) -> DataFrame:
+        """Upsert by key, or insertion of new keys only; an empty batch changes nothing. With `whole` (the
+        first columns of the key) all old rows that share these with a new one go."""
+        now = self.version(name)
+        held = self._buckets(name, now)
+        by = key[:1]
+        bucket = F.pmod(F.xxhash64(*by), F.lit(self.BUCKETS)).cast("int")
+        touched = sorted(r[0] for r in new.select(bucket.alias("b")).distinct().collect())
+        if not touched:
+            return self._read(name, held) if held else new
+        rows = new.dropDuplicates(key)
+        old = self._read(name, {b: held[b] for b in touched if b in held})
+        if old is not None:
+            rows = insert_only(old, rows, key) if not replace else upsert(old, rows, whole or key)
+        folder = f"{self.path}/{name}/v{now + 1}"
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        held |= dict.fromkeys(touched, now + 1)
+        self._publish(name, now + 1, held)
+        return self._read(name, held)
+
+    def _publish(self, name: str, version: int, held: dict[int, int]) -> None:
+        place, fs = self._fs(f"{self.path}/{name}/versions/{version}")
         try:
-            rows = self.spark.read.text(f"{self.path}/{name}/current").collect()
+            out = fs.create(place, False)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
+            if fs.exists(place):
+                raise Conflict(f"{name} has a version {version} by another writer") from e
             raise
-        return max((int(r[0]) for r in rows), default=0)
-
-    def read(self, name: str) -> DataFrame | None:
-        v = self._version(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{v}") if v else None
-
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        v = self._version(name) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{v}")
-        self.spark.range(1).select(F.lit(str(v))).coalesce(1).write.mode("append").text(f"{self.path}/{name}/current")
-        return self.spark.read.parquet(f"{self.path}/{name}/v{v}")
-
-    def add(self, name: str, new: DataFrame, key: list[str], replace: bool = True) -> DataFrame:
-        """Upsert, or insertion of new keys only; an empty batch changes nothing."""
-        old = self.read(name)
-        if old is None:
-            return self.write(name, new.dropDuplicates(key))
-        if new.isEmpty():
-            return old
-        return self.write(name, (upsert if replace else insert_only)(old, new.dropDuplicates(key), key))
+        out.write(bytearray("\n".join(f"{b} {v}" for b, v in sorted(held.items())).encode()))
+        out.close()
+
+    def vacuum(self, name: str) -> None:
+        """Remove the files that the newest version doesn't use."""
+        used = {f"v{v}/bucket={b}" for b, v in self._buckets(name, self.version(name)).items()}
+        place, fs = self._fs(f"{self.path}/{name}")
+        for folder in fs.listStatus(place):
+            if folder.getPath().getName().startswith("v") and folder.getPath().getName() != "versions":
+                for bucket in fs.listStatus(folder.getPath()):
+                    if f"{folder.getPath().getName()}/{bucket.getPath().getName()}" not in used:
+                        fs.delete(bucket.getPath(), True)
