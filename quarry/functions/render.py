@@ -97,3 +97,67 @@ def aspect_ratio(width: Column, height: Column) -> Column:
 
 def data_uri(data: Column, kind: str = "png") -> Column:
     return F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(data))
+
+
+def _or(name: str, have: set[str], other, kind: str | None = None) -> Column:
+    """The column, or what stands for it where it is null or missing."""
+    value = F.coalesce(F.col(name), F.lit(other)) if name in have else F.lit(other)
+    return value.cast(kind) if kind else value
+
+
+def _related(have: set[str]) -> Column:
+    empty = F.array().cast("array<struct<section_heading: string, text: string>>")
+    if "related" not in have:
+        return empty
+    return F.coalesce(F.transform("related", lambda c: F.struct(c["section_heading"].alias("section_heading"), c["text"].alias("text"))), empty)
+
+
+def shown_image(columns: list[str]) -> Column:
+    """An image result as it is shown: every field there, missing ones with their defaults."""
+    h = set(columns)
+    return F.struct(
+        _or("image_path", h, "").alias("image"),
+        F.col("id").cast("string").alias("image_id"),
+        _or("vlm_caption", h, "").alias("caption"),
+        _or("ocr_text", h, "").alias("ocr_text"),
+        related_lines(_related(h)).alias("context"),
+        _or("page", h, 0, "int").alias("page"),
+        _or("score", h, 0.0, "double").alias("score"),
+        _or("search_method", h, "unknown").alias("search_method"),
+    )
+
+
+def shown_table(columns: list[str]) -> Column:
+    """A table result as it is shown; its score is that of the reranker, or else the hybrid one."""
+    h = set(columns)
+    scores = [F.col(c) for c in ("rerank_score", "hybrid_score") if c in h]
+    meta = lambda c, other: F.coalesce(F.col(f"table_meta.{c}"), F.lit(other)) if "table_meta" in h else F.lit(other)
+    return F.struct(
+        F.col("id").cast("string").alias("table_id"),
+        _or("text", h, "").alias("text"),
+        _or("page", h, 0, "int").alias("page"),
+        _or("section_heading", h, "").alias("section"),
+        related_lines(_related(h)).alias("context"),
+        meta("html", "").alias("table_html"),
+        meta("markdown", "").alias("table_markdown"),
+        meta("num_rows", 0).alias("num_rows"),
+        meta("num_cols", 0).alias("num_cols"),
+        F.coalesce(*scores, F.lit(0.0)).alias("score"),
+    )
+
+
+def metadata_summary(columns: list[str]) -> Column:
+    """What a result has: flags and the number of related chunks."""
+    h = set(columns)
+    n = F.size(_related(h))
+    some = lambda c: _or(c, h, "") != ""
+    return F.struct(
+        F.col("id").cast("string").alias("id"),
+        _or("page", h, 0, "int").alias("page"),
+        _or("section_heading", h, "").alias("section"),
+        (n > 0).alias("has_related_chunks"),
+        n.alias("num_related_chunks"),
+        some("vlm_caption").alias("has_vlm_caption"),
+        some("ocr_text").alias("has_ocr"),
+        _or("is_table", h, False).alias("is_table"),
+    )

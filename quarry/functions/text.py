@@ -75,9 +75,9 @@ def _suffix(name: Column) -> Column:
     return F.regexp_extract(name, r"[^/.][^/]*?(\.[^./]+)$", 1)
 
 
-def validate_filename(name: Column) -> Column:
+def validate_filename(name: Column, extensions: tuple[str, ...] | None = None) -> Column:
     """Whether a name is an allowed file name: extension, plain characters, no paths."""
-    known = F.lower(_suffix(name)).isin(*EXTENSIONS)
+    known = F.lower(_suffix(name)).isin(*(extensions or EXTENSIONS))
     return F.coalesce((name != "") & known & ~name.rlike(r"\.\./|\.\.\\") & name.rlike(r"^[a-zA-Z0-9._-]+$") & ~name.startswith("/"), F.lit(False))
 
 
@@ -93,6 +93,7 @@ def validate_file_size(size: Column, most: int | None = None) -> Column:
     """struct(ok, message): too large, empty, or fine with a null message."""
     most = most or MAX_FILE
     mb = F.format_string("%.1f", size / 1024 / 1024)
+    # fixed values: the messages
     large = F.concat(F.lit("File too large: "), mb, F.lit(f" MB. Maximum: {most / 1024 / 1024:.0f} MB"))
     message = F.when(size > most, large).when(size == 0, F.lit("File is empty"))
     return F.struct(message.isNull().alias("ok"), message.alias("message"))

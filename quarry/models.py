@@ -50,17 +50,23 @@ class Models:
     expand: Callable[[Column], Column] = field(default=lambda q: q)
 
 
+def _batch(f: Callable, *columns: list) -> list:
+    try:
+        return list(f(*columns))
+    except Exception:
+        if len(columns[0]) < 2:
+            return [None] * len(columns[0])
+        return [x for row in zip(*columns, strict=True) for x in _batch(f, *([v] for v in row))]
+
+
 def batch_udf(f: Callable, kind: str) -> Callable:
-    """A column function of a batch function; a batch that fails gives nulls."""
+    """A column function of a batch function; of a batch that fails each row is tried by itself, and the
+    rows that fail give nulls."""
     types = {"string": pa.string(), "array<float>": pa.list_(pa.float32()), "double": pa.float64()}
 
     @F.arrow_udf(kind)
     def one(a: pa.Array) -> pa.Array:
-        try:
-            values = f(a.to_pylist())
-        except Exception:
-            values = [None] * len(a)
-        return pa.array(values, types[kind])
+        return pa.array(_batch(f, a.to_pylist()), types[kind])
 
     return one
 
@@ -70,11 +76,7 @@ def rerank_with(f: Callable) -> Callable[[DataFrame], DataFrame]:
 
     @F.arrow_udf("double")
     def score(queries: pa.Array, texts: pa.Array) -> pa.Array:
-        try:
-            values = [float(x) for x in f(queries.to_pylist(), texts.to_pylist())]
-        except Exception:
-            values = [None] * len(texts)
-        return pa.array(values, pa.float64())
+        return pa.array([None if x is None else float(x) for x in _batch(f, queries.to_pylist(), texts.to_pylist())], pa.float64())
 
     return lambda rows: rows.withColumn("rerank_score", score("query", "text"))
 

@@ -44,6 +44,20 @@ def text_errors() -> Column:
     return _errors(*_page_rules(), (F.coalesce(F.length("text"), F.lit(0)) == 0, "Missing required field: text"))
 
 
+def errors_by_kind() -> Column:
+    """Errors by the rules of the row's kind (image, table or text); another kind is an error itself."""
+    unknown = F.array(F.concat(F.lit("Unknown metadata type: "), F.coalesce("kind", F.lit("null"))))
+    return F.when(F.col("kind") == "image", image_errors()).when(F.col("kind") == "table", table_errors()).when(F.col("kind") == "text", text_errors()).otherwise(unknown)
+
+
+def consistency(ids: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(id, kind, errors) for every id of a collection: of its metadata by its kind, or that it has none.
+    Text chunks are held against the rules for text."""
+    checked = metadata.select("id", "kind", errors_by_kind().alias("errors"))
+    out = ids.select("id").join(checked, "id", "left")
+    return out.withColumn("errors", F.coalesce("errors", F.array(F.lit("No metadata found"))))
+
+
 def summary(checked: DataFrame) -> DataFrame:
     """One row: total, valid and invalid rows, number of errors."""
     return checked.agg(

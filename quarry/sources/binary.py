@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import sanitize_filename, validate_file_size, validate_filename
+
 PAGE_SCHEMA = "path string, page int, text string, _corrupt string"
+#: A box as decoders give it: x0, y0, x1, y1, or None.
+Box = tuple[float, float, float, float] | None
+
+
+@dataclass
+class Decoded:
+    """What a decoder reads from a file. pages: (page, text); blocks: (page, text, box) in page order;
+    images: (page, format, box, bytes); tables: (page, cells, box), the first row being the headers."""
+
+    pages: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, Box]] = field(default_factory=list)
+    images: list[tuple[int, str, Box, bytes]] = field(default_factory=list)
+    tables: list[tuple[int, list[list[str | None]], Box]] = field(default_factory=list)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -15,6 +36,14 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def guarded(rows: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """files() with filename (clean), doc_id (of the clean name) and refused: why a file isn't taken, or null."""
+    name = F.element_at(F.split("path", "/"), -1)
+    size = validate_file_size(F.col("length"))
+    refused = F.when(~validate_filename(name, extensions), "Invalid file name").when(~size["ok"], size["message"])
+    return rows.withColumn("filename", sanitize_filename(name)).withColumns({"doc_id": F.xxhash64("filename"), "refused": refused})
+
+
 def decode(rows: DataFrame, decoder: Callable[[bytes], Iterator[tuple[int, str]]]) -> DataFrame:
     """(path, page, text, _corrupt): pages of each file; a file that fails is one row with its error."""
 
@@ -33,11 +62,151 @@ def decode(rows: DataFrame, decoder: Callable[[bytes], Iterator[tuple[int, str]]
     return rows.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
+_BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
+_PARTS = (
+    "doc_id long, path string, pages array<struct<page: int, text: string>>, "
+    f"blocks array<struct<page: int, idx: int, text: string, bbox: {_BOX}>>, "
+    f"images array<struct<page: int, image_id: string, format: string, bbox: {_BOX}, content: binary>>, "
+    f"tables array<struct<page: int, table_id: string, headers: array<string>, rows: array<array<string>>, bbox: {_BOX}>>, _corrupt string"
+)
+
+
+def _box(box: Box) -> dict | None:
+    return None if box is None else dict(zip(("x0", "y0", "x1", "y1"), map(float, box), strict=True))
+
+
+def _numbered(items: list, kind: str) -> list[tuple]:
+    """Items with ids by page: p3_img0, p3_img1, ..."""
+    seen: dict[int, int] = {}
+    out = []
+    for item in items:
+        n = seen.get(item[0], 0)
+        seen[item[0]] = n + 1
+        out.append((item, f"p{item[0]}_{kind}{n}"))
+    return out
+
+
+def decode_documents(rows: DataFrame, decoder: Callable[[bytes], Decoded]) -> DataFrame:
+    """A row per file (doc_id, path, content): its pages, blocks, images and tables as arrays; a file that
+    fails has empty ones and its error in _corrupt. See part()."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    d, error = decoder(content), None
+                except Exception as e:
+                    d, error = Decoded(), str(e) or type(e).__name__
+                out.append(
+                    {
+                        "doc_id": doc_id,
+                        "path": path,
+                        "pages": [{"page": p, "text": t} for p, t in d.pages],
+                        "blocks": [{"page": p, "idx": i, "text": t, "bbox": _box(b)} for i, (p, t, b) in enumerate(d.blocks)],
+                        "images": [{"page": x[0], "image_id": k, "format": x[1], "bbox": _box(x[2]), "content": x[3]} for x, k in _numbered(d.images, "img")],
+                        "tables": [{"page": x[0], "table_id": k, "headers": x[1][0], "rows": x[1][1:], "bbox": _box(x[2])} for x, k in _numbered([t for t in d.tables if t[1]], "table")],
+                        "_corrupt": error,
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_PARTS))
+    return rows.select("doc_id", "path", "content").mapInArrow(run, _PARTS)
+
+
+def part(decoded: DataFrame, name: str) -> DataFrame:
+    """The pages, blocks, images or tables of decode_documents(), a row each with doc_id."""
+    return decoded.select("doc_id", F.inline(name))
+
+
 def plain_text(content: bytes) -> Iterator[tuple[int, str]]:
     """Default decoder: UTF-8 text with form feeds between pages."""
     for i, text in enumerate(content.decode("utf-8").split("\f"), 1):
         yield i, text
 
 
+def plain_document(content: bytes) -> Decoded:
+    return Decoded(pages=list(plain_text(content)))
+
+
+_DATA_URI = re.compile(r"data:image/([\w.+-]+);base64,(.*)", re.S)
+
+
+class _WebPage(HTMLParser):
+    """Text blocks, embedded images and tables of a web page; <hr class=page> begins a new page."""
+
+    _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption caption".split())
+    _SILENT = frozenset(("script", "style", "head", "template"))
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.page = Decoded(), 1
+        self.run: list[str] = []
+        self.cells: list[list[list[str]]] | None = None
+        self.silent = 0
+
+    def end_block(self):
+        text = " ".join("".join(self.run).split())
+        if text:
+            self.out.blocks.append((self.page, text, None))
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        have = dict(attrs)
+        self.silent += tag in self._SILENT
+        if tag in self._TEXT and self.cells is None:
+            self.end_block()
+        elif tag == "table":
+            self.end_block()
+            self.cells = []
+        elif tag == "tr" and self.cells is not None:
+            self.cells.append([])
+        elif tag in ("td", "th") and self.cells:
+            self.cells[-1].append([])
+        elif tag == "hr" and "page" in (have.get("class") or "").split():
+            self.end_block()
+            self.page += 1
+        elif tag == "img" and (m := _DATA_URI.match(have.get("src") or "")):
+            try:
+                self.out.images.append((self.page, m[1], None, base64.b64decode(m[2], validate=True)))
+            except binascii.Error:
+                pass  # one broken image doesn't cost the page
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in self._SILENT and self.silent > 0
+        if tag in self._TEXT and self.cells is None:
+            self.end_block()
+        elif tag == "table" and self.cells is not None:
+            rows = [[" ".join("".join(c).split()) or None for c in r] for r in self.cells if r]
+            self.cells = None
+            if rows:
+                self.out.tables.append((self.page, rows, None))
+
+    def handle_data(self, data):
+        if self.silent:
+            return
+        if self.cells is None:
+            self.run.append(data)
+        elif self.cells and self.cells[-1]:
+            self.cells[-1][-1].append(data)
+
+
+def web_document(content: bytes) -> Decoded:
+    """Decoder of web pages: a page's text is its blocks, with blank lines between them."""
+    reader = _WebPage()
+    reader.feed(content.decode("utf-8", "replace"))
+    reader.close()
+    reader.end_block()
+    by_page: dict[int, list[str]] = {n: [] for n in range(1, reader.page + 1)}
+    for page, text, _ in reader.out.blocks:
+        by_page[page].append(text)
+    reader.out.pages = [(p, "\n\n".join(t)) for p, t in by_page.items()]
+    return reader.out
+
+
 def errors(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("_corrupt").isNotNull()).select("path", F.col("_corrupt").alias("error"))
