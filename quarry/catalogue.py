@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ ASKED = {1: ("the results of the nation and that thing", 3), 2: ("und der schön
 
 VALUES = ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in ASKED.items())
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-CHUNKS = "chunks AS (SELECT doc_id AS id, text, (1 + doc_id % 20)::INT AS page, source AS section_heading, doc_id % 10 = 0 AS is_table FROM documents)"
+CHUNKS = "chunks AS (SELECT doc_id AS id, doc_id // 100 AS book, text, (1 + doc_id % 20)::INT AS page, source AS section_heading, doc_id % 10 = 0 AS is_table FROM documents)"
 ASKED_SQL = f"asked AS (SELECT query_id, query, embedding AS query_vec FROM (VALUES {VALUES}) q(query_id, query, vec_id) LEFT JOIN embeddings USING (vec_id))"
 BM25 = rf"""
 {CHUNKS}, {ASKED_SQL},
@@ -74,18 +75,37 @@ def _asked(spark, sf_dir):
     return schemas.queries(spark, sf_dir, ASKED)
 
 
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
+def _index(spark, sf_dir) -> bm25.Index:
+    """The index of the chunks, written once a session below the checkpoint folder (or else the warehouse)."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        built = bm25.build(schemas.chunks(spark, sf_dir))
+        _INDEXES[key] = built.save(f"{root.rstrip('/')}/quarry-index/{key[0]}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}", 16)
+        built.release()
+    return _INDEXES[key]
+
+
+def release() -> None:
+    """Forget the indexes."""
+    _INDEXES.clear()
+
+
 # ---- sparse and dense search
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, rank, id, round(bm25_score, 6) AS bm25_score FROM ({_top('bm', 'bm25_score', 20)}) WHERE bm25_score > 0")
 def bm25_topk(spark, sf_dir):
-    found = bm25.search(bm25.build(schemas.chunks(spark, sf_dir)), _asked(spark, sf_dir), 20)
+    found = bm25.search(_index(spark, sf_dir), _asked(spark, sf_dir), 20)
     return found.select("query_id", "rank", "id", score6(F.col("bm25_score")).alias("bm25_score"))
 
 
 @query("bm25_stats", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, sf_dir):
-    return bm25.build(schemas.chunks(spark, sf_dir)).terms.select("term", "df", score6(F.col("idf")).alias("idf"))
+    return _index(spark, sf_dir).terms.select("term", "df", score6(F.col("idf")).alias("idf"))
 
 
 @query("dense_topk", f"WITH {ASKED_SQL}, {DENSE} SELECT query_id, rank, id, round(dense_score, 6) AS dense_score FROM ({_top('de', 'dense_score', 15)})")
@@ -94,21 +114,17 @@ def dense_topk(spark, sf_dir):
     return found.select("query_id", "rank", "id", score6(F.col("dense_score")).alias("dense_score"))
 
 
-PAIRS = f"pr AS (SELECT x.vec_id AS a, y.vec_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE x.vec_id % 10 = 0 AND y.vec_id % 10 = 0)"
-
-
-def _report_images(spark, sf_dir):
-    return schemas.vectors(spark, sf_dir).filter(F.col("id") % 10 == 0)  # the report is one of a few images
+PAIRS = f"pr AS (SELECT x.vec_id AS a, y.vec_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 
 @query("similarity_matrix", f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pr")
 def similarity_matrix(spark, sf_dir):
-    return dense.pairs(_report_images(spark, sf_dir)).select("a", "b", score6(F.col("similarity")).alias("similarity"))
+    return dense.pairs(schemas.vectors(spark, sf_dir)).select("a", "b", score6(F.col("similarity")).alias("similarity"))
 
 
 @query("similarity_buckets", f"WITH {PAIRS}, s AS (SELECT round(similarity, 6) AS s FROM pr) SELECT CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END AS level, count(*) AS n_pairs, count(*) FILTER (s > 0.7) AS n_similar, count(*) FILTER (s < 0.5) AS n_different FROM s GROUP BY 1")
 def similarity_buckets(spark, sf_dir):
-    return dense.pair_summary(dense.pairs(_report_images(spark, sf_dir)))
+    return dense.pair_summary(schemas.vectors(spark, sf_dir))
 
 
 @query("normalised_vectors", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 5) AS total FROM embeddings")
@@ -123,7 +139,7 @@ _RES = "SELECT query_id, rank, id, page, is_table, round(dense_score, 6) AS dens
 
 
 def _hybrid_result(spark, sf_dir, k, **options):
-    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), k, **options)
+    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), k, index=_index(spark, sf_dir), **options)
     return found.select("query_id", "rank", "id", "page", "is_table", *[score6(F.col(c)).alias(c) for c in ("dense_score", "bm25_score", "hybrid_score")])
 
 
@@ -162,23 +178,29 @@ m{i} AS (SELECT * EXCLUDE (pick, turn), CASE WHEN pick IS NULL AND turn = 1 AND
 
 @query("mmr_select", f"WITH {_hybrid(8)}, {_mmr_sql(4)} SELECT query_id, rank, id, round(hybrid_score, 6) AS hybrid_score FROM mm")
 def mmr_select(spark, sf_dir):
-    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), 8)
+    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), 8, index=_index(spark, sf_dir))
     return mmr.select(found, 4).select("query_id", "rank", "id", score6(F.col("hybrid_score")).alias("hybrid_score"))
 
 
 @query("retrieve_text", f"WITH {_hybrid(6)}, {_mmr_sql(3)} SELECT query_id, rank, id, round(hybrid_score, 6) AS hybrid_score FROM mm")
 def retrieve_text(spark, sf_dir):
-    found = retrieve(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), None, _asked(spark, sf_dir), 3)["text"]
+    found = retrieve(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), None, _asked(spark, sf_dir), 3, index=_index(spark, sf_dir))["text"]
     return found.select("query_id", "rank", "id", score6(F.col("hybrid_score")).alias("hybrid_score"))
 
 
 # ---- images
 
-IMAGES = """im AS (SELECT vec_id AS id, (1 + vec_id % 20)::INT AS page, coalesce(left(d.text, 200), '') AS vlm_caption, coalesce(b.text, '') AS ocr_text,
-  coalesce(left(d.text, 200), '') AS related_text_content, embedding, (vec_id % 300)::DOUBLE AS x0, (vec_id % 500)::DOUBLE AS y0, (vec_id % 300 + 120)::DOUBLE AS x1, (vec_id % 500 + 90)::DOUBLE AS y1
+IMAGES = """im AS (SELECT vec_id AS id, vec_id // 100 AS book, (1 + vec_id % 20)::INT AS page, coalesce(d.text, '') AS vlm_caption, coalesce(b.text, '') AS ocr_text,
+  coalesce(d.text, '') AS related_text_content, embedding, (vec_id % 300)::DOUBLE AS x0, (vec_id % 500)::DOUBLE AS y0, (vec_id % 300 + 120)::DOUBLE AS x1, (vec_id % 500 + 90)::DOUBLE AS y1
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id % 40 = b.item_id)"""
-#: The last of these has the words of an early caption, so that matching by text finds it.
-IMAGE_ASKED = {1: ("the results of the nation and that thing", 3), 2: ("und der schön heit sich", 7)}
+_NC = "nc AS (SELECT id AS chunk_id, book, page, text, section_heading, (id % 200)::DOUBLE AS a0, (id * 7 % 600)::DOUBLE AS b0, (id % 200 + 250)::DOUBLE AS a1, (id * 7 % 600 + 80)::DOUBLE AS b1 FROM chunks)"
+MET = f"""{CHUNKS}, {IMAGES}, {_NC},
+mt AS (SELECT im.id AS target_id, chunk_id, text, section_heading, sqrt(pow((x0 + x1) / 2 - (a0 + a1) / 2, 2) + pow((y0 + y1) / 2 - (b0 + b1) / 2, 2)) AS distance,
+  least(x1, a1) - greatest(x0, a0) AS w, least(y1, b1) - greatest(y0, b0) AS h, (x1 - x0) * (y1 - y0) AS p, (a1 - a0) * (b1 - b0) AS q FROM im JOIN nc USING (book, page)),
+mo AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w * h / (p + q - w * h) ELSE 0 END AS overlap FROM mt),
+nr AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance * (1 - 0.5 * overlap), 9), chunk_id) AS place FROM mo QUALIFY place <= 3)"""
+#: The last of these has the words of a short caption, so that matching by text finds it.
+IMAGE_ASKED = {1: ("the results of the nation and that thing", 3), 2: ("Erinst resh.", 7)}
 _IV = ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in IMAGE_ASKED.items())
 IMAGE_ASKED_SQL = f"asked AS (SELECT query_id, query, embedding AS query_vec FROM (VALUES {_IV}) q(query_id, query, vec_id) LEFT JOIN embeddings USING (vec_id))"
 _J = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
@@ -208,17 +230,17 @@ def image_text_match(spark, sf_dir):
 
 @query(
     "image_multi_strategy",
-    f"""WITH {IMAGES}, {IMAGE_ASKED_SQL}, {IMAGE_DENSE}, {IMAGE_TEXT},
+    f"""WITH {MET}, {IMAGE_ASKED_SQL}, {IMAGE_DENSE}, {IMAGE_TEXT},
 al AS (SELECT query_id, id, score, 1 AS way, 'vector' AS search_method FROM ({_top("iv", "score", 20)}) WHERE round(score, 9) >= 0.3
   UNION ALL SELECT query_id, id, score, 2, 'text_match' FROM tx WHERE round(score, 9) >= 0.01
-  UNION ALL SELECT DISTINCT 1, vec_id, 0.7, 3, 'linked' FROM embeddings WHERE vec_id < 6),
+  UNION ALL SELECT DISTINCT 1, target_id, 0.7, 3, 'linked' FROM nr WHERE chunk_id = 30),
 o AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY way) = 1),
 f AS (SELECT * FROM o WHERE round(score, 9) >= 0.4)
 SELECT query_id, rank, id, round(score, 6) AS score, search_method FROM ({_top("f", "score", 10)})""",
 )
 def image_multi_strategy(spark, sf_dir):
-    linked = schemas.vectors(spark, sf_dir).filter("id < 6").select(F.lit(1).cast("long").alias("id"), F.col("id").alias("image_id"))
-    texts = spark.createDataFrame([(1, 1, 0.9, None)], "query_id long, id long, hybrid_score double, rerank_score double")
+    linked = _nearby(spark, sf_dir)[1].select(F.col("chunk_id").alias("id"), F.col("target_id").alias("image_id"))
+    texts = spark.createDataFrame([(1, 30, 0.9, None)], "query_id long, id long, hybrid_score double, rerank_score double")
     found = images.search(schemas.images(spark, sf_dir), _image_asked(spark, sf_dir), 10, 0.3, 0.01, texts, linked, require_hit=False)
     return found.withColumn("score", score6(F.col("score")))
 
@@ -320,7 +342,7 @@ def sanitize_query(spark, sf_dir):
     return c.unionByName(extra).select("query_id", text.sanitize_query(F.col("query")).alias("clean"))
 
 
-NAMES = ["report.pdf", "Report-2.PDF", "../etc/x.pdf", "a b.pdf", "document@#$%.pdf", "x.exe", "/abs.pdf", "", "noext", "dir/file.pdf", ".pdf", "a.tar.pdf"]
+NAMES = ["report.pdf", "Report-2.PDF", "../etc/x.pdf", "a b.pdf", "Zürich plan (2).pdf", "v1.2.final.PDF", "x/y/", "x.exe", "/abs.pdf", "", "noext", "dir/file.pdf", ".pdf", "a.tar.pdf"]
 _NV = ", ".join(f"('{n}')" for n in NAMES)
 _NAMES_SQL = rf"n AS (SELECT regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name FROM pages UNION ALL SELECT * FROM (VALUES {_NV}))"
 
@@ -348,73 +370,74 @@ def validate_file_size(spark, sf_dir):
 
 # ---- geometry and links
 
-_NC = "nc AS (SELECT id AS chunk_id, page, text, section_heading, (id % 200)::DOUBLE AS a0, (id * 7 % 600)::DOUBLE AS b0, (id % 200 + 250)::DOUBLE AS a1, (id * 7 % 600 + 80)::DOUBLE AS b1 FROM chunks)"
-_MET = f"""{CHUNKS}, {IMAGES}, {_NC},
-mt AS (SELECT im.id AS target_id, chunk_id, text, section_heading, sqrt(pow((x0 + x1) / 2 - (a0 + a1) / 2, 2) + pow((y0 + y1) / 2 - (b0 + b1) / 2, 2)) AS distance,
-  least(x1, a1) - greatest(x0, a0) AS w, least(y1, b1) - greatest(y0, b0) AS h, (x1 - x0) * (y1 - y0) AS p, (a1 - a0) * (b1 - b0) AS q FROM im JOIN nc USING (page)),
-mo AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w * h / (p + q - w * h) ELSE 0 END AS overlap FROM mt),
-nr AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance * (1 - 0.5 * overlap), 9), chunk_id) AS place FROM mo QUALIFY place <= 3)"""
-
-
 def _nearby(spark, sf_dir):
     c = schemas.chunks(spark, sf_dir).withColumn("bbox", schemas.box_of(F.col("id")))
-    i = schemas.images(spark, sf_dir).select(F.col("id").alias("target_id"), "page", "bbox")
+    i = schemas.images(spark, sf_dir).select(F.col("id").alias("target_id"), "doc_id", "page", "bbox")
     return c, spatial.nearby(i, c)
 
 
-@query("nearest_chunks", f"WITH {_MET} SELECT target_id, place, chunk_id, left(text, 500) AS text, section_heading, round(distance, 6) AS distance, round(overlap, 6) AS overlap FROM nr")
+@query("nearest_chunks", f"WITH {MET} SELECT target_id, place, chunk_id, left(text, 500) AS text, section_heading, round(distance, 6) AS distance, round(overlap, 6) AS overlap FROM nr")
 def nearest_chunks(spark, sf_dir):
     found = _nearby(spark, sf_dir)[1]
     return found.withColumns({c: score6(F.col(c)) for c in ("distance", "overlap")})
 
 
-@query("linked_ids", f"WITH {_MET}, b AS (SELECT chunk_id AS id, list_sort(list(target_id)) AS l FROM nr GROUP BY 1) SELECT id, len(coalesce(l, []))::INT AS n_links, coalesce(array_to_string(l, ','), '') AS linked FROM chunks LEFT JOIN b USING (id)")
+@query("linked_ids", f"WITH {MET}, b AS (SELECT chunk_id AS id, list_sort(list(target_id)) AS l FROM nr GROUP BY 1) SELECT id, len(coalesce(l, []))::INT AS n_links, coalesce(array_to_string(l, ','), '') AS linked FROM chunks LEFT JOIN b USING (id)")
 def linked_ids(spark, sf_dir):
     c, found = _nearby(spark, sf_dir)
     out = spatial.reverse_links(c, found)
     return out.select("id", F.size("linked_image_ids").alias("n_links"), F.array_join(F.col("linked_image_ids").cast("array<string>"), ",").alias("linked"))
 
 
-@query("related_context", f"WITH {_MET} SELECT target_id, string_agg(CASE WHEN section_heading <> '' THEN '[' || section_heading || ']' || chr(10) ELSE '' END || left(text, 500), chr(10) || chr(10) ORDER BY place) AS related_text_content FROM nr GROUP BY 1")
+@query("related_context", f"WITH {MET} SELECT target_id, string_agg(CASE WHEN section_heading <> '' THEN '[' || section_heading || ']' || chr(10) ELSE '' END || left(text, 500), chr(10) || chr(10) ORDER BY place) AS related_text_content FROM nr GROUP BY 1")
 def related_context(spark, sf_dir):
     rel = spatial.related(_nearby(spark, sf_dir)[1])
     return rel.select("target_id", render.related_content(F.col("related")).alias("related_text_content"))
 
 
-@query("format_related", f"WITH {_MET} SELECT target_id, string_agg(CASE WHEN section_heading <> '' THEN '[' || section_heading || '] ' ELSE '' END || CASE WHEN length(left(text, 500)) > 100 THEN left(text, 100) || '...' ELSE text END, chr(10) ORDER BY place) AS lines FROM nr GROUP BY 1")
+@query("format_related", f"WITH {MET} SELECT target_id, string_agg(CASE WHEN section_heading <> '' THEN '[' || section_heading || '] ' ELSE '' END || CASE WHEN length(left(text, 500)) > 100 THEN left(text, 100) || '...' ELSE text END, chr(10) ORDER BY place) AS lines FROM nr GROUP BY 1")
 def format_related(spark, sf_dir):
     rel = spatial.related(_nearby(spark, sf_dir)[1])
     return rel.select("target_id", F.array_join(render.related_lines(F.col("related")), "\n").alias("lines"))
 
 
-@query("chunk_bbox_estimate", "SELECT doc_id AS id, round(79.2 + (length(text) % 100) * 0.5, 6) AS y0, round(79.2 + (length(text) % 100) * 0.5 + least(length(text) / 10, 100), 6) AS y1 FROM documents")
+@query("chunk_bbox_estimate", "SELECT doc_id AS id, round(79.2::DOUBLE + (length(text) % 100) * 0.5::DOUBLE, 6) AS y0, round(79.2::DOUBLE + (length(text) % 100) * 0.5::DOUBLE + least(length(text) / 10.0::DOUBLE, 100::DOUBLE), 6) AS y1 FROM documents")
 def chunk_bbox_estimate(spark, sf_dir):
     b = geometry.estimated_box(F.col("text"))
     return schemas.chunks(spark, sf_dir).select("id", score6(b["y0"]).alias("y0"), score6(b["y1"]).alias("y1"))
 
 
-_BL = "bl AS (SELECT id, page, id AS idx, CASE WHEN id % 3 = 0 THEN 'Figure ' || id || ': ' || left(text, 60) ELSE left(text, 60) END AS text, (id * 7 % 600)::DOUBLE AS y FROM chunks)"
+_BL = "bl AS (SELECT id, book, page, id AS idx, CASE WHEN id % 3 = 0 THEN 'Figure ' || id || ': ' || text ELSE text END AS text, (id * 7 % 600)::DOUBLE AS y FROM chunks)"
 
 
 def _blocks(spark, sf_dir):
     c = schemas.chunks(spark, sf_dir)
-    short = F.substring("text", 1, 60)
-    named = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Figure "), F.col("id").cast("string"), F.lit(": "), short)).otherwise(short)
-    return c.select("page", F.col("id").alias("idx"), named.alias("text"), schemas.box_of(F.col("id")).alias("bbox"))
+    named = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Figure "), F.col("id").cast("string"), F.lit(": "), "text")).otherwise(F.col("text"))
+    return c.select("doc_id", "page", F.col("id").alias("idx"), named.alias("text"), schemas.box_of(F.col("id")).alias("bbox"))
 
 
 def _targets(spark, sf_dir):
-    return schemas.images(spark, sf_dir).select(F.col("id").alias("target_id"), "page", "bbox")
+    return schemas.images(spark, sf_dir).select(F.col("id").alias("target_id"), "doc_id", "page", "bbox")
 
 
-@query("figure_caption", rf"WITH {CHUNKS}, {IMAGES}, {_BL}, c AS (SELECT im.id AS target_id, {STRIP.format('bl.text')} AS caption FROM im JOIN bl USING (page) WHERE y1 <= y AND y <= y1 + 100 AND length(bl.text) < 200 AND regexp_matches(lower({STRIP.format('bl.text')}), '^(figure|fig\.|fig )') QUALIFY row_number() OVER (PARTITION BY im.id ORDER BY idx) = 1) SELECT im.id AS target_id, caption FROM im LEFT JOIN c ON im.id = c.target_id")
+@query("figure_caption", rf"WITH {CHUNKS}, {IMAGES}, {_BL}, c AS (SELECT im.id AS target_id, {STRIP.format('bl.text')} AS caption FROM im JOIN bl USING (book, page) WHERE y1 <= y AND y <= y1 + 100 AND length(bl.text) < 200 AND regexp_matches(lower({STRIP.format('bl.text')}), '^(figure|fig\.|fig )') QUALIFY row_number() OVER (PARTITION BY im.id ORDER BY idx) = 1) SELECT im.id AS target_id, caption FROM im LEFT JOIN c ON im.id = c.target_id")
 def figure_caption(spark, sf_dir):
     return spatial.captions(_targets(spark, sf_dir), _blocks(spark, sf_dir))
 
 
-@query("surrounding_text", f"WITH {CHUNKS}, {IMAGES}, {_BL} SELECT im.id AS target_id, coalesce(string_agg(bl.text, chr(10) ORDER BY idx) FILTER (y < y0 - 50), '') AS before_text, coalesce(string_agg(bl.text, chr(10) ORDER BY idx) FILTER (y > y0 + 50), '') AS after_text FROM im LEFT JOIN bl USING (page) GROUP BY 1")
+@query(
+    "surrounding_text",
+    f"""WITH {CHUNKS}, {IMAGES}, {_BL},
+pg AS (SELECT book, page, string_split(string_agg(text, chr(10) ORDER BY idx), chr(10)) AS l FROM bl GROUP BY ALL),
+bx AS (SELECT im.id AS target_id, string_agg(bl.text, chr(10) ORDER BY idx) FILTER (y < y0 - 50) AS b, string_agg(bl.text, chr(10) ORDER BY idx) FILTER (y > y0 + 50) AS a FROM im JOIN bl USING (book, page) WHERE im.id % 10 <> 0 GROUP BY 1
+  UNION ALL SELECT im.id, array_to_string(l[:len(l) // 2], chr(10)), array_to_string(l[len(l) // 2 + 1:], chr(10)) FROM im JOIN pg USING (book, page) WHERE im.id % 10 = 0),
+s AS (SELECT im.id AS target_id, coalesce(b, '') AS before_text, coalesce(a, '') AS after_text FROM im LEFT JOIN bx ON im.id = target_id)
+SELECT *, {STRIP.format("before_text || chr(10) || chr(10) || after_text")} AS surrounding_context FROM s""",
+)
 def surrounding_text(spark, sf_dir):
-    return spatial.surroundings(_targets(spark, sf_dir), _blocks(spark, sf_dir))
+    t = _targets(spark, sf_dir)
+    t = t.withColumn("bbox", F.when(F.col("target_id") % 10 != 0, F.col("bbox")))  # every tenth image has no box
+    return spatial.surroundings(t, _blocks(spark, sf_dir))
 
 
 # ---- store
@@ -515,7 +538,7 @@ _CTX = "ctx AS (SELECT query_id, string_agg('[' || CASE WHEN is_table THEN 'Tabl
 
 
 def _contexts(spark, sf_dir):
-    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), 4)
+    found = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), _asked(spark, sf_dir), 4, index=_index(spark, sf_dir))
     return answers.contexts(found)
 
 
@@ -530,20 +553,33 @@ def template_answer(spark, sf_dir):
     return _contexts(spark, sf_dir).select("query_id", answers.template_answer(F.col("context"), figures).alias("answer"))
 
 
-_SAID = [(1, "See Figure 1 and Fig. 2 [Page 4]. Also fig 3, page 5."), (2, "No figures on Page 9."), (3, "Figure 2 and figure 2 again."), (4, "FIGURE 12 [Page 3] page 3")]
+#: Answers of every document's text, with figures and pages that its id gives.
+_SAID_SQL = f"{CHUNKS}, said AS (SELECT id AS query_id, book, 'See Figure ' || id % 7 || ' and Fig. ' || id % 4 || CASE WHEN id % 3 = 0 THEN ' on page ' || page ELSE '' END || ': ' || text AS answer, page FROM chunks)"
+
+
+def _said(spark, sf_dir):
+    i, page = F.col("id"), F.concat(F.lit(" on page "), F.col("page").cast("string"))
+    text = F.concat(F.lit("See Figure "), (i % 7).cast("string"), F.lit(" and Fig. "), (i % 4).cast("string"), F.when(i % 3 == 0, page).otherwise(""), F.lit(": "), "text")
+    return schemas.chunks(spark, sf_dir).select(i.alias("query_id"), "doc_id", text.alias("answer"), "page")
+
+
+def _references(spark, sf_dir):
+    said = _said(spark, sf_dir)
+    return answers.figure_references(said.drop("page"), said.select("query_id", "page"))
+
+
+_REFS = rf"{_SAID_SQL}, fp AS (SELECT query_id, book, list_distinct(regexp_extract_all(answer, '(?i)(?:figure\s+|fig\.\s*|fig\s+)(\d+)', 1)) AS f, list_distinct(regexp_extract_all(answer, '[Pp]age\s+(\d+)', 1)) AS p, page FROM said), fe AS (SELECT query_id, book, unnest(f)::INT AS figure_number, p, page FROM fp), rf AS (SELECT query_id, book, figure_number, unnest(CASE WHEN len(p) > 0 THEN p::INT[] ELSE [page] END) AS page FROM fe)"
 
 
-@query("figure_refs", "SELECT * FROM (VALUES (1::BIGINT, 1, 4), (1, 1, 5), (1, 2, 4), (1, 2, 5), (1, 3, 4), (1, 3, 5), (3, 2, 7), (3, 2, 8), (4, 12, 3)) t(query_id, figure_number, page)")
+@query("figure_refs", f"WITH {_REFS} SELECT query_id, book AS doc_id, figure_number, page FROM rf")
 def figure_refs(spark, sf_dir):
-    said = spark.createDataFrame(_SAID, "query_id long, answer string")
-    return answers.figure_references(said, spark.createDataFrame([(3, 7), (3, 8), (3, 0), (1, 2)], "query_id long, page int"))
+    return _references(spark, sf_dir)
 
 
 @query("figure_resolve")
 def figure_resolve(spark, sf_dir):
     pictures = schemas.images(spark, sf_dir).withColumn("surrounding_context", F.lit(""))
-    said = spark.createDataFrame(_SAID, "query_id long, answer string")
-    return answers.resolve_figures(answers.figure_references(said), pictures)
+    return answers.resolve_figures(_references(spark, sf_dir), pictures)
 
 
 # ---- reports
@@ -559,7 +595,7 @@ def ingest_summary(spark, sf_dir):
     return reports.ingest_summary(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir))
 
 
-@query("image_positions", f"WITH {IMAGES} SELECT id, page, (row_number() OVER (PARTITION BY page ORDER BY id) - 1)::INT AS position FROM im")
+@query("image_positions", f"WITH {IMAGES} SELECT id, page, (row_number() OVER (PARTITION BY book, page ORDER BY id) - 1)::INT AS position FROM im")
 def image_positions(spark, sf_dir):
     return reports.positions(schemas.images(spark, sf_dir)).select("id", "page", "position")
 
@@ -581,6 +617,112 @@ def image_stats(spark, sf_dir):
     return b.select(i.alias("id"), F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), render.aspect_ratio(i + 100, i % 4 * 30).alias("aspect"))
 
 
+_OCR = r"o AS (SELECT vec_id AS id, b.text AS a, d.text AS b, vec_id * 74 % 5000 + 1 AS bytes, vec_id % 90 AS width, vec_id % 4 * 30 AS height FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id % 60 = b.item_id), r AS (SELECT id, CASE WHEN height > 0 THEN printf('%.2f', width / height) ELSE 'N/A' END AS aspect_ratio, printf('%.2f', bytes / 1024) AS kb, length(coalesce(a, ''))::INT AS a_chars, len(regexp_extract_all(coalesce(a, ''), '\S+'))::INT AS a_words, length(coalesce(b, ''))::INT AS b_chars, len(regexp_extract_all(coalesce(b, ''), '\S+'))::INT AS b_words FROM o)"
+
+
+def _ocr(spark, sf_dir):
+    i, v = schemas.images(spark, sf_dir), F.col("id")
+    b = schemas.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("a"))
+    rows = i.join(b, v % 60 == F.col("item"), "left").withColumn("b", F.col("vlm_caption"))
+    rows = rows.select("id", (v % 90).alias("width"), (v % 4 * 30).alias("height"), (v * 74 % 5000 + 1).alias("bytes"), "a", "b")
+    return reports.ocr_report(rows, ["a", "b"])
+
+
+@query("ocr_report", f"WITH {_OCR} SELECT *, CASE WHEN greatest(a_chars, b_chars) = 0 THEN NULL WHEN a_chars >= b_chars THEN 'a' ELSE 'b' END AS best FROM r")
+def ocr_report(spark, sf_dir):
+    return _ocr(spark, sf_dir).drop("width", "height", "bytes")
+
+
+@query("ocr_summary", f"WITH {_OCR} SELECT count(*) AS images, count(*) FILTER (a_chars > 0) AS a_read, count(*) FILTER (b_chars > 0) AS b_read FROM r")
+def ocr_summary(spark, sf_dir):
+    return reports.ocr_summary(_ocr(spark, sf_dir), ["a", "b"])
+
+
+@query("export_pages", f"WITH {IMAGES}, s AS (SELECT * FROM im WHERE x1 - x0 >= 50 AND y1 - y0 >= 50) SELECT book AS doc_id, page, count(*) AS n_images, 0::BIGINT AS n_tables, '<h2>Page ' || page || '</h2><ul>' || string_agg('<li>' || id || ': ' || replace(replace(vlm_caption, '&', '&amp;'), '<', '&lt;') || '</li>', '' ORDER BY id) || '</ul>' AS html FROM s GROUP BY book, page")
+def export_pages(spark, sf_dir):
+    return reports.export_pages(schemas.images(spark, sf_dir))
+
+
+_TABLE_ROWS = "tb AS (SELECT doc_id, 't' || page_id AS table_id, page, headers, rows FROM (SELECT page_id, page_id // 20 AS doc_id, (1 + page_id % 20)::INT AS page, CASE WHEN page_id % 5 = 0 THEN [] ELSE ['url', 'size'] END AS headers, CASE WHEN page_id % 7 = 0 THEN [] ELSE [[url, length(html)::VARCHAR], [NULL, 'a<b']] END AS rows FROM pages))"
+
+
+def _tables(spark, sf_dir):
+    i = F.col("page_id")
+    p = schemas.table(spark, sf_dir, "pages")
+    none, cells = F.array().cast("array<string>"), F.array(F.array("url", F.length("html").cast("string")), F.array(F.lit(None).cast("string"), F.lit("a<b")))
+    return p.select(
+        F.floor(i / 20).alias("doc_id"), (1 + i % 20).cast("int").alias("page"), F.concat(F.lit("t"), i.cast("string")).alias("table_id"),
+        F.when(i % 5 == 0, none).otherwise(F.array(F.lit("url"), F.lit("size"))).alias("headers"), F.when(i % 7 == 0, F.array().cast("array<array<string>>")).otherwise(cells).alias("rows"),
+    )
+
+
+_SAFE = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("export_tables", f"WITH {_TABLE_ROWS}, h AS (SELECT *, CASE WHEN len(headers) > 0 THEN headers ELSE ['Column 1', 'Column 2'] END AS hd FROM tb WHERE len(rows) > 0) SELECT doc_id, page, 0::BIGINT AS n_images, count(*) AS n_tables, '<h2>Page ' || page || '</h2><ul>' || string_agg('<li>' || table_id || ': <table><tr>' || array_to_string(list_transform(hd, lambda x: '<th>' || {_SAFE.format('x')} || '</th>'), '') || '</tr>' || array_to_string(list_transform(rows, lambda r: '<tr>' || array_to_string(list_transform(r, lambda x: '<td>' || {_SAFE.format('x')} || '</td>'), '') || '</tr>'), '') || '</table></li>', '' ORDER BY table_id) || '</ul>' AS html FROM h GROUP BY doc_id, page")
+def export_tables(spark, sf_dir):
+    return reports.export_pages(schemas.images(spark, sf_dir).filter("id < 0"), _tables(spark, sf_dir))
+
+
+@query("analysis", f"WITH {CHUNKS}, {IMAGES} SELECT * FROM (SELECT 'text' AS kind, id, page, left(text, 200) AS preview FROM chunks WHERE NOT is_table ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'table', id, page, array_to_string(string_split(text, chr(10))[:8], chr(10)) FROM chunks WHERE is_table ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'image', id, page, vlm_caption FROM im ORDER BY id LIMIT 10)")
+def analysis(spark, sf_dir):
+    return reports.analysis(schemas.chunks(spark, sf_dir), schemas.images(spark, sf_dir))
+
+
+def _with_related(spark, sf_dir):
+    rel = spatial.related(_nearby(spark, sf_dir)[1]).select(F.col("target_id").alias("id"), "related")
+    return schemas.images(spark, sf_dir).join(rel, "id", "left")
+
+
+_LINES = "ln AS (SELECT target_id AS id, list(CASE WHEN section_heading <> '' THEN '[' || section_heading || '] ' ELSE '' END || CASE WHEN length(left(text, 500)) > 100 THEN left(text, 100) || '...' ELSE text END ORDER BY place) AS l FROM nr GROUP BY 1)"
+
+
+@query("image_results", f"WITH {MET}, {_LINES} SELECT '' AS image, id::VARCHAR AS image_id, vlm_caption AS caption, ocr_text, coalesce(array_to_string(l, chr(10)), '') AS context, page, 0.0::DOUBLE AS score, 'unknown' AS search_method FROM im LEFT JOIN ln USING (id)")
+def image_results(spark, sf_dir):
+    rows = _with_related(spark, sf_dir)
+    shown = rows.select(render.shown_image(rows.columns).alias("s")).select("s.*")
+    return shown.withColumn("context", F.array_join("context", "\n"))
+
+
+@query("table_results", f"WITH {CHUNKS} SELECT id::VARCHAR AS table_id, text, page, section_heading AS section, '' AS context, '' AS table_html, '' AS table_markdown, 0::INT AS num_rows, 0::INT AS num_cols, CASE WHEN id % 3 = 0 THEN 0.25 WHEN id % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM chunks WHERE is_table")
+def table_results(spark, sf_dir):
+    i = F.col("id")
+    rows = schemas.chunks(spark, sf_dir).filter("is_table").withColumns({"rerank_score": F.when(i % 3 == 0, 0.25), "hybrid_score": F.when(i % 2 == 0, 0.5)})
+    shown = rows.select(render.shown_table(rows.columns).alias("s")).select("s.*")
+    return shown.withColumn("context", F.array_join("context", "\n"))
+
+
+@query("metadata_summary", f"WITH {MET}, n AS (SELECT target_id AS id, count(*)::INT AS n FROM nr GROUP BY 1) SELECT id::VARCHAR AS id, page, '' AS section, coalesce(n, 0) > 0 AS has_related_chunks, coalesce(n, 0)::INT AS num_related_chunks, vlm_caption <> '' AS has_vlm_caption, ocr_text <> '' AS has_ocr, FALSE AS is_table FROM im LEFT JOIN n USING (id)")
+def metadata_summary(spark, sf_dir):
+    rows = _with_related(spark, sf_dir)
+    return rows.select(render.metadata_summary(rows.columns).alias("s")).select("s.*")
+
+
+@query("metadata_json", f"""WITH {CHUNKS} SELECT id, '{{"id":' || id || ',"page":' || page || ',"section_heading":' || coalesce('"' || section_heading || '"', 'null') || ',"is_table":' || is_table || ',"metadata_version":"1.1"}}' AS metadata FROM chunks""")
+def metadata_json(spark, sf_dir):
+    return store.as_json(schemas.chunks(spark, sf_dir).select("id", "page", "section_heading", "is_table"))
+
+
+@query("metadata_consistency", """WITH c AS (SELECT doc_id AS id, doc_id % 11 = 0 AS gone, CASE WHEN doc_id % 10 = 0 THEN 'table' WHEN doc_id % 17 = 0 THEN 'sound' ELSE 'text' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS page, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text, doc_id % 4 = 3 AS few FROM documents)
+SELECT id, CASE WHEN NOT gone THEN kind END AS kind, CASE WHEN gone THEN 'No metadata found' WHEN kind = 'sound' THEN 'Unknown metadata type: sound' ELSE array_to_string(list_filter([CASE WHEN page < 1 THEN 'Invalid page number: 0' END, CASE WHEN kind = 'text' AND text = '' THEN 'Missing required field: text' END, CASE WHEN kind = 'table' AND few THEN 'table_metadata.num_rows must be a non-negative integer' END], lambda x: x IS NOT NULL), '; ') END AS errors FROM c""")
+def metadata_consistency(spark, sf_dir):
+    i = F.col("id")
+    c = schemas.chunks(spark, sf_dir)
+    some = "array<struct<chunk_id: string, text: string>>"
+    rows = c.select(
+        "id", F.when(i % 10 == 0, "table").when(i % 17 == 0, "sound").otherwise("text").alias("kind"), F.when(i % 7 == 0, 0).otherwise(3).alias("page"), F.when(i % 13 == 0, "").otherwise(F.col("text")).alias("text"),
+        "is_table", F.when(i % 4 == 3, -1).otherwise(1).alias("num_rows"), F.lit(1).alias("num_cols"), F.lit("x").alias("image_path"), F.lit(None).cast(some).alias("related_text_chunks"), F.lit(None).cast("array<string>").alias("related_chunk_ids"),
+    )
+    out = validation.consistency(c, rows.filter(i % 11 != 0))
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("collection_count", "SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS images")
+def collection_count(spark, sf_dir):
+    one = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    return one(schemas.chunks(spark, sf_dir), "chunks").join(F.broadcast(one(schemas.vectors(spark, sf_dir), "images")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
