@@ -6,18 +6,22 @@ than the orthogonal part, since the parallel part moves large inner products mos
 Euclidean distance is maximum inner product of (2x, -|x|^2) with (q, 1); the norm is kept as it
 is, and the codes stand for x.
 
-Search: each task encodes its vectors and adds, for every query, the 16-entry table values of the
-codes. A guess is off by at most |q| times the length of what the codes leave of x, so each vector
-has a score that it can't exceed. The `rerank` best guesses of a chunk are scored exactly, and then
-every other vector that can still come under the k-th distance so far, however many they are. A
-task thus gives its k nearest for certain, and the nearest of all tasks are the nearest of all.
+The index is a table that is written once: vectors, codes of two to a byte, the length of what the
+codes leave of x, and that of what they stand for. A task searches a slice of it for a block of
+queries: for every query it adds the 16-entry table values of the codes. A guess is off by at most |q|
+times the length of what the codes leave of x, so each vector has a score that it can't exceed. The
+`rerank` best guesses of a chunk are scored exactly, and then every other vector that can still come
+under the k-th distance so far, however many they are. A task thus gives its k nearest for certain, and
+the nearest of all tasks are the nearest of all.
 
 The index is fitted on a bounded sample (at most `sample` vectors, by a digest of vec_id); every
 vector is encoded. The fit decides how many vectors are scored exactly, not what is found.
 
 Defined results: null, empty, zero and non-finite vectors take no part; equal distances go to the smaller
-vec_id, so copies of one vector are found in the order of their ids; rows that
-repeat a vec_id are candidates of their own; fewer candidates than k give all of them.
+vec_id, so copies of one vector are found in the order of their ids; rows that repeat a vec_id are
+candidates of their own, but none of a query of that vec_id, which is answered once, for one of its rows
+(the smallest vector); vectors are padded with zeros to the longest; fewer candidates than k give all of
+them; an empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +29,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import best, chunks, same_length, scan, to_batch, usable
+from quarry.llm.blocks import best, matrix, same_length, scan, to_batch, usable
+from quarry.llm.common import materialize
 
 CENTRES = 16
 DIMS = 1
 SAMPLE = 8192
 #: Guesses of a chunk that are scored exactly before the others are judged.
-RERANK = 192
-#: Queries whose guesses are in memory at a time.
-TURN = 256
+RERANK = 64
+#: Queries whose guesses are in memory at a time, vectors that are encoded at a time, and vectors whose
+#: table values are added up at a time.
+TURN, ENCODED, NEAR = 256, 1024, 128
 #: A query with more than this share of a chunk left to score gets one product with the whole chunk first.
 MANY = 1 / 16
 #: Inner products from this share of |x| |q| up are the ones that the weighting is for.
@@ -200,42 +207,74 @@ class Turn:
         self.score(ids, x, open_)
 
 
+def index(rows: DataFrame, model: Quantiser) -> DataFrame:
+    """rows (vec_id, embedding) with codes, left and size, encoded once and written to the shared folder."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(at, ENCODED)
+                x = matrix(part.column(1), part.num_rows)
+                codes = model.encode(x)
+                decoded = model.decode(codes)
+                left = np.sqrt(((np.pad(x, ((0, 0), (0, decoded.shape[1] - x.shape[1]))) - decoded) ** 2).sum(1))
+                packed = [c.tobytes() for c in pack(codes)]
+                arrays = [part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(left), pa.array(np.sqrt((decoded * decoded).sum(1)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "embedding", "codes", "left", "size"])
+
+    return materialize(rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, left double, size double"))
+
+
+def pack(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes to a byte."""
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def unpack(packed: pa.Array, parts: int) -> np.ndarray:
+    both = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    return np.stack([both & 15, both >> 4], 2).reshape(len(both), -1)[:, :parts]
+
+
+class Search:
+    """A block of queries against the vectors of the index that are added."""
+
+    def __init__(self, model: Quantiser, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
+        tables = model.tables(queries).astype(np.float32)
+        self.parts = tables.shape[1]
+        starts = range(0, len(queries), TURN)
+        self.tables = [np.ascontiguousarray(tables[at : at + TURN].transpose(1, 2, 0)) for at in starts]
+        self.turns = [Turn(query_ids[at : at + TURN], queries[at : at + TURN], k, rerank) for at in starts]
+
+    def add(self, ids: np.ndarray, x: np.ndarray, rows: pa.RecordBatch) -> None:
+        codes = unpack(rows.column("codes"), self.parts)
+        left, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "size"))
+        columns = np.ascontiguousarray(codes.T).astype(np.intp)
+        half = ((x * x).sum(1) / 2).astype(np.float32)
+        for table, turn in zip(self.tables, self.turns, strict=True):
+            total = np.repeat(-half[:, None], len(turn.queries), axis=1)
+            held = np.empty((NEAR, len(turn.queries)), np.float32)
+            for a in range(0, len(x), NEAR):  # so few vectors that their sums stay in the cache
+                some = total[a : a + NEAR]
+                for p in range(self.parts):
+                    some += np.take(table[p], columns[p, a : a + NEAR], axis=0, out=held[: len(some)], mode="clip")
+            turn.add(ids, x, np.ascontiguousarray(total.T), left, size)
+
+    def found(self) -> pa.RecordBatch:
+        parts = [(t.query_ids[t.rows], t.ids, t.far) for t in self.turns]
+        return to_batch(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query among the other rows.
 
-    vectors: vec_id, embedding. is_query: a condition on its rows. score: Euclidean distance.
+    vectors: vec_id, embedding. is_query: a condition on vec_id. score: Euclidean distance.
     """
     rows = usable_vectors(vectors)
     model = train(rows, sample)
-    schema = "query_id long, vec_id long, score double"
     if model is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def make(query_ids, queries):
-        def run(batches):
-            tables = model.tables(queries).astype(np.float32)
-            flat = np.ascontiguousarray(tables.transpose(1, 2, 0).reshape(-1, len(queries)))
-            offsets = np.arange(tables.shape[1]) * CENTRES
-            turns = [Turn(query_ids[at : at + TURN], queries[at : at + TURN], k, rerank) for at in range(0, len(queries), TURN)]
-            for new_ids, x in chunks(batches):
-                codes = model.encode(x)
-                decoded = model.decode(codes)
-                left = np.sqrt(((np.pad(x, ((0, 0), (0, decoded.shape[1] - x.shape[1]))) - decoded) ** 2).sum(1))
-                size = np.sqrt((decoded * decoded).sum(1))
-                places = codes.astype(np.int64) + offsets
-                half = ((x * x).sum(1) / 2).astype(np.float32)
-                for i, turn in enumerate(turns):
-                    guess = np.tile(-half, (len(turn.queries), 1))
-                    for p in range(places.shape[1]):
-                        guess += flat[:, i * TURN : (i + 1) * TURN][places[:, p]].T
-                    turn.add(new_ids, x, guess, left, size)
-            for turn in turns:
-                if len(turn.rows):
-                    yield to_batch({"query_id": turn.query_ids[turn.rows], "vec_id": turn.ids, "score": turn.far})
-
-        return run
-
-    found = scan(rows, rows.filter(is_query), make, schema)
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    found = scan(index(rows, model), is_query, lambda ids, queries: Search(model, ids, queries, k, rerank), "query_id long, vec_id long, score double")
     out = best(found, k, [F.col("score"), F.col("vec_id")])
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -1,4 +1,4 @@
-"""Query blocks and candidate merging that the two vector searches share."""
+"""Tasks of query blocks against slices of vectors, and candidate merging, for the two vector searches."""
 
 from __future__ import annotations
 
@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
-
-#: Queries in a block: a block is sent to the tasks, so this bounds what is sent.
-QUERY_BLOCK = 4096
-#: Vectors that a task scores at a time.
-CHUNK = 4096
+#: Queries in a block and vectors in a slice: a task holds one block, and reads the vectors as a stream.
+QUERY_BLOCK, SLICE = 4096, 8192
+#: Vectors that are scored at a time, whatever the batches they come in.
+CHUNK = 8192
 
 
 def usable(vector: Column) -> Column:
@@ -30,46 +28,71 @@ def same_length(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", F.when(short > 0, F.concat("embedding", F.array_repeat(F.lit(0.0), short))).otherwise(F.col("embedding")))
 
 
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of queries (vec_id, embedding), at most `size` at a time."""
-    ids, rows = [], []
-    for row in queries.select("vec_id", "embedding").toLocalIterator():
-        ids.append(row[0])
-        rows.append(np.asarray(row[1], np.float64))
-        if len(ids) == size:
-            yield np.array(ids), np.stack(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.stack(rows)
-
-
-def chunks(batches, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of Arrow batches of (vec_id, embedding)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            vectors = part.column(1)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield part.column(0).to_numpy(zero_copy_only=False), flat.reshape(part.num_rows, -1)
-
-
-def merge_best(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new_scores: np.ndarray, k: int):
-    """Per row of two (queries x candidates) tables, the k largest scores, ties to smaller ids."""
-    ids, scores = np.concatenate([ids, new_ids], 1), np.concatenate([scores, new_scores], 1)
-    if ids.shape[1] > k:
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    return ids, scores
-
-
-def scan(vectors: DataFrame, queries: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """Union of vectors.mapInArrow(make(ids, rows)) over the blocks of queries. Each block's result
-    is written before the next block is read, so that one block at a time is in memory."""
-    spark = vectors.sparkSession
-    out = spark.createDataFrame([], schema)
-    for ids, rows in query_blocks(queries):
-        out = out.unionByName(materialize(vectors.select("vec_id", "embedding").mapInArrow(make(ids, rows), schema)))
-    return out
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """A column of n lists of one length as an n-row matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
+    """The parts of a batch that agree in block, slice and kind, its first three columns."""
+    keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+    cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield tuple(keys[a].tolist()), batch.slice(a, b - a)
+
+
+def scan(rows: DataFrame, is_query, make: Callable, schema: str) -> DataFrame:
+    """Every block of queries against every slice of vectors, each pair in one task of one job.
+
+    rows: vec_id, embedding and more columns; is_query: a condition on vec_id. Rows that repeat a vec_id are
+    one query, by the smallest of their vectors, and vectors each. make(ids, queries) gives a search with add(ids, vectors, batch of the more columns) and found(), which gives a record batch of
+    schema. Queries go along with each slice and vectors with each block: what is moved is the product of
+    the two, as is the work, and nothing passes through the driver but two counts.
+    """
+    more = [c for c in rows.columns if c not in ("vec_id", "embedding")]
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks, slices = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-rows.count() // SLICE))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    queries = queries.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in more], every(slices).alias("slice"))
+    queries = queries.withColumns({"block": own("vec_id", blocks), "kind": F.lit(0)})
+    place = F.monotonically_increasing_id()  # so that not even rows of one vec_id fall together
+    vectors = rows.withColumn("place", place).withColumn("block", every(blocks)).withColumns({"slice": own("place", slices), "kind": F.lit(1)})
+    both = [x.select("block", "slice", "kind", "vec_id", "embedding", *more) for x in (queries, vectors)]
+    met = both[0].unionByName(both[1]).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind")
+
+    def run(batches):
+        task, asked, search, held = None, [], None, []
+
+        def score():
+            if held:
+                some = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=CHUNK)
+                held.clear()
+                for part in some:
+                    search.add(part.column(3).to_numpy(zero_copy_only=False), matrix(part.column(4), part.num_rows), part)
+
+        for batch in batches:
+            for (b, s, kind), part in _runs(batch):
+                if (b, s) != task:
+                    if search is not None:
+                        score()
+                        yield search.found()
+                    task, asked, search = (b, s), [], None
+                if kind == 0:
+                    asked.append((part.column(3).to_numpy(zero_copy_only=False), matrix(part.column(4), part.num_rows)))
+                    continue
+                if search is None and asked:
+                    search = make(*(np.concatenate(x) for x in zip(*asked, strict=True)))
+                if search is not None:
+                    held.append(part)
+                    if sum(x.num_rows for x in held) >= CHUNK:
+                        score()
+        if search is not None:
+            score()
+            yield search.found()
+
+    return met.mapInArrow(run, schema)
 
 
 def to_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
