@@ -5,7 +5,9 @@ whose parts are known; PAGES_LEARNED bounds them. Nothing is learned from the in
 
 Defined results: null and empty html give the empty text; a page whose elements are all refused too;
 character references are decoded, white space in a block becomes one space, blocks are joined by a
-blank line, and nothing is dropped or cut within a kept block. Extra columns pass through.
+blank line, and nothing is dropped or cut within a kept block. A page is parsed whole in time that grows
+with its length, end tags that fit nothing included. Equal pages give equal texts; an empty table gives
+an empty table. Extra columns pass through; one that is named `to` is replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ class _Writer:
         tag = lambda *tags: r.choice(tags)
         if kind == "nav":
             t = tag("nav", "nav", "div")
-            return f"<{t}{self.attrs('nav menu navigation breadcrumb pagination toc', 1 if t == 'div' else 0.4)}>{self.links(2, 9)}</{t}>"
+            title = f"<h2>{self.words(1, 2)}</h2>" if r.random() < 0.3 else ""
+            return f"<{t}{self.attrs('nav menu navigation breadcrumb pagination toc toc contents-toc', 1 if t == 'div' else 0.4)}>{title}{self.links(2, 9)}</{t}>"
         if kind == "menu":
             return f"<ul{self.attrs('menu navbar nav tabs', 0.8)}>" + self.links(3, 9).removeprefix("<ul>").removesuffix("</ul>") + "</ul>"
         if kind == "header":
@@ -78,11 +81,11 @@ class _Writer:
             return f"<{t}{self.attrs('header masthead banner topbar', 1 if t == 'div' else 0.4)}>" + r.choice([f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 8)}</p>", f"<div>{self.words(1, 4)}</div>", self.words(2, 12)]) + (self.links(2, 6) if r.random() < 0.5 else "") + f"</{t}>"
         if kind == "footer":
             t = tag("footer", "footer", "div")
-            return f"<{t}{self.attrs('footer copyright legal bottom', 1 if t == 'div' else 0.4)}>" + r.choice(["&copy; ", ""]) + r.choice([self.words(3, 40), self.words(3, 20), self.paragraphs(1, 2, "", (3, 25)), self.links(2, 8)]) + f"</{t}>"
+            return f"<{t}{self.attrs('footer copyright legal bottom foot', 1 if t == 'div' else 0.4)}>" + r.choice(["&copy; ", ""]) + r.choice([self.words(3, 40), self.words(3, 20), self.paragraphs(1, 2, "", (3, 25)), self.links(2, 8)]) + f"</{t}>"
         if kind in ("aside", "related"):
             t = tag("aside", "div", "section") if kind == "aside" else tag("div", "section", "aside")
             names = "sidebar widget side" if kind == "aside" else "related recommended more trending popular"
-            return f"<{t}{self.attrs(names, 1 if t != 'aside' else 0.5)}><h3>{self.words(1, 3)}</h3>" + r.choice([self.links(2, 7, False), self.paragraphs(1, 4, "", (4, 40))]) + f"</{t}>"
+            return f"<{t}{self.attrs(names, 1 if t != 'aside' else 0.5)}><{(h := r.choice(["h3", "h3", "h4", "h2"]))}>{self.words(1, 3)}</{h}>" + r.choice([self.links(2, 7, False), self.links(1, 3, False), self.paragraphs(1, 4, "", (4, 40))]) + f"</{t}>"
         if kind == "ad":
             t = tag("div", "div", "aside", "section", "ins")
             return f"<{t}{self.attrs('ad ads advert advertisement sponsored promo', 1)}>" + r.choice([self.words(3, 25), f"<p>{self.words(3, 25)}</p>", f"<a href='/z'>{self.words(2, 10)}</a>"]) + f"</{t}>"

@@ -61,7 +61,7 @@ TOKEN_GROUPS = [
     "title headline heading",
     "nav navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs links",
     "header masthead banner topbar logo branding",
-    "footer copyright legal contentinfo colophon bottom",
+    "footer foot copyright legal contentinfo colophon bottom",
     "sidebar aside side widget complementary related recommended recommendation more trending popular",
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion dfp banner-ad outbrain taboola",
     "comment comments disqus reply replies respond responses discussion commentlist",
@@ -99,6 +99,8 @@ def parse(source: str) -> Page:
     """The tree of block elements of an HTML text, however broken."""
     page = Page()
     stack: list[tuple[str, int]] = []  # (tag, node of the nearest block element)
+    open_at: dict[str, list[int]] = {}  # places of a tag in the stack, so that no end tag has to search it
+    blocks_at: list[int] = []
     links = 0
 
     def add(tag: str, attrs: str) -> int:
@@ -120,21 +122,40 @@ def parse(source: str) -> Page:
         if links and n:
             page.link_chars[node] += n
 
-    def close(names: set[str], stops, whole: bool) -> None:
-        """Pop up to the nearest of names, unless a stop (or, for inline, a block) comes first."""
+    def push(tag: str, node: int) -> None:
+        nonlocal links
+        links += tag == "a"
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks_at.append(len(stack))
+        stack.append((tag, node))
+
+    def pop(to: int, ends: bool = True) -> None:
         nonlocal links
-        for at in range(len(stack) - 1, 0, -1):
-            tag = stack[at][0]
-            if tag in names:
-                for name, node in stack[at:]:
-                    links -= name == "a"
-                    if name in BLOCK:
-                        page.parts.append((node, None))
-                del stack[at:]
-                return
-            if tag in stops or (not whole and tag in BLOCK):
-                return
+        while len(stack) > to:
+            tag, node = stack.pop()
+            open_at[tag].pop()
+            links -= tag == "a"
+            if tag in BLOCK:
+                blocks_at.pop()
+                if ends:
+                    ended.append(node)
+        page.parts.extend((node, None) for node in reversed(ended))
+        ended.clear()
+
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
+    def close(names: set[str], stops, whole: bool) -> None:
+        """Pop up to the nearest of names, unless a stop (or, for inline, a block) comes first."""
+        at = nearest(names)
+        wall = nearest(stops)
+        if not whole and blocks_at:
+            wall = max(wall, blocks_at[-1])
+        if at and at >= wall:
+            pop(at)
+
+    ended: list[int] = []
     at = 0
     for m in iter(lambda: _TAG.search(source, at), None):
         if m.start() > at:
@@ -163,14 +184,13 @@ def parse(source: str) -> Page:
             page.parts.append((stack[-1][1], None))
         if name in VOID:
             continue
-        stack.append((name, add(name, m[3]) if block else stack[-1][1]))
-        links += name == "a"
+        push(name, add(name, m[3]) if block else stack[-1][1])
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
-            stack.pop()
+            pop(len(stack) - 1, False)
         elif m[3].endswith("/") and name in ("svg",):
-            stack.pop()
+            pop(len(stack) - 1, False)
     if at < len(source):
         say(source[at:])
     return page
