@@ -13,8 +13,10 @@ Bound: at most `max_docs` documents per language are learned from, chosen by a d
 the profile has 64^n counts per language at most. Prediction reads whole texts.
 
 Defined results: `und` with score 0 for null texts, texts without letters, and where nothing could
-be learned; documents of null language are not learned from; the score is the cosine, at least 0.
-Extra columns pass through.
+be learned; documents of null language are not learned from; the score is the cosine, at least 0. Two
+unrelated texts have a cosine of about 1 / sqrt(DIM) either way. Very long texts are counted whole;
+repeated rows are predicted alike; an empty table gives an empty table. Extra columns pass through; one
+that is named `to` is replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_batches
 
 N = 3
-DIM = 512
+DIM = 1024
 SYMBOLS = 64
 MAX_DOCS = 20_000
 SEED = 7
 #: Vectors of n-grams that a worker keeps; others are bound anew.
-CACHE_ROWS = 16_384
+CACHE_ROWS = 8_192
 
 _SYMBOL_OF: np.ndarray | None = None
 
@@ -87,10 +89,11 @@ class Space:
         at = self.place[codes]
         known = at >= 0
         weights = counts.astype(np.float32)
-        out = weights[known] @ self.rows[at[known]]
-        for i in range(0, int((~known).sum()), 1024):
-            part = np.flatnonzero(~known)[i : i + 1024]
-            out = out + weights[part] @ self.bind(codes[part]).astype(np.float32)
+        out = np.zeros(self.rows.shape[1], np.float32)
+        for some, vectors in ((np.flatnonzero(known), lambda part: self.rows[at[part]]), (np.flatnonzero(~known), lambda part: self.bind(codes[part]).astype(np.float32))):
+            for i in range(0, len(some), 1024):  # a few MB at a time, however long the text
+                part = some[i : i + 1024]
+                out += weights[part] @ vectors(part)
         return out
 
 
