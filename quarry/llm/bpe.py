@@ -6,9 +6,14 @@ with suffix links; a candidate is right if it can stand after the last token of
 leaves, that is, if no merge rule would ever fire across the border of the two. Back-pointers
 from the full length give the ids, which equal those of the merge loop.
 
-Defined results: a null or empty text has no ids and decodes to the empty text. Special strings
-of the vocabulary that stand in a text become their special id. Ids are packed as little-endian
-unsigned 32-bit integers; extra columns pass through unchanged.
+Texts with letters from U+0530 on are split into pre-tokens by the library, whose Unicode tables may
+be of another version than ours; their ids come from the automaton like all others.
+
+Defined results: a null or empty text has no ids and decodes to the empty text; a very long text is
+encoded whole, and so is a pre-token of any length; repeated rows are encoded alike; an empty table gives
+an empty table. Special strings of the vocabulary that stand in a text become their special id. Ids are
+packed as little-endian unsigned 32-bit integers. Extra columns pass through; one that is named `to` is
+replaced.
 """
 
 from __future__ import annotations
@@ -101,7 +106,7 @@ class Vocabulary:
                     own.append(None)
                 at = to
             own[at] = (t, len(letters))
-        self.link, self.ends = [0] * len(own), [()] * len(own)
+        self.link, self.ends, self._jumps = [0] * len(own), [()] * len(own), []
         level = [0]
         while level:
             below = []
@@ -118,11 +123,17 @@ class Vocabulary:
             level = below
 
     def move(self, at: int, c: str) -> int:
-        """A move that the trie itself doesn't have."""
+        """A move that the trie itself doesn't have; kept for the next time, up to CACHE_ENTRIES."""
         back = at
         while back and c not in self.moves[back]:
             back = self.link[back]
+        if len(self._jumps) >= CACHE_ENTRIES:
+            for place, letter in self._jumps:
+                del self.moves[place][letter]
+            self._jumps.clear()
+            return self.move(at, c)
         to = self.moves[at][c] = self.moves[back].get(c, 0)
+        self._jumps.append((at, c))
         return to
 
     def edge(self, token: int, side: int) -> tuple:
@@ -164,7 +175,7 @@ class Vocabulary:
         """Whether t can follow `before` in an encoding; kept for the next time."""
         if len(self._apart) > 2 * CACHE_ENTRIES:
             self._apart.clear()
-        out = self._apart[before << 16 | t] = not self.crossed(before, t)
+        out = self._apart[before << 32 | t] = not self.crossed(before, t)
         return out
 
     def encode_letters(self, letters: str) -> list[int]:
@@ -183,7 +194,7 @@ class Vocabulary:
                     last[end] = t
                     break
                 if (before := last[end - size]) >= 0:
-                    fits = known(before << 16 | t)
+                    fits = known(before << 32 | t)
                     if fits is None:
                         fits = self.fits(before, t)
                     if fits:
@@ -260,9 +271,7 @@ class Encoder:
             return self.word(piece)
         if (mark := self.marks.get(piece[-1])) is not None and (word := piece[:-1]).isalpha() and max(word) < _COMMON_END:
             return self.word(word) + mark
-        packed = self.older.get(piece)
-        if packed is None:
-            packed = self.plain(" " + piece)
+        packed = self.plain(" " + piece)
         return packed if piece[-1].isspace() else self.keep(piece, packed)
 
     def plain(self, text: str) -> bytes:
@@ -290,10 +299,13 @@ class Encoder:
         found = list(map(self.pieces.get, pieces))
         found[0] = self.plain(pieces[0])
         if None in found:
-            final = len(pieces) - 1
+            final, older = len(pieces) - 1, self.older.get
             for i, packed in enumerate(found):
                 if packed is None:
                     piece = pieces[i]
+                    if (packed := older(piece)) is not None:
+                        found[i] = self.keep(piece, packed)
+                        continue
                     if not piece or (piece[-1].isspace() and i < final):
                         return self.plain(text)
                     found[i] = self.spaced(piece)
