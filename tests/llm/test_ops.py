@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import defaultdict
 from math import comb
 
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import ann, bpe, chat, components, htmlextract, htmltrees, langid, linededup, maxscore, mixing, ngramjoin, queries, urlfilter
+from quarry.llm import ann, blocks, bpe, chat, common, components, htmlextract, htmltrees, langid, linededup, maxscore, mixing, ngramjoin, queries, urlfilter
 from quarry.llm.common import table
 from tests.conftest import SMALL
 
@@ -88,6 +89,34 @@ def test_mix_small_cases(spark):
     assert [r.taken for r in mixing.word_totals(twice.unionByName(twice)).collect()] == [3, 3]
 
 
+def test_mix_of_small_sources_comes_near_the_targets(spark):
+    per = defaultdict(lambda: [0, 0.0])
+    docs = table(spark, SMALL, "documents")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for r in mixing.word_totals(docs).collect():
+        per[source[r.doc_id]][0] += r.taken
+        per[source[r.doc_id]][1] = r.target
+    assert len(per) == 20 and all(abs(taken - target) <= 0.02 * target for taken, target in per.values())
+
+
+def test_nearest_subset_is_the_best_of_all(spark):
+    rng = random.Random(2)
+    rows = [(i, [(k, rng.choice([0, 1, 5, 40, 900])) for k in range(rng.randint(1, 11))], rng.random() * 900) for i in range(40)]
+    d = spark.createDataFrame(rows, "i long, units array<struct<key: long, size: long>>, gap double")
+    for i, units, gap, (end, fits) in d.select("*", mixing._nearest_subset(F.col("units"), F.col("gap"))).collect():
+        taken = sum(size for key, size in units if key < end or key in fits)
+        want = min(abs(sum(u[1] for j, u in enumerate(units) if m >> j & 1) - gap) for m in range(1 << len(units)))
+        assert abs(taken - gap) == pytest.approx(want), i
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    d = docs_of(spark, ["a b"] * 30, {i: f"s{i % 3}" for i in range(30)})
+    d = d.select("*", F.lit(1).alias("mix"), F.lit(2).alias("mix_shard"), F.lit(3).alias("mix_copy"), F.lit(4).alias("_copy"), F.lit(5).alias("copies"))
+    out = mixing.mixed(d, shard_words=8)
+    assert out.columns == d.columns and {tuple(r)[5:] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    assert mixing.mix(d).columns == [*d.columns, "_mix"]
+
+
 # ---- vectors
 
 
@@ -138,6 +167,35 @@ def test_nearest_among_near_copies(spark):
         assert got[q[0]] == [i for _, i in want]
 
 
+def test_searches_in_many_blocks_and_slices(spark, monkeypatch):
+    v = table(spark, SMALL, "embeddings").limit(300)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(ann.nearest(v, F.col("vec_id") % 7 == 0, 3)), rows(maxscore.top_k(v, F.col("vec_id") % 7 == 0, 3))
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(blocks, "SLICE", 40)
+    assert rows(ann.nearest(v, F.col("vec_id") % 7 == 0, 3)) == want[0]
+    assert rows(maxscore.top_k(v, F.col("vec_id") % 7 == 0, 3)) == want[1]
+
+
+def test_rows_of_one_vec_id_are_one_query_and_candidates_each(spark):
+    rows = [(0, [1.0, 0.0], 0, 1), (0, [1.0, 0.0], 0, 1), (0, [2.0, 0.0], 0, 1), (3, [1.0, 0.5], 0, 1), (3, [1.0, 0.25], 0, 1), (100, [1.0, 1.0], 0, 1)]
+    near = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(vectors_of(spark, rows)).collect())
+    assert [x[:3] for x in near] == [(0, 1, 3), (0, 2, 3), (0, 3, 100), (100, 1, 3), (100, 2, 3), (100, 3, 0), (100, 4, 0), (100, 5, 0)]
+    assert [x[3] for x in near[:3]] == [0.25, 0.5, 1.0]
+    top = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.matches(vectors_of(spark, rows)).collect())
+    assert top[:3] == [(0, 1, 3, 65536), (0, 2, 3, 65536), (0, 3, 100, 65536)]
+    assert [x[2] for x in top[3:]] == [0, 3, 3, 0, 0]
+    assert maxscore.matches(vectors_of(spark, rows).limit(0)).count() == 0
+
+
+def test_codes_are_packed_two_to_a_byte():
+    import pyarrow as pa
+
+    codes = np.random.default_rng(0).integers(0, 16, (5, 7)).astype(np.uint8)
+    packed = ann.pack(codes)
+    assert packed.shape == (5, 4) and (ann.unpack(pa.array([x.tobytes() for x in packed], pa.binary()), 7) == codes).all()
+
+
 def test_parallel_error_costs_more():
     x = np.random.default_rng(0).normal(size=(400, 16))
     x /= np.sqrt((x * x).sum(1))[:, None]
@@ -169,17 +227,31 @@ def test_top_k_is_exact(spark):
             assert got[q[0]] == brute(whole, q, 5, lambda a, b: int(a[1] @ b), True)
 
 
-def test_maxscore_shard_with_a_floor():
+@pytest.mark.parametrize("share", [1.0, 0.3, 0.05])
+def test_maxscore_shard_with_a_floor(share):
     rng = np.random.default_rng(5)
-    x = rng.integers(-60, 60, (500, 12))
-    shard = maxscore.Shard(x)
-    for _ in range(50):
-        q = rng.integers(-60, 60, 12)
-        full = x @ q
-        floor = int(np.sort(full)[-5])
-        rows, scores = shard.search(q, floor)
-        assert set(np.flatnonzero(full >= floor)) <= set(rows.tolist())
-        assert (full[rows] == scores).all()
+    x = rng.integers(-60, 60, (500, 12)) * (rng.random((500, 12)) < share)
+    q = rng.integers(-60, 60, (50, 12)) * (rng.random((50, 12)) < max(share, 0.3))
+    full = q @ x.T
+    floor = np.sort(full, 1)[:, -5].astype(float)
+    for kind in (np.float64, np.int64):
+        found = maxscore.Shard(x, kind).search(q.astype(kind), floor)
+        assert set(zip(*np.nonzero(full >= floor[:, None]), strict=True)) <= set(zip(*found[:2], strict=True))
+        assert (full[found[0], found[1]] == found[2]).all()
+        everything = maxscore.Shard(x, kind).search(q.astype(kind), np.full(50, -np.inf))
+        assert len(everything[0]) == full.size
+
+
+def test_top_k_of_sparse_vectors_is_exact(spark):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((400, 40)) < 0.06, rng.normal(0, 1, (400, 40)), 0).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 0, 1) for i, v in enumerate(x)]
+    whole = [(i, np.floor(256 * np.array(v, np.float64))) for i, v, *_ in rows]
+    got = defaultdict(list)
+    for r in sorted(maxscore.matches(vectors_of(spark, rows)).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in whole[::50]:
+        assert got[q[0]] == brute(whole, q, 5, lambda a, b: int(a[1] @ b), True)
 
 
 # ---- language
@@ -210,6 +282,35 @@ def test_bundle_is_the_sum_of_bound_vectors():
     assert np.allclose(space.bundle(codes, counts), want)
 
 
+def test_language_equals_plain_calculation(spark):
+    """Every letter of every n-gram multiplied and added one by one, in few dimensions."""
+    docs = table(spark, SMALL, "documents").filter("doc_id < 60")
+    dim = 96
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.SYMBOLS, dim)).astype(float)
+
+    def symbol(c):
+        return 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
+
+    def bundle(text):
+        s = [0]
+        for c in [*(text or "").lower(), " "]:
+            if symbol(c) or s[-1]:
+                s.append(symbol(c))
+        total = np.zeros(dim)
+        for i in range(len(s) - 2):
+            total += np.roll(letters[s[i]], 2) * np.roll(letters[s[i + 1]], 1) * letters[s[i + 2]]
+        return total
+
+    rows = docs.collect()
+    kinds = sorted({r.lang for r in rows if r.lang})
+    prototypes = [sum(bundle(r.text) for r in rows if r.lang == k) for k in kinds]
+    found = {r.doc_id: r.found for r in langid.identify(docs, langid.train(docs, dim=dim), to="found").collect()}
+    for r in rows:
+        v = bundle(r.text)
+        cos = [float(p @ v / np.sqrt((p @ p) * (v @ v))) for p in prototypes]
+        assert found[r.doc_id].lang == kinds[int(np.argmax(cos))] and found[r.doc_id].score == pytest.approx(max(0, max(cos)), abs=1e-5)
+
+
 # ---- chat
 
 
@@ -253,6 +354,16 @@ def test_urls(spark):
     assert urlfilter.verdicts(p.limit(0)).count() == 0
 
 
+def test_urls_of_any_length_and_columns_of_any_name(spark):
+    rows = [(1, "http://" + "a." * 500_000 + "example.org/es/" + "x" * 1_000_000, 1), (2, "http://" + "y" * 1_000_000 + "/es/", 2)]
+    p = spark.createDataFrame(rows, "page_id long, url string, host long").select("*", F.lit("p").alias("path"), F.lit("r").alias("rule"), F.lit("v").alias("verdict"), F.lit("j").alias("judged"))
+    start = time.time()
+    out = {r.page_id: r for r in urlfilter.judge(p, urlfilter.RULES, to=None).collect()}
+    assert time.time() - start < 20
+    assert out[1]._judged.rule == "example.org/es/" and out[2]._judged.rule is None
+    assert (out[1].host, out[1].path, out[1].rule, out[1].verdict, out[1].judged) == (1, "p", "r", "v", "j")
+
+
 def test_index_confirms_strings(tmp_path):
     data = bytearray(urlfilter.build_index([("block", "a.b", "/"), ("block", "c.d", "/x")]))
     path = tmp_path / "i"
@@ -317,6 +428,39 @@ def test_lines_insert_and_delete_are_reversible(spark):
     assert all(filters[s].contains(np.array([int.from_bytes(k[8:], "little")], "<u8"))[0] for k, s in keys.items())
 
 
+def test_lines_growth_double_insert_and_exact_counts(spark):
+    texts = {i: "\n".join(f"line number {i * 7 + k} of the text" for k in range(10)) for i in range(120)}
+    small, large = {k: v for k, v in texts.items() if k < 4}, {k: v for k, v in texts.items() if k >= 4}
+    state = linededup.insert(linededup.LineState.empty(spark, 2), line_docs(spark, small))
+    state = linededup.insert(state, line_docs(spark, large))  # thirty times as many keys: filters are built anew
+    state = linededup.insert(state, line_docs(spark, texts))  # known documents change nothing
+    assert kept(linededup.rewrite(line_docs(spark, texts), state)) == brute_lines(texts)
+    refs = defaultdict(set)
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            refs[linededup.line_key(x)].add(i)
+    assert {bytes(r.key): (r.refs, r.owner) for r in state.shared.collect()} == {k: (len(v), min(v)) for k, v in refs.items() if len(v) > 1}
+    assert sum(r["size"] for r in state.filters.collect()) == len(refs) == state.counts.count()
+    twice = linededup.insert(linededup.LineState.empty(spark, 2), line_docs(spark, small).unionByName(line_docs(spark, small)))
+    assert max(r.refs for r in twice.counts.collect()) == 2
+
+
+def test_lines_are_looked_up_only_where_a_filter_lets_them_through(spark):
+    one, two = {0: "the first line of all"}, {1: "the first line of all"}
+    state = linededup.insert(linededup.LineState.empty(spark, 1), line_docs(spark, one))
+    assert [r.refs for r in linededup.insert(state, line_docs(spark, two)).shared.collect()] == [2]
+    state.filters = linededup.build_filters(state.counts.select("shard", F.unhex(F.lit("00" * 16)).alias("key")))
+    assert linededup.insert(state, line_docs(spark, two)).shared.count() == 0
+
+
+def test_lines_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    texts = {i: "a line that all of them have\nand this one is of " + str(i // 2) for i in range(30)}
+    assert kept(linededup.dedup(line_docs(spark, texts))) == brute_lines(texts)
+    d = line_docs(spark, texts).withColumn("lines", F.lit("x"))
+    assert linededup.dedup(d).columns == [*d.columns, "_lines"]
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 20_000).astype("<u8")
@@ -340,6 +484,48 @@ def test_html_structure():
     assert out[1] == out[2] == ""
 
 
+_A = "The harbour was rebuilt after the great storm, and its long stone pier has been used by the fishing fleet ever since."
+_B = "In the autumn the boats leave before dawn and come back in the afternoon, when the market hall opens for buyers from the inland towns."
+_C = "Short closing remark."
+HAND_WRITTEN = {
+    "blog": f"""<html><body><div id="wrapper"><div id="header"><a href="/">Coast Notes</a><ul class="menu"><li><a href=/a>Home</a><li><a href=/b>About</a></ul></div>
+<div class="post-body"><h1>The harbour</h1><p>{_A}</p><p>{_B}</p><blockquote>{_C}</blockquote></div>
+<div class="sidebar"><h3>Recent posts</h3><ul><li><a href=1>The old lighthouse and its keeper</a><li><a href=2>Winter ferries</a></ul><h3>About me</h3><p>I write about the coast and its people every other week.</p></div>
+<div class="footer">Copyright 2020 Coast Notes. All rights reserved.</div></div></body></html>""",
+    "main": f"""<body><header><h1>Daily News</h1><nav><a href=/x>World</a> <a href=/y>Sport</a></nav></header><main><article><header><h2>The harbour</h2><p class="byline">By A. Writer</p></header><p>{_A}</p><aside class="related"><h4>More on this</h4><a href=q>Storm of the century</a></aside><p>{_B}</p><ul><li>First point of note in this list</li><li>Second point of note in this list</li></ul><p>{_C}</p></article></main><footer><p>Contact us at the harbour office. Terms and privacy.</p></footer></body>""",
+    "table": f"""<body><table width=100%><tr><td class=nav><a href=1>Index</a><br><a href=2>Search</a></td><td class=content><h1>The harbour</h1><p>{_A}<p>{_B}</td></tr></table><div class=copyright>(c) 1999</div></body>""",
+    "cookie": f"""<body><div class="cookie-banner" role="dialog"><p>We use cookies to give you the best experience on our site. By going on you agree to this.</p><button>Accept</button></div><div class="entry-content"><h1>The harbour</h1><p>{_A}</p><div class="ad-slot">Advertisement: buy boats now, cheap offers every day</div><p>{_B}</p></div><div id="comments"><h2>3 comments</h2><div class="comment"><p>I have been there many times and loved the market hall and all the people.</p></div></div></body>""",
+    "plain": f"""<html><head><title>x</title></head><body><h1>The harbour</h1><p>{_A}</p><p>{_B}</p></body></html>""",
+    "news": f"""<body><div class="top-bar"><span>Sign in</span><form><input><button>Search</button></form></div><section class="story"><h1>The harbour</h1><figure><img src=x><figcaption>The pier at noon in the spring</figcaption></figure><p>{_A}</p><p>{_B}</p><div class="newsletter-signup"><p>Get our newsletter every Sunday morning.</p><form><input type=email><button>Subscribe</button></form></div><p>{_C}</p></section><section class="recommended"><h3>You may also like</h3><article><h4><a href=1>Ten beaches for the summer</a></h4><p>From white sand to black rocks, our pick.</p></article></section></body>""",
+    "rightcol": f"""<body><div class="container"><div class="row"><div class="col-8"><h1>The harbour</h1><p>{_A}</p><h2>Autumn</h2><p>{_B}</p></div><div class="col-4 widget-area"><h2>Popular</h2><ul><li><a href=1>Lighthouse</a></li><li><a href=2>Ferries</a></li></ul><h2>Archive</h2><p>2019</p></div></div></div></body>""",
+}
+MORE = {
+    "blog": ["The harbour", _A, _B, _C],
+    "main": ["The harbour", _A, _B, "First point of note in this list", "Second point of note in this list", _C],
+    "table": ["The harbour", _A, _B],
+    "cookie": ["The harbour", _A, _B],
+    "plain": ["The harbour", _A, _B],
+    "news": ["The harbour", "The pier at noon in the spring", _A, _B, _C],
+    "rightcol": ["The harbour", _A, "Autumn", _B],
+}
+
+
+def test_html_of_pages_written_by_hand():
+    """Layouts that the generator of the training pages doesn't write."""
+    out = htmlextract.extract_texts(list(HAND_WRITTEN.values()), htmlextract.trained())
+    assert dict(zip(HAND_WRITTEN, (x.split("\n\n") for x in out), strict=True)) == MORE
+
+
+def test_html_of_many_end_tags_and_odd_tables(spark):
+    start = time.time()
+    long = "<article><p>Words of the text that stays here for a while.</p>" + "<b></i></span>" * 20_000 + "</p></li>" * 10_000 + "<div><span>" * 5_000 + "</article>"
+    p = spark.createDataFrame([(1, "u", long, 3), (2, "u", None, 3)], "page_id long, url string, html string, main_text long")
+    out = {r.page_id: r for r in htmlextract.texts(p).collect()}
+    assert time.time() - start < 60 and "Words of the text" in out[1].text and (out[2].text, out[2].n_chars) == ("", 0)
+    assert htmlextract.texts(p.limit(0)).count() == 0
+    assert htmlextract.extract(p, to="t").columns == [*p.columns, "t"]
+
+
 def test_html_held_out_pages():
     model, good, n = htmlextract.trained(), 0, 0
     for source in htmlextract.made_up_pages(60, 4242):
@@ -457,10 +643,49 @@ def test_join_of_one_large_group_in_blocks(spark, monkeypatch):
     assert out == brute_join(texts)
 
 
+def test_join_with_hot_keys_and_split_places(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(ngramjoin, "PLACE", 5)
+    texts = join_texts()
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(i % 5 * 2):
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts[1000 + i] = " ".join(w)
+    d = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, similar long")
+    out = ngramjoin.similar_documents(d)
+    assert out.columns == [*d.columns, "_similar"]
+    assert {r.doc_id: tuple(r._similar) for r in out.collect()} == brute_join(texts)
+
+
+def test_join_finds_links_through_absorbed_newcomers(spark):
+    """Chains x - y - z in which y is so close to x that it isn't kept as a leader, and z barely similar to y."""
+    rng = random.Random(11)
+    texts = {}
+    for c in range(150):
+        words = [f"c{c}w{i}" for i in range(200)]
+        near = list(words)
+        for i in rng.sample(range(0, 200, 12), 2):
+            near[i] = f"c{c}n{i}"
+        far = list(near)
+        for i in rng.sample(range(3, 200, 11), 4):
+            far[i] = f"c{c}f{i}"
+        for w in (words, near, far):
+            texts[len(texts)] = " ".join(w)
+    out = {r.doc_id: r.class_id for r in ngramjoin.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(196)}
+    linked = [i for i in range(0, len(texts), 3) if len(grams(texts[i + 1]) & grams(texts[i + 2])) >= 0.8 * len(grams(texts[i + 1]) | grams(texts[i + 2]))]
+    assert len(linked) > 50 and sum(out[i + 1] == out[i + 2] for i in linked) >= 0.99 * len(linked)
+
+
 def test_bands_reach_the_recall():
     for t, recall in ((0.8, 0.9999), (0.5, 0.99), (0.95, 0.999)):
         bands, rows = ngramjoin.choose_bands(t, recall)
         assert 1 - (1 - t**rows) ** bands >= recall
+    with pytest.raises(ValueError, match="minima"):
+        ngramjoin.choose_bands(0.02, 0.9999)
 
 
 def test_words_hash_as_they_split():
@@ -472,10 +697,13 @@ def test_words_hash_as_they_split():
     assert (got[0] == got[6]).all()
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 3)]
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 3)] + [(200, 201 + i) for i in range(30)]
     out = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{200 + i: 200 for i in range(31)}}
+    monkeypatch.setattr(components, "HELD", 3)  # in rounds, instead of in one task
+    assert {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == out
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -509,6 +737,28 @@ def test_bpe_caches_are_bounded(monkeypatch, library):
         assert len(e.pieces) <= 6
 
 
+def test_bpe_of_a_vocabulary_of_over_65536(monkeypatch):
+    import json
+
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 300)
+    letters = sorted(bpe.byte_alphabet().values())
+    pairs = [(a, b) for a in letters for b in letters]
+    random.Random(9).shuffle(pairs)
+    ids = {x: i for i, x in enumerate(letters)}
+    ids |= {a + b: len(letters) + i for i, (a, b) in enumerate(pairs)}
+    extra = [(x, y) for x, y in zip(list(ids)[-400:-200], list(ids)[-200:], strict=True)]
+    ids |= {a + b: len(ids) + i for i, (a, b) in enumerate(extra)}
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    spec = json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": pre, "truncation": None, "padding": None, "model": {"type": "BPE", "vocab": ids, "merges": [f"{a} {b}" for a, b in pairs + extra]}})
+    library, mine, rng = Tokenizer.from_str(spec), bpe.Encoder(spec.encode()), random.Random(2)
+    assert len(ids) > 65_536
+    for _ in range(1500):
+        text = "".join(rng.choices("abcdeXYZ019 éß.,", k=rng.randint(0, 30)))
+        packed = mine.encode(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == library.encode(text, add_special_tokens=False).ids, text
+    assert len(mine.vocabulary._jumps) <= 300
+
+
 def test_bpe_query(spark, library):
     d = spark.createDataFrame([(1, "some words here"), (2, None), (3, ""), (1, "some words here")], "doc_id long, text string").withColumn("token_ids", F.lit(1))
     out = bpe.digests(d).collect()
