@@ -38,6 +38,8 @@ _COMMON_END = "\u0530"
 _NEVER = 1 << 60
 #: Entries that a worker's caches hold before they start anew; a bound on memory, not on work.
 CACHE_ENTRIES = 250_000
+#: Letters of a pre-token's start whose part of the table is kept for other pre-tokens that start alike.
+STEM = 5
 
 
 @memo
@@ -74,7 +76,9 @@ class Vocabulary:
             self.parts.setdefault(ids[left + right], (*pair, k))
         self._right: dict[int, tuple] = {}
         self._left: dict[int, tuple] = {}
-        self._apart: dict[int, bool] = {}
+        self._apart: list[dict[int, bool]] = [{} for _ in self.bytes_of]
+        self._judged = 0
+        self._stems: dict[str, tuple[int, list[int]]] = {}
         self.whole: dict[str, int] = {}
         reachable = set()
         made = sorted((t for t in ids.values()), key=lambda t: self.parts.get(t, (0, 0, -1))[2])
@@ -173,18 +177,19 @@ class Vocabulary:
 
     def fits(self, before: int, t: int) -> bool:
         """Whether t can follow `before` in an encoding; kept for the next time."""
-        if len(self._apart) > 2 * CACHE_ENTRIES:
-            self._apart.clear()
-        out = self._apart[before << 32 | t] = not self.crossed(before, t)
+        if self._judged >= 2 * CACHE_ENTRIES:
+            for known in self._apart:
+                known.clear()
+            self._judged = 0
+        self._judged += 1
+        out = self._apart[t][before] = not self.crossed(before, t)
         return out
 
-    def encode_letters(self, letters: str) -> list[int]:
-        """Ids of one pre-token in the byte-level alphabet."""
-        if (t := self.whole.get(letters)) is not None:
-            return [t]
-        last = [-1] * (len(letters) + 1)
-        known, moves, ends = self._apart.get, self.moves, self.ends
-        state = end = 0
+    def fill(self, letters: str, state: int, table: list[int]) -> tuple[int, list[int]]:
+        """The automaton's state and the table of last tokens, both from those before `letters`."""
+        end = len(table) - 1
+        last = table + [-1] * len(letters)
+        known, moves, ends = self._apart, self.moves, self.ends
         for c in letters:
             end += 1
             to = moves[state].get(c)
@@ -194,12 +199,27 @@ class Vocabulary:
                     last[end] = t
                     break
                 if (before := last[end - size]) >= 0:
-                    fits = known(before << 32 | t)
+                    fits = known[t].get(before)
                     if fits is None:
                         fits = self.fits(before, t)
                     if fits:
                         last[end] = t
                         break
+        return state, last
+
+    def encode_letters(self, letters: str) -> list[int]:
+        """Ids of one pre-token in the byte-level alphabet."""
+        if (t := self.whole.get(letters)) is not None:
+            return [t]
+        if len(letters) <= STEM:
+            last = self.fill(letters, 0, [-1])[1]
+        else:  # the table of a prefix is the same whatever follows it
+            stem = letters[:STEM]
+            if (held := self._stems.get(stem)) is None:
+                if len(self._stems) >= CACHE_ENTRIES:
+                    self._stems.clear()
+                held = self._stems[stem] = self.fill(stem, 0, [-1])
+            last = self.fill(letters[STEM:], *held)[1]
         out, at = [], len(letters)
         while at:
             t = last[at]

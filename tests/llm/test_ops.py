@@ -737,6 +737,16 @@ def test_bpe_caches_are_bounded(monkeypatch, library):
         assert len(e.pieces) <= 6
 
 
+def test_bpe_keeps_the_table_of_a_start_for_words_that_share_it(library):
+    held, rng = bpe.Encoder(open(bpe.default_vocabulary(), "rb").read()).vocabulary, random.Random(5)
+    words = ["thessou" + "".join(rng.choices("aeinrstdlou", k=rng.randint(0, 9))) for _ in range(500)] + ["thess" * 2000, "thes", "thess"]
+    for w in words + words:
+        assert held.encode_letters(w) == library.encode(w, add_special_tokens=False).ids
+    assert set(held._stems) == {"thess"}
+    state, last = held._stems["thess"]
+    assert len(last) == bpe.STEM + 1 and (state, last) == held.fill("thess", 0, [-1])
+
+
 def test_bpe_of_a_vocabulary_of_over_65536(monkeypatch):
     import json
 
