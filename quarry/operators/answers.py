@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +96,17 @@ def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame |
         rows = rows.join(shown.select("query_id", F.col("image_id").cast("string")), ["query_id", "image_id"], "left_anti")
 
     def run(pdf):
+        columns = ("figure_number", "page", "doc_id", "position", "image_id", "fits", "query_id")
+        unknown = pdf["doc_id"].isna().tolist()  # images of no document come last
+        rows = zip(unknown, *(pdf[c].tolist() for c in columns), strict=True)
+        rows = [r[1:] for r in sorted(rows, key=lambda r: (r[1], r[2], r[0], 0 if r[0] else r[3], r[4]))]
         used, out = set(), []
-        for (figure, page), group in pdf.groupby(["figure_number", "page"], sort=True):
-            free = [r for r in group.sort_values(["doc_id", "position"]).itertuples() if r.image_id not in used]
-            hit = [r for r in free if r.fits]
+        for (figure, page), group in groupby(rows, key=lambda r: r[:2]):
+            free = [r for r in group if r[4] not in used]
+            hit = [r for r in free if r[5]]
             for r in hit[:1] or free:
-                used.add(r.image_id)
-                out.append((r.query_id, r.image_id, page, f"Figure {figure}" if hit else f"Figure {figure} on page {page}"))
+                used.add(r[4])
+                out.append((r[6], r[4], page, f"Figure {figure}" if hit else f"Figure {figure} on page {page}"))
         import pandas as pd
 
         return pd.DataFrame(out, columns=["query_id", "image_id", "page", "caption"])
