@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import STOP_WORDS, jaccard, token_set
 from quarry.operators import dense
-from quarry.operators.common import broadcast_if_small, ranked
+from quarry.operators.common import met, ranked
 
 #: Weights of the three texts, the boost, the score of linked images, thresholds.
 CAPTION, OCR, RELATED, BOOST, BOOST_FROM = 0.4, 0.3, 0.3, 1.2, 0.3
@@ -23,12 +23,12 @@ def vector_hits(images: DataFrame, queries: DataFrame, k: int, least: float = 0.
 def text_scores(images: DataFrame, queries: DataFrame) -> DataFrame:
     """Weighted similarity of the query's words, less stop words, with caption, OCR and related text."""
     terms = F.array_except(token_set(F.col("query")), F.array(*[F.lit(w) for w in STOP_WORDS]))
-    asked = broadcast_if_small(queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0))
+    asked = queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
     rows = images.select("id", *[token_set(F.col(c)).alias(c) for c in ("vlm_caption", "ocr_text", "related_text_content")])
     part = lambda c: jaccard(F.col("terms"), F.col(c))
     related = part("related_text_content")
     score = CAPTION * part("vlm_caption") + OCR * part("ocr_text") + RELATED * related
-    return rows.crossJoin(asked).select("query_id", "id", F.when(related > BOOST_FROM, score * BOOST).otherwise(score).alias("score"))
+    return met(rows, asked).select("query_id", "id", F.when(related > BOOST_FROM, score * BOOST).otherwise(score).alias("score"))
 
 
 def linked_hits(text_results: DataFrame, links: DataFrame, hits: DataFrame, require_hit: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import catalogue, schemas
 from quarry.functions import geometry
 from quarry.models import Models, hashed_bag, rerank_with
-from quarry.operators import answers, bm25, dense, hybrid, images, mmr, spatial, store, validation
+from quarry.operators import answers, bm25, common, dense, hybrid, images, mmr, spatial, store, validation
 from quarry.plans.engine import Engine
 from quarry.sources import binary
 from quarry.streaming import ingest
@@ -50,6 +50,23 @@ def test_plans_of_scoring_have_no_python(spark):
         assert "Python" not in plan and "Arrow" not in plan, name
 
 
+def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
+    vectors = schemas.vectors(spark, SMALL).select("id", "embedding")
+    asked = vectors.filter("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    pictures = schemas.images(spark, SMALL)
+    words = spark.createDataFrame([(i, f"nation {i} the report of region") for i in range(12)], "query_id long, query string")
+    found = lambda df, c: sorted((r.query_id, r.id, round(r[c], 9)) for r in df.collect())
+    runs = lambda: (found(dense.search(vectors, asked, 4), "dense_score"), found(images.text_scores(pictures, words), "score"))
+    want = runs()
+    for name, n in (("MOST_BROADCAST", 5), ("QUERIES_A_BLOCK", 4), ("ROWS_A_SLICE", 60)):
+        monkeypatch.setattr(common, name, n)
+    assert runs() == want and all(want)
+    plan = dense.search(vectors, asked, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(common, "MOST_BROADCAST", -1)
+    assert dense.search(vectors.filter("id < 0"), asked, 4).count() == 0 and dense.search(vectors, asked.filter("query_id < 0"), 4).count() == 0
+
+
 def test_mmr_keeps_the_first_and_prefers_difference(spark):
     rows = [(1, 1, 1, "hello world", 0.9), (1, 2, 2, "hello world", 0.8), (1, 3, 3, "other words here", 0.7), (1, 4, 4, "hello there", 0.6)]
     r = spark.createDataFrame(rows, "query_id long, id long, rank int, text string, hybrid_score double").withColumn("rerank_score", F.lit(None).cast("double"))
