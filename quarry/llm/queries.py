@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, chat, htmlextract, langid, linededup, maxscore, mixing, ngramjoin, urlfilter
+from quarry.llm import ann, bpe, chat, htmlextract, langid, linededup, maxscore, mixing, ngramjoin, secrets, spelling, urlfilter, whitening
 from quarry.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": op8_main_text,
         "op9_ngram_join": op9_ngram_join,
         "op10_bpe": op10_bpe,
+        "op11_secrets": op11_secrets,
+        "op12_whitening": op12_whitening,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -74,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_lines": linededup.ORACLE_SQL,
         "op7_top_k": maxscore.ORACLE_SQL,
         "op9_ngram_join": ngramjoin.ORACLE_SQL,
+        "op13_spelling": spelling.ORACLE_SQL,
     }
