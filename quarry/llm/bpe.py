@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import bounded_batches, kept
 
 #: Fixed value: the public byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -344,15 +344,9 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(spec) -> Encoder:
     """The worker's encoder of a broadcast vocabulary; kept between tasks of the worker."""
-    key = hash(spec.value)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(spec.value)
-    return _ENCODERS[key]
+    return kept(("bpe", hash(spec.value)), lambda: Encoder(spec.value))
 
 
 def _spec(spark, vocabulary_path: str):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +101,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+#: What a Python worker keeps between tasks, each with the time of its last use; seconds after which it is idle.
+_KEPT: dict[Hashable, list] = {}
+IDLE_SECONDS = 5.0
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), once for a worker and key. Tables of tens of MB stay in a worker from task to task, but what
+    another operator has left idle goes first, so that a worker that serves one stage after another holds
+    no more than the present one needs."""
+    now = time.monotonic()
+    if key not in _KEPT:
+        for other in [k for k, (_, used) in _KEPT.items() if now - used > IDLE_SECONDS]:
+            del _KEPT[other]
+        _KEPT[key] = [make(), now]
+    _KEPT[key][1] = now
+    return _KEPT[key][0]
+
+
 def result_name(df: DataFrame, stem: str) -> str:
     """stem, or where df has such a column stem with underscores before it."""
     return stem if stem not in {c.lower() for c in df.columns} else fresh_name(df, stem)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import bounded_batches, kept
 
 N = 3
 DIM = 1024
@@ -97,13 +97,8 @@ class Space:
         return out
 
 
-_SPACES: dict[tuple[int, int], Space] = {}
-
-
 def _space(dim: int, seed: int) -> Space:
-    if (dim, seed) not in _SPACES:
-        _SPACES[dim, seed] = Space(dim, seed)
-    return _SPACES[dim, seed]
+    return kept(("letters", dim, seed), lambda: Space(dim, seed))
 
 
 @dataclass
