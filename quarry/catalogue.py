@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.functions import geometry, render, text, vectors
 from quarry.models import batch_udf, hashed_bag
-from quarry.operators import answers, bm25, chunking, dense, hybrid, images, mmr, reports, spatial, store, validation
+from quarry.operators import answers, centroids, chunking, dense, hybrid, images, inverted, mmr, reports, spatial, store, validation
 from quarry.operators.common import ranked, score6
 from quarry.plans.engine import retrieve
 from quarry.sources import pages as html_pages
@@ -46,10 +47,10 @@ def _top(source: str, score: str, k: int, more: str = "") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, id) AS rank FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, id) <= {k} {more}"
 
 
-def _hybrid(k: int, keep: str = "TRUE", boost: bool = True) -> str:
+def _hybrid(k: int, keep: str = "TRUE", boost: bool = True, asked: str = ASKED_SQL) -> str:
     table_query = " OR ".join(f"contains(lower(query), '{w}')" for w in text.TABLE_WORDS)
     weight = f"CASE WHEN ({table_query}) AND is_table THEN 1.5 ELSE 1 END" if boost else "1"
-    return f"""{BM25}, {DENSE},
+    return f"""{BM25.replace(ASKED_SQL, asked)}, {DENSE},
 bmk AS (SELECT * FROM ({_top("bm", "bm25_score", 3 * k)}) WHERE bm25_score > 0),
 dek AS ({_top("de", "dense_score", 3 * k)}),
 fu AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.id, b.id) AS id, coalesce(dense_score, 0) AS dense_score, coalesce(bm25_score, 0) AS bm25_score
@@ -75,22 +76,33 @@ def _asked(spark, sf_dir):
     return schemas.queries(spark, sf_dir, ASKED)
 
 
-_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+_INDEXES: dict[tuple[str, ...], Any] = {}
 
 
-def _index(spark, sf_dir) -> bm25.Index:
-    """The index of the chunks, written once a session below the checkpoint folder (or else the warehouse)."""
-    key = spark.sparkContext.applicationId, sf_dir
+def _stored(spark, sf_dir: str, what: str, build: Callable[[str], Any]):
+    """What build(path) writes, once a session and table folder, below the checkpoint folder (or else the warehouse)."""
+    key = spark.sparkContext.applicationId, sf_dir, what
     if key not in _INDEXES:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        built = bm25.build(schemas.chunks(spark, sf_dir))
-        _INDEXES[key] = built.save(f"{root.rstrip('/')}/quarry-index/{key[0]}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}", 16)
-        built.release()
+        _INDEXES[key] = build(f"{root.rstrip('/')}/quarry-index/{key[0]}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}/{what}")
     return _INDEXES[key]
 
 
+def _index(spark, sf_dir) -> inverted.Inverted:
+    """The index of the chunks, in one segment."""
+
+    def build(path: str) -> inverted.Inverted:
+        index = inverted.Inverted(spark, path)
+        index.update(schemas.chunks(spark, sf_dir), whole=True)
+        return index.pin()
+
+    return _stored(spark, sf_dir, "terms", build)
+
+
 def release() -> None:
-    """Forget the indexes."""
+    """Forget the indexes, and remove their files."""
+    for index in _INDEXES.values():
+        index.drop()
     _INDEXES.clear()
 
 
@@ -99,13 +111,39 @@ def release() -> None:
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, rank, id, round(bm25_score, 6) AS bm25_score FROM ({_top('bm', 'bm25_score', 20)}) WHERE bm25_score > 0")
 def bm25_topk(spark, sf_dir):
-    found = bm25.search(_index(spark, sf_dir), _asked(spark, sf_dir), 20)
+    found = _index(spark, sf_dir).search(_asked(spark, sf_dir), 20)
     return found.select("query_id", "rank", "id", score6(F.col("bm25_score")).alias("bm25_score"))
 
 
-@query("bm25_stats", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(
+    "bm25_stats",
+    f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(DISTINCT doc_id) AS n FROM w)), m AS (SELECT avg(raw) AS mean FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m""",
+)
 def bm25_stats(spark, sf_dir):
-    return _index(spark, sf_dir).terms.select("term", "df", score6(F.col("idf")).alias("idf"))
+    return _index(spark, sf_dir).terms().select("term", "df", score6(F.col("idf")).alias("idf"))
+
+
+@query("bm25_incremental", ORACLE["bm25_topk"])
+def bm25_incremental(spark, sf_dir):
+    """The same from an index that has taken the chunks in by and by: some came in an earlier form or late,
+    others went again, and the segments of these changes have been merged."""
+    c, i = schemas.chunks(spark, sf_dir).select("id", "text"), F.col("id")
+
+    def build(path: str) -> inverted.Inverted:
+        index = inverted.Inverted(spark, path)
+        early = c.filter(i % 10 != 7).withColumn("text", F.when(i % 3 == 0, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text")))
+        brief = c.filter(i % 11 == 0).select((-i - 1).alias("id"), "text")
+        index.update(early.unionByName(brief), whole=True, source=0)
+        index.update(c.filter((i % 10 != 7) & (i % 3 == 0)), early.filter(i % 3 == 0), source=1)
+        index.update(c.filter(i % 10 == 7), brief, source=2)
+        index.update(c.filter(i % 50 == 1), c.filter(i % 50 == 1), source=3)
+        index.compact(1)
+        return index.pin()
+
+    found = _stored(spark, sf_dir, "segments", build).search(_asked(spark, sf_dir), 20)
+    return found.select("query_id", "rank", "id", score6(F.col("bm25_score")).alias("bm25_score"))
 
 
 @query("dense_topk", f"WITH {ASKED_SQL}, {DENSE} SELECT query_id, rank, id, round(dense_score, 6) AS dense_score FROM ({_top('de', 'dense_score', 15)})")
@@ -114,6 +152,17 @@ def dense_topk(spark, sf_dir):
     return found.select("query_id", "rank", "id", score6(F.col("dense_score")).alias("dense_score"))
 
 
+@query("dense_indexed", ORACLE["dense_topk"])
+def dense_indexed(spark, sf_dir):
+    def build(path: str) -> centroids.Centroids:
+        index = centroids.Centroids(spark, path)
+        index.update(schemas.vectors(spark, sf_dir), whole=True)
+        return index.pin()
+
+    found = _stored(spark, sf_dir, "vectors", build).search(_asked(spark, sf_dir), 15)
+    return found.select("query_id", "rank", "id", score6(F.col("dense_score")).alias("dense_score"))
+
+
 PAIRS = f"pr AS (SELECT x.vec_id AS a, y.vec_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 
 
@@ -190,15 +239,16 @@ def retrieve_text(spark, sf_dir):
 
 # ---- images
 
-IMAGES = """im AS (SELECT vec_id AS id, vec_id // 100 AS book, (1 + vec_id % 20)::INT AS page, coalesce(d.text, '') AS vlm_caption, coalesce(b.text, '') AS ocr_text,
+IMAGES = """bn AS (SELECT max(item_id) + 1 AS n FROM benchmark), im AS (SELECT vec_id AS id, vec_id // 100 AS book, (1 + vec_id % 20)::INT AS page, coalesce(d.text, '') AS vlm_caption, coalesce(b.text, '') AS ocr_text,
   coalesce(d.text, '') AS related_text_content, embedding, (vec_id % 300)::DOUBLE AS x0, (vec_id % 500)::DOUBLE AS y0, (vec_id % 300 + 120)::DOUBLE AS x1, (vec_id % 500 + 90)::DOUBLE AS y1
-  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id % 40 = b.item_id)"""
+  FROM embeddings e CROSS JOIN bn LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id % n = b.item_id)"""
 _NC = "nc AS (SELECT id AS chunk_id, book, page, text, section_heading, (id % 200)::DOUBLE AS a0, (id * 7 % 600)::DOUBLE AS b0, (id % 200 + 250)::DOUBLE AS a1, (id * 7 % 600 + 80)::DOUBLE AS b1 FROM chunks)"
-MET = f"""{CHUNKS}, {IMAGES}, {_NC},
+NEAR = f"""{IMAGES}, {_NC},
 mt AS (SELECT im.id AS target_id, chunk_id, text, section_heading, sqrt(pow((x0 + x1) / 2 - (a0 + a1) / 2, 2) + pow((y0 + y1) / 2 - (b0 + b1) / 2, 2)) AS distance,
   least(x1, a1) - greatest(x0, a0) AS w, least(y1, b1) - greatest(y0, b0) AS h, (x1 - x0) * (y1 - y0) AS p, (a1 - a0) * (b1 - b0) AS q FROM im JOIN nc USING (book, page)),
 mo AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w * h / (p + q - w * h) ELSE 0 END AS overlap FROM mt),
 nr AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance * (1 - 0.5 * overlap), 9), chunk_id) AS place FROM mo QUALIFY place <= 3)"""
+MET = f"{CHUNKS}, {NEAR}"
 #: The last of these has the words of a short caption, so that matching by text finds it.
 IMAGE_ASKED = {1: ("the results of the nation and that thing", 3), 2: ("Erinst resh.", 7)}
 _IV = ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in IMAGE_ASKED.items())
@@ -230,18 +280,19 @@ def image_text_match(spark, sf_dir):
 
 @query(
     "image_multi_strategy",
-    f"""WITH {MET}, {IMAGE_ASKED_SQL}, {IMAGE_DENSE}, {IMAGE_TEXT},
+    f"""WITH {_hybrid(10, asked=IMAGE_ASKED_SQL)}, {NEAR}, {IMAGE_DENSE}, {IMAGE_TEXT},
 al AS (SELECT query_id, id, score, 1 AS way, 'vector' AS search_method FROM ({_top("iv", "score", 20)}) WHERE round(score, 9) >= 0.3
   UNION ALL SELECT query_id, id, score, 2, 'text_match' FROM tx WHERE round(score, 9) >= 0.01
-  UNION ALL SELECT DISTINCT 1, target_id, 0.7, 3, 'linked' FROM nr WHERE chunk_id = 30),
+  UNION ALL SELECT DISTINCT query_id, target_id, 0.7, 3, 'linked' FROM res JOIN nr ON chunk_id = res.id WHERE hybrid_score >= 0.5),
 o AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY way) = 1),
 f AS (SELECT * FROM o WHERE round(score, 9) >= 0.4)
 SELECT query_id, rank, id, round(score, 6) AS score, search_method FROM ({_top("f", "score", 10)})""",
 )
 def image_multi_strategy(spark, sf_dir):
     linked = _nearby(spark, sf_dir)[1].select(F.col("chunk_id").alias("id"), F.col("target_id").alias("image_id"))
-    texts = spark.createDataFrame([(1, 30, 0.9, None)], "query_id long, id long, hybrid_score double, rerank_score double")
-    found = images.search(schemas.images(spark, sf_dir), _image_asked(spark, sf_dir), 10, 0.3, 0.01, texts, linked, require_hit=False)
+    asked = _image_asked(spark, sf_dir)
+    texts = hybrid.search_text(schemas.chunks(spark, sf_dir), schemas.vectors(spark, sf_dir), asked, 10, index=_index(spark, sf_dir))
+    found = images.search(schemas.images(spark, sf_dir), asked, 10, 0.3, 0.01, texts, linked, require_hit=False)
     return found.withColumn("score", score6(F.col("score")))
 
 
@@ -263,10 +314,11 @@ def jaccard_next(spark, sf_dir):
 
 def _doc_pages(spark, sf_dir):
     d = schemas.table(spark, sf_dir, "documents")
-    return d.select((F.col("doc_id") % 25).alias("doc_id"), F.floor(F.col("doc_id") / 25).cast("int").alias("page"), "text")
+    i = F.col("doc_id")
+    return d.select(F.floor(i / schemas.A_DOCUMENT).alias("doc_id"), (i % schemas.A_DOCUMENT).cast("int").alias("page"), "text")
 
 
-DOC_PAGES = "dp AS (SELECT doc_id % 25 AS doc_id, (doc_id // 25)::INT AS page, text FROM documents)"
+DOC_PAGES = "dp AS (SELECT doc_id // 100 AS doc_id, (doc_id % 100)::INT AS page, text FROM documents)"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _HEADING = r"(length(x) BETWEEN 1 AND 99 AND ((upper(x) = x AND lower(x) <> x) OR regexp_matches(x, '^\d+\.?\s+[A-Z]') OR regexp_matches(x, '^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$')))"
 LINES = f"{DOC_PAGES}, ln AS (SELECT doc_id, page, unnest(generate_series(0, len(l) - 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, page, string_split(text, chr(10)) AS l FROM dp)), hl AS (SELECT doc_id, page, line_no::INT AS line_no, x AS heading FROM (SELECT *, {STRIP.format('line')} AS x FROM ln) WHERE {_HEADING})"
@@ -312,10 +364,11 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(_named(spark, sf_dir), 1000, 200).select("chunk_id", "chunk_index", "total_chunks", F.length("text").alias("n"))
 
 
-@query("chunk_overlap", "WITH c AS (SELECT doc_id % 25 AS o, doc_id // 25 AS i, text FROM documents) SELECT o::VARCHAR AS original_chunk_id, i::INT AS chunk_index, right(lag(text) OVER w, 60) AS overlap_prefix, left(lead(text) OVER w, 60) AS overlap_suffix FROM c WINDOW w AS (PARTITION BY o ORDER BY i)")
+@query("chunk_overlap", "WITH c AS (SELECT doc_id // 100 AS o, doc_id % 100 AS i, text FROM documents) SELECT o::VARCHAR AS original_chunk_id, i::INT AS chunk_index, right(lag(text) OVER w, 60) AS overlap_prefix, left(lead(text) OVER w, 60) AS overlap_suffix FROM c WINDOW w AS (PARTITION BY o ORDER BY i)")
 def chunk_overlap(spark, sf_dir):
     d = schemas.table(spark, sf_dir, "documents")
-    c = d.select((F.col("doc_id") % 25).cast("string").alias("original_chunk_id"), F.floor(F.col("doc_id") / 25).cast("int").alias("chunk_index"), "text")
+    i = F.col("doc_id")
+    c = d.select(F.floor(i / schemas.A_DOCUMENT).cast("string").alias("original_chunk_id"), (i % schemas.A_DOCUMENT).cast("int").alias("chunk_index"), "text")
     return chunking.with_overlap(c, 60).drop("text")
 
 
@@ -382,11 +435,11 @@ def nearest_chunks(spark, sf_dir):
     return found.withColumns({c: score6(F.col(c)) for c in ("distance", "overlap")})
 
 
-@query("linked_ids", f"WITH {MET}, b AS (SELECT chunk_id AS id, list_sort(list(target_id)) AS l FROM nr GROUP BY 1) SELECT id, len(coalesce(l, []))::INT AS n_links, coalesce(array_to_string(l, ','), '') AS linked FROM chunks LEFT JOIN b USING (id)")
+@query("linked_ids", f"WITH {MET}, b AS (SELECT chunk_id AS id, list_sort(list(target_id)) AS l FROM nr GROUP BY 1) SELECT id, len(coalesce(l, []))::INT AS n_links, left(coalesce(array_to_string(l, ','), ''), 500) AS linked FROM chunks LEFT JOIN b USING (id)")
 def linked_ids(spark, sf_dir):
     c, found = _nearby(spark, sf_dir)
     out = spatial.reverse_links(c, found)
-    return out.select("id", F.size("linked_image_ids").alias("n_links"), F.array_join(F.col("linked_image_ids").cast("array<string>"), ",").alias("linked"))
+    return out.select("id", F.size("linked_image_ids").alias("n_links"), store.flat_metadata(F.col("linked_image_ids")).alias("linked"))
 
 
 @query("related_context", f"WITH {MET} SELECT target_id, string_agg(CASE WHEN section_heading <> '' THEN '[' || section_heading || ']' || chr(10) ELSE '' END || left(text, 500), chr(10) || chr(10) ORDER BY place) AS related_text_content FROM nr GROUP BY 1")
@@ -442,12 +495,12 @@ def surrounding_text(spark, sf_dir):
 
 # ---- store
 
-_OLD, _NEW = "SELECT id, text, page FROM chunks WHERE id % 3 <> 0", "SELECT id, 'new ' || left(text, 20) AS text, page FROM chunks WHERE id % 2 = 0"
+_OLD, _NEW = "SELECT id, text, page FROM chunks WHERE id % 3 <> 0", "SELECT id, 'new ' || text AS text, page FROM chunks WHERE id % 2 = 0"
 
 
 def _store_sides(spark, sf_dir):
     c = schemas.chunks(spark, sf_dir).select("id", "text", "page")
-    new = c.filter("id % 2 = 0").withColumn("text", F.concat(F.lit("new "), F.substring("text", 1, 20)))
+    new = c.filter("id % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
     return c.filter("id % 3 <> 0"), new
 
 
@@ -461,17 +514,30 @@ def insert_only_chunks(spark, sf_dir):
     return store.insert_only(*_store_sides(spark, sf_dir), ["id"])
 
 
+@query("store_upsert", ORACLE["upsert_chunks"])
+def store_upsert(spark, sf_dir):
+    """The same through the store: two versions of a table, the second on top of the first."""
+
+    def build(path: str) -> store.Store:
+        held = store.Store(spark, path, leaf_rows=1 << 12)
+        for rows in _store_sides(spark, sf_dir):
+            held.add("chunks", rows, ["id"])
+        return held
+
+    return _stored(spark, sf_dir, "store", build).read("chunks")
+
+
 @query("lookup_ids", f"WITH {IMAGES} SELECT id, page, vlm_caption, ocr_text FROM im WHERE id IN (SELECT item_id FROM benchmark)")
 def lookup_ids(spark, sf_dir):
     ids = schemas.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return store.image_defaults(store.lookup(schemas.images(spark, sf_dir), ids)).select("id", "page", "vlm_caption", "ocr_text")
 
 
-@query("metadata_migrate", "SELECT doc_id AS id, doc_id % 2 = 0 AS migrated, '1.1' AS metadata_version, CASE WHEN doc_id % 2 = 1 THEN left(text, 10) ELSE '' END AS related_text_content, 0 AS n_chunks FROM documents")
+@query("metadata_migrate", "SELECT doc_id AS id, doc_id % 2 = 0 AS migrated, '1.1' AS metadata_version, CASE WHEN doc_id % 2 = 1 THEN coalesce(text, '') ELSE '' END AS related_text_content, 0 AS n_chunks FROM documents")
 def metadata_migrate(spark, sf_dir):
     c = schemas.chunks(spark, sf_dir)
     new = F.col("id") % 2 == 1
-    rows = c.select("id", F.when(new, schemas.METADATA_VERSION).otherwise("1.0").alias("metadata_version"), F.when(new, F.substring("text", 1, 10)).alias("related_text_content"))
+    rows = c.select("id", F.when(new, schemas.METADATA_VERSION).otherwise("1.0").alias("metadata_version"), F.when(new, F.col("text")).alias("related_text_content"))
     return store.migrate(rows).select("id", "migrated", "metadata_version", "related_text_content", F.size("related_text_chunks").alias("n_chunks"))
 
 
@@ -509,19 +575,6 @@ def validate_tables(spark, sf_dir):
 
 # ---- rendering and answers
 
-_TABLES = [(1, 2, ["name", None, "n"], [["a", "b", "1"], [None, "c,d", "2"], ["", "x", None]]), (2, 5, ["only"], []), (3, 9, ["p", "q"], [[str(i), "v|w"] for i in range(7)])]
-
-
-@query("table_text", """SELECT * FROM (VALUES
- (1, E'[TABLE on Page 2]\\nTable with columns: name, n\\n| name |  | n |\\n| --- | --- | --- |\\n| a | b | 1 |\\n|  | c,d | 2 |\\n|  | x |  |\\nRow 1: a | b | 1\\nRow 2: c,d | 2\\nRow 3: x', E'name,,n\\na,b,1\\n,"c,d",2\\n,x,\\n'),
- (2, E'[TABLE on Page 5]\\nTable with columns: only\\n| only |\\n| --- |', E'only\\n'),
- (3, E'[TABLE on Page 9]\\nTable with columns: p, q\\n| p | q |\\n| --- | --- |\\n| 0 | v|w |\\n| 1 | v|w |\\n| 2 | v|w |\\n| 3 | v|w |\\n| 4 | v|w |\\n| 5 | v|w |\\n| 6 | v|w |\\nRow 1: 0 | v|w\\nRow 2: 1 | v|w\\nRow 3: 2 | v|w\\nRow 4: 3 | v|w\\nRow 5: 4 | v|w', E'p,q\\n0,v|w\\n1,v|w\\n2,v|w\\n3,v|w\\n4,v|w\\n5,v|w\\n6,v|w\\n')) t(table_id, text, csv)""")
-def table_text(spark, sf_dir):
-    t = spark.createDataFrame(_TABLES, "table_id int, page int, headers array<string>, rows array<array<string>>")
-    h, r = F.col("headers"), F.col("rows")
-    return t.select("table_id", render.table_text(F.col("page"), h, r).alias("text"), render.csv(h, r).alias("csv"))
-
-
 @query("citations", f"WITH {CHUNKS} SELECT id, CASE WHEN is_table THEN 'Table' ELSE 'Document' END || ' on Page ' || page || CASE WHEN section_heading <> '' THEN ' [' || section_heading || ']' ELSE '' END || ': ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS citation FROM chunks")
 def citations(spark, sf_dir):
     c = schemas.chunks(spark, sf_dir)
@@ -534,7 +587,7 @@ def image_captions(spark, sf_dir):
     return i.select("id", render.image_caption(*args).alias("caption"), render.figure_description(*args).alias("figure"))
 
 
-_CTX = "ctx AS (SELECT query_id, string_agg('[' || CASE WHEN is_table THEN 'Table ' ELSE 'Document ' END || rank || ' - Page ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS n_citations FROM res GROUP BY 1)"
+_CTX = "ctx AS (SELECT query_id, string_agg('[' || CASE WHEN is_table THEN 'Table ' ELSE 'Document ' END || rank || ' - Page ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS n_citations, string_agg(rank || '|' || page || '|' || section_heading || '|' || is_table || '|' || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END, chr(10) ORDER BY rank) AS citations FROM res GROUP BY 1)"
 
 
 def _contexts(spark, sf_dir):
@@ -542,9 +595,10 @@ def _contexts(spark, sf_dir):
     return answers.contexts(found)
 
 
-@query("context_block", f"WITH {_hybrid(4)}, {_CTX} SELECT query_id, context, n_citations FROM ctx")
+@query("context_block", f"WITH {_hybrid(4)}, {_CTX} SELECT query_id, context, n_citations, citations FROM ctx")
 def context_block(spark, sf_dir):
-    return _contexts(spark, sf_dir).select("query_id", "context", F.size("citations").alias("n_citations"))
+    line = lambda c: F.concat_ws("|", *[c[x].cast("string") for x in ("rank", "page", "section", "is_table", "text")])
+    return _contexts(spark, sf_dir).select("query_id", "context", F.size("citations").alias("n_citations"), F.array_join(F.transform("citations", line), "\n").alias("citations"))
 
 
 @query("template_answer", f"WITH {_hybrid(4)}, {_CTX}, f AS (SELECT query_id, string_split(context, chr(10) || chr(10))[1] AS f FROM ctx) SELECT query_id, CASE WHEN length(f) > 100 THEN left(f, 500) || '...' ELSE f END || chr(10) || chr(10) || chr(10) || 'Relevant figures are available: 2 figure(s) found.' || chr(10) || chr(10) || '{answers.NOTE}' AS answer FROM f")
@@ -617,13 +671,13 @@ def image_stats(spark, sf_dir):
     return b.select(i.alias("id"), F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), render.aspect_ratio(i + 100, i % 4 * 30).alias("aspect"))
 
 
-_OCR = r"o AS (SELECT vec_id AS id, b.text AS a, d.text AS b, vec_id * 74 % 5000 + 1 AS bytes, vec_id % 90 AS width, vec_id % 4 * 30 AS height FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id % 60 = b.item_id), r AS (SELECT id, CASE WHEN height > 0 THEN printf('%.2f', width / height) ELSE 'N/A' END AS aspect_ratio, printf('%.2f', bytes / 1024) AS kb, length(coalesce(a, ''))::INT AS a_chars, len(regexp_extract_all(coalesce(a, ''), '\S+'))::INT AS a_words, length(coalesce(b, ''))::INT AS b_chars, len(regexp_extract_all(coalesce(b, ''), '\S+'))::INT AS b_words FROM o)"
+_OCR = r"bn AS (SELECT max(item_id) + 1 AS n FROM benchmark), o AS (SELECT vec_id AS id, b.text AS a, d.text AS b, vec_id * 74 % 5000 + 1 AS bytes, vec_id % 90 AS width, vec_id % 4 * 30 AS height FROM embeddings e CROSS JOIN bn LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN benchmark b ON e.vec_id * 7 % n = b.item_id), r AS (SELECT id, CASE WHEN height > 0 THEN printf('%.2f', width / height) ELSE 'N/A' END AS aspect_ratio, printf('%.2f', bytes / 1024) AS kb, length(coalesce(a, ''))::INT AS a_chars, len(regexp_extract_all(coalesce(a, ''), '\S+'))::INT AS a_words, length(coalesce(b, ''))::INT AS b_chars, len(regexp_extract_all(coalesce(b, ''), '\S+'))::INT AS b_words FROM o)"
 
 
 def _ocr(spark, sf_dir):
     i, v = schemas.images(spark, sf_dir), F.col("id")
     b = schemas.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("a"))
-    rows = i.join(b, v % 60 == F.col("item"), "left").withColumn("b", F.col("vlm_caption"))
+    rows = i.join(F.broadcast(b.agg((F.max("item") + 1).alias("n")))).join(b, v * 7 % F.col("n") == F.col("item"), "left").withColumn("b", F.col("vlm_caption"))
     rows = rows.select("id", (v % 90).alias("width"), (v % 4 * 30).alias("height"), (v * 74 % 5000 + 1).alias("bytes"), "a", "b")
     return reports.ocr_report(rows, ["a", "b"])
 
@@ -656,6 +710,23 @@ def _tables(spark, sf_dir):
     )
 
 
+_LINE = "'| ' || array_to_string(list_transform({0}, lambda c: coalesce(c, '')), ' | ') || ' |'"
+_CSV = """array_to_string(list_transform({0}, lambda c: CASE WHEN regexp_matches(coalesce(c, ''), '[",\\n]') THEN '"' || replace(c, '"', '""') || '"' ELSE coalesce(c, '') END), ',')"""
+_SOME = "list_filter({0}, lambda c: c IS NOT NULL AND c <> '')"
+
+
+@query(
+    "table_text",
+    f"""WITH {_TABLE_ROWS} SELECT table_id, '[TABLE on Page ' || page || ']' || chr(10) || 'Table with columns: ' || array_to_string({_SOME.format("headers")}, ', ') || chr(10)
+  || array_to_string([{_LINE.format("headers")}, '| ' || array_to_string(list_transform(headers, lambda c: '---'), ' | ') || ' |'] || list_transform(rows, lambda r: {_LINE.format("r")}), chr(10))
+  || CASE WHEN len(rows) > 0 THEN chr(10) ELSE '' END || array_to_string(list_transform(rows[:5], lambda r, i: 'Row ' || i || ': ' || array_to_string({_SOME.format("r")}, ' | ')), chr(10)) AS text,
+  array_to_string([{_CSV.format("headers")}] || list_transform(rows, lambda r: {_CSV.format("r")}), chr(10)) || chr(10) AS csv FROM tb""",
+)
+def table_text(spark, sf_dir):
+    h, r = F.col("headers"), F.col("rows")
+    return _tables(spark, sf_dir).select("table_id", render.table_text(F.col("page"), h, r).alias("text"), render.csv(h, r).alias("csv"))
+
+
 _SAFE = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 

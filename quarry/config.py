@@ -15,11 +15,14 @@ class Config:
 
     text_k: int = 10
     image_k: int = 5
-    chunk_size: int = 1000
+    #: Characters to which blocks of text are cut on ingestion, 0 to leave them as they are.
+    chunk_size: int = 0
     chunk_overlap: int = 200
+    #: Dimensions that vectors must have, 0 for that of the stored ones.
+    text_dimension: int = 0
+    image_dimension: int = 0
     least_vector: float = 0.5
     least_text: float = 0.5
-    index_buckets: int = 64
     log_file: str = ""
 
     @classmethod

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import expand_query
+
 DIMENSION = 64
 
 
@@ -47,7 +49,7 @@ class Models:
     caption: Callable = _empty
     rerank: Callable | None = None
     generate: Callable | None = None
-    expand: Callable[[Column], Column] = field(default=lambda q: q)
+    expand: Callable[[Column], Column] = expand_query
 
 
 def _batch(f: Callable, *columns: list) -> list:

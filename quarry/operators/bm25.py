@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -16,35 +16,20 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Index:
-    """postings (term, id, tf, dl), terms (term, df, idf) and one row of statistics (n, avgdl, mean_idf).
-
-    buckets: number of buckets of terms by which stored postings are partitioned, 0 if they aren't.
-    """
+    """postings (term, id, tf, dl), terms (term, df, idf) and one row of statistics (n, avgdl, mean_idf), in
+    memory; inverted.Inverted is the stored form."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
-    buckets: int = 0
 
     def release(self) -> None:
         """Give back what build() keeps; the index can still be used, at the price of building it anew."""
         self.postings.unpersist()
 
-    def save(self, path: str, buckets: int = 64) -> Index:
-        """Write the index; postings by bucket of the term and sorted by term, so that a search reads
-        the buckets of its terms and skips row groups within them."""
-        where = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        rows = self.postings.withColumn("bucket", where).repartition("bucket").sortWithinPartitions("bucket", "term")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
-        return load(self.postings.sparkSession, path)
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    """An index that save() wrote."""
-    stats = spark.read.parquet(f"{path}/stats")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats.drop("buckets"), stats.first()["buckets"])
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """The k best of each query, of these the positive ones."""
+        return ranked(scores(self, queries), ["query_id"], "bm25_score", k).filter("bm25_score > 0")
 
 
 def searchable(chunks: DataFrame) -> DataFrame:
@@ -60,7 +45,7 @@ def build(chunks: DataFrame, keep: bool = True) -> Index:
 
     Statistics come from the postings too (the shares tf / dl of a document sum to 1, so that all of
     them sum to the number of documents). Postings are kept (in memory, and on disk beyond it), so that
-    the texts are cut into words once; unpersist() them, or save() the index and load it later.
+    the texts are cut into words once; release() the index afterwards.
     """
     words = chunks.select("id", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
     postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -79,20 +64,8 @@ def build(chunks: DataFrame, keep: bool = True) -> Index:
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, id, bm25_score) of the documents that hold a term of the query; repeats count."""
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    key = ["term"]
-    if index.buckets:
-        wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int"))
-        key = ["bucket", "term"]
     wanted = broadcast_if_small(wanted)
     terms = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = index.postings
-    if index.buckets:  # as many values as buckets at most; they prune partitions
-        postings = postings.filter(F.col("bucket").isin([r[0] for r in wanted.select("bucket").distinct().collect()]))
-    hits = postings.join(wanted, key).join(terms, "term").join(F.broadcast(index.stats.select("avgdl")))
+    hits = index.postings.join(wanted, "term").join(terms, "term").join(F.broadcast(index.stats.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("bm25_score"))
-
-
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, of these the positive ones."""
-    return ranked(scores(index, queries), ["query_id"], "bm25_score", k).filter("bm25_score > 0")

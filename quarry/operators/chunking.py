@@ -101,10 +101,10 @@ def split_by_size(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
-def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """(original_chunk_id, chunk_id, chunk_index, total_chunks, text, page, section_heading) of docs
     (chunk_id, text, page, section_heading): pieces at the best separator, packed up to size, or windows.
-    Greedy packing and windows go from left to right, so one Arrow function does both in one pass."""
+    keep: further columns of docs that each chunk gets. Greedy packing and windows go from left to right, so one Arrow function does both in one pass."""
 
     @F.arrow_udf("array<string>")
     def parts(texts: pa.Array) -> pa.Array:
@@ -112,11 +112,20 @@ def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
 
     both = docs.filter(F.length(strip(F.col("text"))) >= LEAST_CHUNK).withColumn("parts", parts("text"))
     name = F.coalesce("chunk_id", F.lit("chunk"))
-    out = both.select(name.alias("original_chunk_id"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("section_heading", F.lit("")).alias("section_heading"), F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text"))
+    out = both.select(name.alias("original_chunk_id"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("section_heading", F.lit("")).alias("section_heading"), F.size("parts").alias("total_chunks"), *keep, F.posexplode("parts").alias("chunk_index", "text"))
     out = out.filter(F.length(strip(F.col("text"))) >= LEAST_CHUNK)
     return out.withColumn("chunk_id", F.concat(F.col("original_chunk_id"), F.lit("_"), F.col("chunk_index").cast("string")))
 
 
+def cut_blocks(blocks: DataFrame, size: int, overlap: int) -> DataFrame:
+    """text_blocks() with a section_heading, those over `size` cut as chunk() cuts, all of a page numbered anew."""
+    whole = blocks.filter(F.length("text") <= size).withColumn("chunk_index", F.lit(0))
+    parts = chunk(blocks.filter(F.length("text") > size), size, overlap, ("doc_id", "idx")).select(*blocks.columns, "chunk_index")
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("idx", "chunk_index")) - 1
+    out = whole.unionByName(parts).withColumn("idx", place).drop("chunk_index")
+    return out.withColumn("chunk_id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_chunk"), F.col("idx").cast("string")))
+
+
 def with_overlap(chunks: DataFrame, overlap: int = 200) -> DataFrame:
     """chunks with overlap_prefix and overlap_suffix: the end of the one before, the start of the next; null at the ends."""
     w = Window.partitionBy("original_chunk_id").orderBy("chunk_index")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_table_query
-from quarry.operators import bm25, dense
+from quarry.operators import bm25, centroids, dense, inverted
 from quarry.operators.common import broadcast_if_small, ranked
 
 #: Weights of the two scores, boost of tables, and how much more each step fetches.
@@ -37,10 +37,10 @@ def weigh(candidates: DataFrame, queries: DataFrame, boost_tables: bool = True)
 
 def search_text(
     chunks: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | centroids.Centroids,
     queries: DataFrame,
     k: int,
-    index: bm25.Index | None = None,
+    index: bm25.Index | inverted.Inverted | None = None,
     pages: list[int] | None = None,
     sections: list[str] | None = None,
     boost_tables: bool = True,
@@ -51,7 +51,8 @@ def search_text(
     rerank adds rerank_score to (query_id, query, id, text); without it hybrid_score decides.
     """
     index = index or bm25.build(chunks)
-    found = fuse(dense.search(vectors, queries, FETCH * k), bm25.search(index, queries, FETCH * k))
+    near = vectors.search(queries, FETCH * k) if isinstance(vectors, centroids.Centroids) else dense.search(vectors, queries, FETCH * k)
+    found = fuse(near, index.search(queries, FETCH * k))
     # dense hits without a chunk keep empty attributes; every sparse hit is a chunk
     facts = chunks.select("id", "text", "page", "section_heading", "is_table")
     found = found.join(facts, "id", "left").fillna({"text": "", "page": 0, "section_heading": "", "is_table": False})

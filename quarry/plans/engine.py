@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,8 +13,8 @@ from quarry.config import Config, logger
 from quarry.functions import geometry, render
 from quarry.functions.text import sanitize_query
 from quarry.models import Models, batch_udf, process_images, rerank_with
-from quarry.operators import answers, bm25, chunking, hybrid, images, mmr, reports, spatial, validation
-from quarry.operators.store import Store, image_defaults
+from quarry.operators import answers, bm25, centroids, chunking, hybrid, images, inverted, mmr, reports, spatial, validation
+from quarry.operators.store import Conflict, Store, image_defaults, with_dimension
 from quarry.schemas import BOX, DECODED_IMAGES, DECODED_TABLES
 from quarry.sources import binary
 
@@ -21,7 +22,7 @@ TABLE_SECTION = "Tables"
 _LINKS = "array<string>"
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, pictures: DataFrame | None, queries: DataFrame, text_k: int = 5, image_k: int = 3, rerank=None, index: bm25.Index | None = None, links: DataFrame | None = None, least_vector: float = 0.5, least_text: float = 0.5) -> dict[str, DataFrame | None]:
+def retrieve(chunks: DataFrame, vectors: DataFrame | centroids.Centroids, pictures: DataFrame | None, queries: DataFrame, text_k: int = 5, image_k: int = 3, rerank=None, index: bm25.Index | inverted.Inverted | None = None, links: DataFrame | None = None, least_vector: float = 0.5, least_text: float = 0.5) -> dict[str, DataFrame | None]:
     """text: diversified hybrid results; images: results of the image ways."""
     found = hybrid.search_text(chunks, vectors, queries, 2 * text_k, index=index, rerank=rerank)
     text = mmr.select(found, text_k)
@@ -70,36 +71,49 @@ class Engine:
         self.store = Store(self.spark, self.path)
         self.config = self.config or Config.of(self.spark)
         self.log = logger(file=self.config.log_file)
-        self._index: tuple[int, bm25.Index] | None = None
+        self._indexes: dict[str, inverted.Inverted | centroids.Centroids] = {}
 
     # ---- ingestion
 
-    def ingest_files(self, path: str, decoder: Callable[[bytes], binary.Decoded] = binary.plain_document, pattern: str = "*.pdf", extensions: tuple[str, ...] | None = None, again: bool = False) -> DataFrame:
+    def ingest_files(self, path: str, decoder: Callable = binary.plain_document, pattern: str = "*.pdf", extensions: tuple[str, ...] | None = None, again: bool = False) -> DataFrame:
         """Files below path through the guards of names and sizes, decoded and ingested; those whose name
         the store holds are left out unless `again`. A row per file: path, doc_id, and why it was refused,
         left out or couldn't be read (status, null if it was taken)."""
-        rows = binary.guarded(binary.files(self.spark, path, pattern), extensions)
-        held = self.store.read("chunks")
+        return self.ingest_binary(binary.files(self.spark, path, pattern), decoder, extensions, again)
+
+    def ingest_binary(self, files: DataFrame, decoder: Callable = binary.plain_document, extensions: tuple[str, ...] | None = None, again: bool = False, tag: tuple[str, int] | None = None) -> DataFrame:
+        """ingest_files() of files (path, length, content). tag: the name of a stream and the number of a
+        batch, which each table of the store takes once however often it is replayed."""
+        rows = binary.guarded(files, extensions)
+        held = None if again else self.store.find("chunks", rows, "doc_id")
         rows = rows.withColumn("status", F.col("refused"))
-        if held is not None and not again:
+        if held is not None:
             known = held.select("doc_id", F.lit(True).alias("known")).distinct()
             rows = rows.join(known, "doc_id", "left").withColumn("status", F.coalesce("status", F.when(F.col("known"), "Already ingested"))).drop("known")
         taken = rows.filter("status IS NULL")
-        decoded = binary.decode_documents(taken, decoder)
-        folder = f"{self.path}/decoded/{self.store.version('chunks')}"
-        decoded.write.mode("overwrite").parquet(folder)  # files are decoded once, whatever is made of them
-        decoded = self.spark.read.parquet(folder)
-        if not decoded.filter("_corrupt IS NULL").isEmpty():
-            self.ingest(*(binary.part(decoded, x) for x in ("pages", "images", "tables", "blocks")))
+        folder = f"{self.path}/decoded/{uuid.uuid4().hex}"  # files are decoded once, whatever is made of them
+        binary.write(binary.decode_documents(taken, decoder), folder)
+        decoded = self.spark.read.schema(binary.ITEMS).parquet(folder)
+        if tag is not None or not decoded.filter(F.col("part") != binary.ERRORS).isEmpty():
+            self.ingest(*(binary.part(decoded, x) for x in ("pages", "images", "tables", "blocks")), tag=tag)
         told = rows.select("path", "doc_id", "status").join(binary.errors(decoded), "path", "left")
         return told.select("path", "doc_id", F.coalesce("status", "error").alias("status"))
 
-    def ingest(self, pages: DataFrame, images: DataFrame | None = None, tables: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    def _dimensioned(self, rows: DataFrame, name: str, wanted: int) -> DataFrame:
+        """rows, whose vectors must have the dimension that is set, or else that of the stored ones."""
+        held = None if wanted else self.store.read(name)
+        if held is not None:
+            first = held.filter("embedding IS NOT NULL").select(F.size("embedding")).first()
+            wanted = first[0] if first else 0
+        return with_dimension(rows, wanted) if wanted else rows
+
+    def ingest(self, pages: DataFrame, images: DataFrame | None = None, tables: DataFrame | None = None, blocks: DataFrame | None = None, tag: tuple[str, int] | None = None) -> DataFrame:
         """Text, images and tables of documents into the store; a summary row.
 
         pages: doc_id, page, text; images and tables as in schemas.DECODED_IMAGES and DECODED_TABLES; blocks
         (doc_id, page, idx, text, bbox): where text stands, for captions and surroundings. A document that
-        comes again replaces all of its former rows.
+        comes again replaces all of its former rows. Blocks are cut to the size that is set, if one is. Images
+        without a vector are left out, and vectors of a wrong dimension are an error. tag: see ingest_binary().
         """
         spark = self.spark
         images = spark.createDataFrame([], DECODED_IMAGES) if images is None else images
@@ -107,6 +121,8 @@ class Engine:
         blocks = spark.createDataFrame([], f"doc_id long, page int, idx int, text string, bbox {BOX}") if blocks is None else blocks
         headed = chunking.page_headings(pages, ["doc_id"], ["page"]).select("doc_id", "page", "section_heading")
         text = chunking.text_blocks(pages).join(headed, ["doc_id", "page"])
+        if self.config.chunk_size:
+            text = chunking.cut_blocks(text, self.config.chunk_size, self.config.chunk_overlap)
         text = with_id(text).withColumn("bbox", F.lit(None).cast(BOX)).select("id", "doc_id", "page", "chunk_id", "section_heading", "text", "bbox")
         images, tables = with_id(images, "image_id"), with_id(tables, "table_id")
 
@@ -128,7 +144,8 @@ class Engine:
             F.array().cast(kind).alias("related"), F.lit("").alias("related_text_content"), F.lit(None).cast(as_chunks.schema["table_meta"].dataType).alias("table_meta"),
         )
         rows = text.unionByName(as_chunks).withColumn("embedding", batch_udf(self.models.embed, "array<float>")("text"))
-        chunks = self.store.add("chunks", rows, ["doc_id", "id"], whole=["doc_id"])
+        rows = self._dimensioned(rows, "chunks", self.config.text_dimension)
+        chunks = self.store.add("chunks", rows, ["doc_id", "id"], whole=["doc_id"], tag=tag)
 
         targets = images.select(F.col("id").alias("target_id"), "doc_id", "page", "bbox")
         around = spatial.surroundings(targets, blocks, pages).select(F.col("target_id").alias("id"), "surrounding_context")
@@ -136,33 +153,58 @@ class Engine:
         pictures = images.join(near_images.drop("doc_id", "page", "bbox").withColumnRenamed("target_id", "id"), "id").join(captions, "id").join(around, "id")
         path = F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("image_id"), F.lit("."), F.col("format"))
         pictures = process_images(pictures, self.models).withColumn("image_path", path)
-        held = self.store.add("images", pictures, ["doc_id", "id"], whole=["doc_id"])
+        pictures = self._dimensioned(pictures.filter("embedding IS NOT NULL"), "images", self.config.image_dimension)
+        held = self.store.add("images", pictures, ["doc_id", "id"], whole=["doc_id"], tag=tag)
         out = reports.ingest_summary(chunks, held.select("id"))
         self.log.info("ingested into %s, version %d", self.path, self.store.version("chunks"))
         return out
 
     # ---- retrieval
 
-    def index(self) -> bm25.Index:
-        """The BM25 index of the present chunks: written once for each version of the table, then loaded."""
-        version = self.store.version("chunks")
-        if self._index is None or self._index[0] != version:
-            self.release()
-            folder = f"{self.path}/index/v{version}"
-            done, fs = self.store._fs(f"{folder}/stats/_SUCCESS")
-            if fs.exists(done):
-                self._index = version, bm25.load(self.spark, folder)
-            else:
-                built = bm25.build(bm25.searchable(self.store.read("chunks")))
-                self._index = version, built.save(folder, self.config.index_buckets)
-                built.release()
-        return self._index[1]
+    def _follow(self, index: inverted.Inverted | centroids.Centroids, rows: Callable[[DataFrame], DataFrame], same: list[str]):
+        """Bring an index up to the present chunks. Where chunks have changed since it was made, it gets a
+        segment with the rows that came and went, found in the leaves of the table that differ; without the
+        version it was made from, which vacuum() may have removed, it starts anew."""
+        while (now := self.store.snapshot("chunks")).version != (source := index.state()["source"]):
+            try:
+                if source not in self.store.versions("chunks").numbers():
+                    index.update(rows(self.store.read("chunks", now.version)), source=now.version, whole=True)
+                else:
+                    before = self.store.snapshot("chunks", source)
+                    came, gone = (rows(self.store.changed("chunks", a, b)) for a, b in ((now, before), (before, now)))
+                    index.update(came.join(gone, same, "left_anti"), gone.join(came, same, "left_anti"), source=now.version)
+            except Conflict:  # another session has made the index meanwhile
+                continue
+        return index
+
+    def _held(self, kind: str, index):
+        """The index that is loaded, if it is the newest, else the given one in its place."""
+        old = self._indexes.get(kind)
+        if old is None or old.state()["version"] != index.state()["version"]:
+            if old is not None:
+                old.release()
+            self._indexes[kind] = index.pin()
+        return self._indexes[kind]
+
+    def index(self) -> inverted.Inverted:
+        """The BM25 index of the present chunks."""
+        index = self._follow(inverted.Inverted(self.spark, f"{self.path}/index"), bm25.searchable, ["id", "text"])
+        index.compact()
+        return self._held("terms", index)
+
+    def vectors(self) -> centroids.Centroids:
+        """The index of the present chunks' vectors."""
+        rows = lambda c: c.select("id", "embedding")
+        index = self._follow(centroids.Centroids(self.spark, f"{self.path}/vectors"), rows, ["id", "embedding"])
+        if index.due():
+            index.update(rows(self.store.read("chunks", index.state()["source"])), source=index.state()["source"], whole=True)
+        return self._held("vectors", index)
 
     def release(self) -> None:
-        """Forget the loaded index."""
-        if self._index is not None:
-            self._index[1].release()
-            self._index = None
+        """Forget the indexes, and what they keep in memory."""
+        for index in self._indexes.values():
+            index.release()
+        self._indexes.clear()
 
     def images(self) -> DataFrame | None:
         """The stored images, empty texts for missing ones."""
@@ -180,7 +222,7 @@ class Engine:
         chunks, asked = self.store.read("chunks"), self._asked(queries)
         rerank = rerank_with(self.models.rerank) if self.models.rerank else None
         links = chunks.select("id", F.explode("linked_image_ids").alias("image_id"))
-        found = retrieve(chunks, chunks.select("id", "embedding"), self.images(), asked, text_k, image_k, rerank, self.index(), links, c.least_vector, c.least_text)
+        found = retrieve(chunks, self.vectors(), self.images(), asked, text_k, image_k, rerank, self.index(), links, c.least_vector, c.least_text)
         facts = chunks.select("id", "doc_id", "chunk_id", "related", "related_text_content", "table_meta")
         found["text"] = found["text"].join(facts, "id", "left")
         if found["images"] is not None:
@@ -218,6 +260,16 @@ class Engine:
 
     # ---- upkeep
 
+    def vacuum(self, older_than: float = 24 * 3600) -> None:
+        """Remove what no present version needs and is older than so many seconds: rows, segments of the
+        indexes, and items that were decoded."""
+        self.index(), self.vectors()
+        for name in ("chunks", "images"):
+            self.store.vacuum(name, older_than=older_than)
+        for kind in (inverted.Inverted(self.spark, f"{self.path}/index"), centroids.Centroids(self.spark, f"{self.path}/vectors")):
+            kind.vacuum(older_than)
+        self.store.versions("").sweep(f"{self.path}/decoded", older_than)
+
     def check(self) -> DataFrame:
         """(collection, id, kind, errors) of all stored metadata."""
         chunks = self.store.read("chunks")

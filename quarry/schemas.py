@@ -44,7 +44,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("vlm_caption"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("ocr_text"))
-    i = e.join(d, "vec_id", "left").join(b, F.col("vec_id") % 40 == F.col("item"), "left")
+    n = F.broadcast(b.agg((F.max("item") + 1).alias("n")))  # one row
+    i = e.join(n).join(d, "vec_id", "left").join(b, F.col("vec_id") % F.col("n") == F.col("item"), "left")
     v = F.col("vec_id")
     return i.select(
         v.alias("id"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sanitize_filename, validate_file_size, validate_filename
+from quarry.operators.common import broadcast_if_small
 
 PAGE_SCHEMA = "path string, page int, text string, _corrupt string"
 #: A box as decoders give it: x0, y0, x1, y1, or None.
@@ -63,64 +64,104 @@ def decode(rows: DataFrame, decoder: Callable[[bytes], Iterator[tuple[int, str]]
 
 
 _BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
-_PARTS = (
-    "doc_id long, path string, pages array<struct<page: int, text: string>>, "
-    f"blocks array<struct<page: int, idx: int, text: string, bbox: {_BOX}>>, "
-    f"images array<struct<page: int, image_id: string, format: string, bbox: {_BOX}, content: binary>>, "
-    f"tables array<struct<page: int, table_id: string, headers: array<string>, rows: array<array<string>>, bbox: {_BOX}>>, _corrupt string"
+#: A row for each thing that is read from a file; which columns it has depends on its part.
+ITEMS = (
+    "doc_id long, path string, page int, idx int, name string, text string, format string, "
+    f"headers array<string>, rows array<array<string>>, bbox {_BOX}, content binary, _corrupt string, part string"
 )
+#: The parts, the columns of each, and what its local names are made of.
+PARTS = {
+    "pages": ("doc_id", "page", "text"),
+    "blocks": ("doc_id", "page", "idx", "text", "bbox"),
+    "images": ("doc_id", "page", "name AS image_id", "format", "bbox", "content"),
+    "tables": ("doc_id", "page", "name AS table_id", "headers", "rows", "bbox"),
+}
+ERRORS = "errors"
+_NAMES = {"images": "img", "tables": "table"}
+#: Bytes and rows that a task gathers before it hands them on.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1024
+#: Bytes of a row group.
+ROW_GROUP = 16 << 20
 
 
 def _box(box: Box) -> dict | None:
     return None if box is None else dict(zip(("x0", "y0", "x1", "y1"), map(float, box), strict=True))
 
 
-def _numbered(items: list, kind: str) -> list[tuple]:
-    """Items with ids by page: p3_img0, p3_img1, ..."""
-    seen: dict[int, int] = {}
-    out = []
-    for item in items:
-        n = seen.get(item[0], 0)
-        seen[item[0]] = n + 1
-        out.append((item, f"p{item[0]}_{kind}{n}"))
-    return out
-
-
-def decode_documents(rows: DataFrame, decoder: Callable[[bytes], Decoded]) -> DataFrame:
-    """A row per file (doc_id, path, content): its pages, blocks, images and tables as arrays; a file that
-    fails has empty ones and its error in _corrupt. See part()."""
+def items(decoded: Decoded | Iterator[tuple], wanted: frozenset[str]) -> Iterator[dict]:
+    """Rows of what a decoder gives: a Decoded, or one by one (part, then what Decoded lists for it)."""
+    if isinstance(decoded, Decoded):
+        decoded = ((name, *x) for name in PARTS for x in getattr(decoded, name))
+    seen: dict[tuple[str, int], int] = {}
+    blocks = 0
+    for name, page, *rest in decoded:
+        row = {"part": name, "page": page}
+        if name == "blocks":
+            row |= {"idx": blocks, "text": rest[0], "bbox": _box(rest[1])}
+            blocks += 1
+        elif name == "pages":
+            row["text"] = rest[0]
+        elif name == "tables" and not rest[0]:
+            continue
+        else:
+            n = seen[name, page] = seen.get((name, page), -1) + 1
+            row |= {"name": f"p{page}_{_NAMES[name]}{n}", "bbox": _box(rest[1])}
+            row |= {"format": rest[0], "content": rest[2]} if name == "images" else {"headers": rest[0][0], "rows": rest[0][1:]}
+        if name in wanted:
+            yield row
+
+
+def _weight(row: dict) -> int:
+    return 200 + sum(len(row.get(c) or "") for c in ("text", "content")) + 50 * sum(map(len, row.get("rows") or []))
+
+
+def decode_documents(rows: DataFrame, decoder: Callable[[bytes], Decoded | Iterator[tuple]], parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """ITEMS of files (doc_id, path, content): a row for each page, block, image and table of the parts asked
+    for. A decoder that yields one thing after another is never ahead of what has been handed on, so a
+    file of thousands of pages and images takes the memory of the file and a batch. A file that fails has
+    a row of part ERRORS with its error, and whatever rows came before that; part() leaves these out."""
+    wanted = frozenset(parts)
 
     def run(batches):
+        held, weight = [], 0
         for batch in batches:
-            out = []
-            for doc_id, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                try:
-                    d, error = decoder(content), None
-                except Exception as e:
-                    d, error = Decoded(), str(e) or type(e).__name__
-                out.append(
-                    {
-                        "doc_id": doc_id,
-                        "path": path,
-                        "pages": [{"page": p, "text": t} for p, t in d.pages],
-                        "blocks": [{"page": p, "idx": i, "text": t, "bbox": _box(b)} for i, (p, t, b) in enumerate(d.blocks)],
-                        "images": [{"page": x[0], "image_id": k, "format": x[1], "bbox": _box(x[2]), "content": x[3]} for x, k in _numbered(d.images, "img")],
-                        "tables": [{"page": x[0], "table_id": k, "headers": x[1][0], "rows": x[1][1:], "bbox": _box(x[2])} for x, k in _numbered([t for t in d.tables if t[1]], "table")],
-                        "_corrupt": error,
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for doc_id, path, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = {"doc_id": doc_id.as_py(), "path": path.as_py()}
+                found = _safe(lambda: items(decoder(content.as_py()), wanted))  # noqa: B023
+                for row in found:
+                    held.append(own | row)
+                    weight += _weight(row)
+                    if weight >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(_PARTS))
-    return rows.select("doc_id", "path", "content").mapInArrow(run, _PARTS)
+    schema = to_arrow_schema(StructType.fromDDL(ITEMS))
+    return rows.select("doc_id", "path", "content").mapInArrow(run, ITEMS)
+
+
+def _safe(start: Callable[[], Iterator[dict]]) -> Iterator[dict]:
+    try:
+        yield from start()
+    except Exception as e:
+        yield {"part": ERRORS, "_corrupt": str(e) or type(e).__name__}
+
+
+def write(decoded: DataFrame, path: str) -> None:
+    """Items by part. Row groups are small, since a reader takes thousands of rows of one at a time, and an
+    image may have megabytes."""
+    decoded.write.partitionBy("part").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def part(decoded: DataFrame, name: str) -> DataFrame:
-    """The pages, blocks, images or tables of decode_documents(), a row each with doc_id."""
-    return decoded.select("doc_id", F.inline(name))
+    """The pages, blocks, images or tables of decode_documents(), without those of files that failed. Of
+    items that were written by part, only the files of that part and of the errors are read."""
+    broken = broadcast_if_small(decoded.filter(F.col("part") == ERRORS).select("doc_id"))
+    return decoded.filter(F.col("part") == name).join(broken, "doc_id", "left_anti").selectExpr(*PARTS[name])
 
 
 def plain_text(content: bytes) -> Iterator[tuple[int, str]]:
@@ -195,17 +236,29 @@ class _WebPage(HTMLParser):
             self.cells[-1][-1].append(data)
 
 
-def web_document(content: bytes) -> Decoded:
-    """Decoder of web pages: a page's text is its blocks, with blank lines between them."""
-    reader = _WebPage()
-    reader.feed(content.decode("utf-8", "replace"))
-    reader.close()
-    reader.end_block()
-    by_page: dict[int, list[str]] = {n: [] for n in range(1, reader.page + 1)}
-    for page, text, _ in reader.out.blocks:
-        by_page[page].append(text)
-    reader.out.pages = [(p, "\n\n".join(t)) for p, t in by_page.items()]
-    return reader.out
+def web_document(content: bytes, step: int = 1 << 16) -> Iterator[tuple]:
+    """Decoder of web pages, one thing after another; a page's text is its blocks, with blank lines between them."""
+    reader, text = _WebPage(), content.decode("utf-8", "replace")
+    page, held = 1, []
+    for at in range(0, len(text) + step, step):
+        if at < len(text):
+            reader.feed(text[at : at + step])
+        else:
+            reader.close()
+            reader.end_block()
+        for block in reader.out.blocks:
+            for page in range(page, block[0]):  # noqa: B020
+                yield "pages", page, "\n\n".join(held)
+                held = []
+            page = block[0]
+            held.append(block[1])
+            yield "blocks", *block
+        yield from (("images", *x) for x in reader.out.images)
+        yield from (("tables", *x) for x in reader.out.tables)
+        reader.out = Decoded()
+    for last in range(page, reader.page + 1):
+        yield "pages", last, "\n\n".join(held)
+        held = []
 
 
 def errors(decoded: DataFrame) -> DataFrame:

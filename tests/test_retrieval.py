@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import catalogue, schemas
 from quarry.functions import geometry
 from quarry.models import Models, hashed_bag, rerank_with
-from quarry.operators import answers, bm25, common, dense, hybrid, images, mmr, spatial, store, validation
+from quarry.operators import answers, bm25, centroids, common, dense, hybrid, images, inverted, mmr, spatial, store, validation
 from quarry.plans.engine import Engine
 from quarry.sources import binary
 from quarry.streaming import ingest
@@ -33,15 +33,177 @@ def test_bm25_equals_plain_calculation(spark):
         assert got.get(k, 0) == pytest.approx(want)
 
 
-def test_stored_index_gives_the_same(spark, tmp_path):
+ASKED = [(1, "the nation of and"), (2, "und heit"), (3, "the the unseen"), (4, "of dataset que la"), (5, ""), (6, "nowhere")]
+
+
+def found(index, asked, k):
+    return sorted((r.query_id, r["rank"], r.id, round(r.bm25_score, 9)) for r in index.search(asked, k).collect())
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, n in (("SLOT_DOCS", 8), ("BUCKET_POSTINGS", 4000), ("FILE_POSTINGS", 900), ("SEEDS", 2)):
+        monkeypatch.setattr(inverted, name, n)
+
+
+def test_stored_index_gives_the_same_and_skips_blocks(spark, tmp_path, small_blocks):
     chunks = schemas.chunks(spark, SMALL)
-    asked = spark.createDataFrame([(1, "the nation of and"), (2, "und heit")], "query_id long, query string")
-    index = bm25.build(chunks)
-    rows = lambda i: sorted((r.query_id, r.id, round(r.bm25_score, 9)) for r in bm25.search(i, asked, 10).collect())
-    stored = index.save(str(tmp_path / "index"), 8)
-    assert rows(stored) == rows(index) == rows(bm25.load(spark, str(tmp_path / "index")))
-    plan = bm25.scores(stored, asked)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan
+    rare = chunks.filter("id = 7").select("id", F.concat("text", F.lit(" zanzibar zanzibar")).alias("text"))
+    chunks = chunks.select("id", "text").filter("id <> 7").unionByName(rare)
+    asked = spark.createDataFrame(ASKED, "query_id long, query string")
+    index = inverted.Inverted(spark, str(tmp_path / "index"))
+    state = index.update(chunks, whole=True)
+    assert state["segments"][0]["buckets"] > 4
+    built = bm25.build(chunks)
+    for k in (1, 3, 10, 500):
+        assert found(index, asked, k) == found(built, asked, k)
+    terms = lambda t: sorted((r.term, r.df, round(r.idf, 9)) for r in t.collect())
+    assert terms(index.terms()) == terms(built.terms)
+    # no block is larger than its slot, no document's score passes the bound of its slot
+    assert index.blocks().filter("size(ids) <> n OR n > 40").count() == 0
+    weighed = index._weighed(asked)
+    bounds = {(r.query_id, r.slot): r.bound for r in index.bounds(weighed).collect()}
+    slots = -(-index.state()["segments"][0]["live"] // 8)
+    dealt = index.scores(asked).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
+    assert all(r.bm25_score <= bounds[r.query_id, r.slot] + 1e-9 for r in dealt.collect())
+    # a query with a rare word reads few blocks, and a plan doesn't read other buckets
+    one = spark.createDataFrame([(1, "the zanzibar and of")], "query_id long, query string")
+    weighed = index._weighed(one)
+    every, read = (x.agg(F.sum("blocks")).first()[0] for x in (index.bounds(weighed), index.needed(weighed, 1)))
+    assert found(index, one, 1) == found(built, one, 1) and read < 0.25 * every
+    plan = index.scores(one)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Python" not in plan
+    heads = index.bounds(weighed)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in heads and "tfs" not in heads
+    index.release()
+
+
+def test_index_follows_documents_by_segments(spark, tmp_path, small_blocks):
+    rows = {r.id: r.text for r in schemas.chunks(spark, SMALL).collect()}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, text string")
+    asked = spark.createDataFrame([*ASKED, (7, "zebra the"), (8, "nation report zebra")], "query_id long, query string")
+    index = inverted.Inverted(spark, str(tmp_path / "index"))
+    index.update(frame(rows), source=1)
+    first = index.state()["segments"][0]
+    same = lambda: found(index, asked, 10) == found(bm25.build(frame(rows)), asked, 10)
+
+    def change(new, gone=()):
+        old = {i: rows[i] for i in [*gone, *[i for i in new if i in rows]]}
+        index.update(frame(new) if new else None, frame(old) if old else None, source=index.state()["source"] + 1)
+        for i in old:
+            rows.pop(i)
+        rows.update(new)
+
+    change({900: "a zebra and the nation", 901: rows[3]})
+    last = index.state()["segments"][-1]
+    assert last["postings"] < 0.02 * first["postings"] and index.state()["segments"][0] == first and same()
+    change({5: "zebra report of the nation", 6: "", 7: None}, gone=[8, 9])  # replaced, emptied, removed
+    assert same()
+    change({8: "back again, the zebra"})
+    change({5: rows[5]})  # the same once more
+    change({}, gone=[900])
+    assert same() and len(index.state()["segments"]) == 6
+    # the small segments are merged, the large one stays
+    dead = sum(s["postings"] for s in index.state()["segments"])
+    start = inverted.Inverted.run(index.state()["segments"])
+    assert 0 < start < 3 and index.compact()
+    assert [s["name"] for s in index.state()["segments"]][0] == first["name"] and len(index.state()["segments"]) == start + 1 and same()
+    assert not index.compact()
+    # an update that comes while a merge runs stays, and an update that a merge overtakes lands on top of it
+    one, publish = inverted.Inverted(spark, str(tmp_path / "index")), index._publish
+    index._publish = lambda state: (setattr(index, "_publish", publish), one.update(frame({950: "the late zebra"}), source=99), publish(state))
+    assert index.compact(0)
+    rows[950] = "the late zebra"
+    assert len(index.state()["segments"]) == 2 and same() and sum(s["postings"] for s in index.state()["segments"]) < dead
+    index._publish = lambda state: (setattr(index, "_publish", publish), one.compact(0), publish(state))
+    index.update(frame({951: "later still, a zebra"}), source=100)
+    rows[951] = "later still, a zebra"
+    assert len(index.state()["segments"]) == 2 and index.state()["source"] == 100 and same()
+    # of two updates from one state the second is refused
+    index._publish = lambda state: (setattr(index, "_publish", publish), one.update(frame({952: "x"}), source=101), publish(state))
+    with pytest.raises(store.Conflict):
+        index.update(frame({953: "y"}), source=102)
+    rows[952] = "x"
+    index.vacuum(older_than=0)
+    assert same() and {p.name for p in (tmp_path / "index" / "blocks").iterdir()} == {f"segment={s['name']}" for s in index.state()["segments"]}
+    assert len(index.versions.numbers()) == 1
+    index.drop()
+    assert not (tmp_path / "index").exists() and index.search(asked, 3).count() == 0
+
+
+def nearest(index, asked, k):
+    return sorted((r.query_id, r["rank"], r.id, round(r.dense_score, 9)) for r in index.search(asked, k).collect())
+
+
+def exact(spark, rows, asked, k):
+    vectors = spark.createDataFrame(list(rows.items()), "id long, embedding array<float>")
+    return sorted((r.query_id, r["rank"], r.id, round(r.dense_score, 9)) for r in dense.search(vectors, asked, k).collect())
+
+
+def test_vector_index_is_exact_and_skips_partitions(spark, tmp_path, monkeypatch):
+    import random
+
+    for name, n in (("PARTITION_ROWS", 40), ("FILE_ROWS", 100)):
+        monkeypatch.setattr(centroids, name, n)
+    rng = random.Random(3)
+    places = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    near = lambda at: [x + rng.gauss(0, 0.05) for x in at]
+    rows = {i: near(places[i % 30]) for i in range(1200)}
+    rows |= {2000 + i: places[0] for i in range(400)}  # a hot place: copies of one vector
+    rows |= {3000: None, 3001: [0.0] * 12, 3002: [float("nan")] * 12, 3003: [1.0, 2.0], 3004: [], 3005: [None] * 12}
+    asked = spark.createDataFrame([(1, near(places[4])), (2, near(places[0])), (3, [rng.gauss(0, 1) for _ in range(12)]), (4, [0.0] * 12), (5, [2.0, 1.0]), (6, None)], "query_id long, query_vec array<float>")
+    table = lambda d: spark.createDataFrame(list(d.items()), "id long, embedding array<float>")
+    clean = {i: None if i in (3002, 3005) else v for i, v in rows.items()}  # what isn't a number has no direction
+    index = centroids.Centroids(spark, str(tmp_path / "v"))
+    index.update(table(rows), whole=True, source=1)
+    for k in (1, 7, 50):
+        got = nearest(index, asked, k)
+        assert got == exact(spark, clean, asked, k), k
+    some = asked.filter("query_id < 3")
+    assert index.share(some, 5) < 0.2
+    plan = index._scored(index.needed(some, 5), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "centroid" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Python" not in plan
+    # the hot partition lies in several files
+    hot = [p for p in (tmp_path / "v" / "vectors").glob("segment=*/centroid=*") if len(list(p.glob("*.parquet"))) > 2]
+    assert len(hot) >= 1
+    # segments: new vectors, vectors that are replaced, vectors that go
+    new = {5: near(places[9]), 5000: near(places[4]), 5001: [float(x) for x in range(12)]}
+    gone = [5, 34, 64, 2000]
+    index.update(table(new), spark.createDataFrame([(i,) for i in gone], "id long"), source=2)
+    clean = {i: v for i, v in clean.items() if i not in gone} | new
+    assert nearest(index, asked, 20) == exact(spark, clean, asked, 20) and len(index.state()["segments"]) == 2
+    index.update(table({64: near(places[4])}), source=3)
+    clean[64] = [r.embedding for r in index.vectors(index.state()).filter("id = 64 AND seq = 3").collect()][0]
+    assert nearest(index, asked, 20) == exact(spark, clean, asked, 20)
+    other = centroids.Centroids(spark, str(tmp_path / "v"))
+    publish = other.versions.publish
+    other.versions.publish = lambda *x: (index.update(table({1: near(places[2])}), source=4), publish(*x))
+    with pytest.raises(store.Conflict):
+        other.update(table({2: near(places[2])}), source=5)
+    index.update(table(clean), whole=True, source=6)
+    assert nearest(index, asked, 20) == exact(spark, clean, asked, 20) and len(index.state()["segments"]) == 1
+    index.vacuum(older_than=0)
+    assert nearest(index, asked, 3) == exact(spark, clean, asked, 3) and len(list((tmp_path / "v" / "facts").iterdir())) == 1
+    empty = centroids.Centroids(spark, str(tmp_path / "e"))
+    empty.update(table(rows).limit(0), whole=True)
+    assert empty.search(asked, 3).count() == 0 and not empty.due()
+
+
+def test_engine_index_follows_the_store(spark, tmp_path):
+    text = "Paragraph {} about {} that is long enough to be a block of its own."
+    page = lambda d, *words: [(d, 1, "\n\n".join(text.format(i, w) for i, w in enumerate(words)))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, page int, text string")
+    e = Engine(spark, str(tmp_path / "s"))
+    e.ingest(frame([r for d in range(20) for r in page(d, "lions", "bread", f"word{d}")]))
+    asked = spark.createDataFrame([(1, "word3 lions"), (2, "zebras"), (3, "bread block")], "query_id long, query string")
+    same = lambda: found(e.index(), asked, 10) == found(bm25.build(bm25.searchable(e.store.read("chunks"))), asked, 10)
+    assert same() and len(e.index().state()["segments"]) == 1
+    e.ingest(frame([*page(3, "zebras", "bread"), *page(77, "word3")]))
+    assert same() and [s["docs"] for s in e.index().state()["segments"]] == [60, 0] and e.index().state()["segments"][1]["gone"] == 2
+    e.ingest(frame(page(78, "bread")))
+    e.store.vacuum("chunks", older_than=0)  # takes the version that the index was made from
+    assert same() and len(e.index().state()["segments"]) == 1
+    assert Engine(spark, str(tmp_path / "s")).index().state() == e.index().state()
 
 
 def test_plans_of_scoring_have_no_python(spark):
@@ -256,16 +418,81 @@ def test_engine_of_text_images_and_tables(spark, tmp_path):
     assert e.store.read("chunks").count() == 1 and e.retrieve(asked, 3, 2)["text"].count() == 1
 
 
-def test_store_rewrites_touched_buckets_and_refuses_a_second_writer(spark, tmp_path):
-    s = store.Store(spark, str(tmp_path / "s"))
+def rows_of(s, name="t"):
+    return sorted(map(tuple, s.read(name).collect()))
+
+
+def test_store_rewrites_touched_leaves_and_splits_large_ones(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), leaf_rows=60, file_rows=25)
     assert s.read("t") is None and s.version("t") == 0
     s.add("t", spark.range(500).select("id", F.lit("a").alias("x")), ["id"])
-    first = s._buckets("t", 1)
+    first = s.snapshot("t")
+    assert first.version == 1 and len(first.leaves) == 32 and sum(n for _, n in first.leaves.values()) == 500
     s.add("t", spark.createDataFrame([(3, "b")], "id long, x string"), ["id"])
-    changed = {b for b, v in s._buckets("t", 2).items() if first.get(b) != v}
-    assert len(changed) == 1 and s.read("t").count() == 500 and s.read("t").filter("x = 'b'").count() == 1
+    second = s.snapshot("t")
+    assert len([x for x in second.leaves if second.leaves[x] != first.leaves[x]]) == 1
+    assert rows_of(s) == sorted([(i, "b" if i == 3 else "a") for i in range(500)])
+    for more in range(1, 5):  # grows without a leaf over the limit, and nothing is lost
+        s.add("t", spark.range(500 * more, 500 * more + 500).select("id", F.lit("c").alias("x"), F.lit(more).alias("y")), ["id"])
+    grown = s.snapshot("t")
+    assert max(n for _, n in grown.leaves.values()) <= 60 and len(grown.leaves) > 64
+    assert s.read("t").columns == ["id", "x", "y"] and s.read("t").count() == 2500 and s.read("t").filter("y IS NULL").count() == 500
+    assert s.read("t", 2).count() == 500
+    # a lookup reads the leaves of its keys only
+    found = s.find("t", spark.createDataFrame([(3,), (777,), (9999,)], "id long"), "id")
+    assert sorted((r.id, r.x) for r in found.collect()) == [(3, "b"), (777, "c")]
+    assert len({f.split("/leaf=")[1].split("/")[0] for f in found.inputFiles()}) <= 3
+    # rows of one key stay in one leaf, but in several files
+    s.add("hot", spark.range(200).select(F.lit(1).alias("k"), "id"), ["k", "id"])
+    full = [x for x in s.snapshot("hot").leaves.items() if x[1][1]]
+    assert [n for _, (_, n) in full] == [200] and len(s.read("hot").inputFiles()) > 2
+    before = rows_of(s)
+    s.vacuum("t", older_than=0)
+    assert rows_of(s) == before and s.versions("t").numbers() == [grown.version]
+    folders = {v[0] for v in grown.leaves.values()}
+    assert {p.name for p in (tmp_path / "s" / "t" / "data").iterdir()} == folders
+
+
+@pytest.mark.parametrize(("other", "kept"), [([(901, "B")], False), ([(77, "B")], None)])
+def test_two_writers_that_meet_both_land(spark, tmp_path, monkeypatch, other, kept):
+    """B reads the version that A read, and publishes while A is about to."""
+    frame = lambda rows: spark.createDataFrame(rows, "id long, x string")
+    a, b = (store.Store(spark, str(tmp_path / "s"), leaf_rows=60) for _ in range(2))
+    a.add("t", spark.range(500).select("id", F.lit("a").alias("x")), ["id"])
+    publish, writes, met = a._publish, [], []
+    write = a._write
+    monkeypatch.setattr(a, "_write", lambda *x: writes.append(x[-1]) or write(*x))
+
+    def late(name, held):
+        if not met:
+            met.append(1)
+            b.add("t", frame(other), ["id"])
+        publish(name, held)
+
+    monkeypatch.setattr(a, "_publish", late)
+    mine = [(901, "A")] if kept is False else [(3, "A")]
+    a.add("t", frame(mine), ["id"])
+    assert a.version("t") == 3
+    want = {i: "a" for i in range(500)} | dict(other) | dict(mine)  # A came last
+    assert rows_of(a) == sorted(want.items())
+    same = kept is False or b._counts(b.snapshot("t", 1), frame(mine), "id")[0][0] == b._counts(b.snapshot("t", 1), frame(other), "id")[0][0]
+    assert len(writes) == (2 if same else 1)  # elsewhere, what A had written stayed
+    used = {v[0] for v in a.snapshot("t").leaves.values()}
+    assert writes[-1] in used and (not same or not (tmp_path / "s" / "t" / "data" / writes[0]).exists())
+    # both versions before can still be read
+    assert a.read("t", 1).count() == 500 and a.read("t", 2).filter("x = 'B'").count() == 1
     with pytest.raises(store.Conflict):
-        s._publish("t", 2, {})
+        publish("t", store.Snapshot(3))
+
+
+def test_store_takes_each_batch_of_a_stream_once(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id long, x string")
+    assert s.add("t", frame((1, "a")).limit(0), ["id"], tag=("q", 0)).count() == 0 and s.version("t") == 1
+    s.add("t", frame((1, "a")), ["id"], tag=("q", 1))
+    s.add("t", frame((1, "b")), ["id"], tag=("q", 1))  # a replay
+    s.add("t", frame((2, "c")), ["id"], tag=("other", 1))
+    assert rows_of(s) == [(1, "a"), (2, "c")] and s.snapshot("t").tags == {"q": 1, "other": 1} and s.version("t") == 3
 
 
 def test_a_bad_row_costs_no_other(spark):
