@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import bounded_batches, materialize
 
 #: Kinds of spans, in their order.
 KINDS = ("assign", "access", "hex", "novel")
@@ -55,17 +55,21 @@ DICTIONARY = 1 << 16
 
 def identifiers(docs: DataFrame, size: int = DICTIONARY) -> bytes:
     """The most frequent identifiers of docs (text), the most frequent last, as a dictionary of `size`
-    bytes at most; ties go to the smaller word."""
+    bytes at most. Frequencies of like size (16 levels for each doubling) go in together or not at all."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,24}"), F.lit(0))).alias("word"))
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size // 5).collect()]
-    out, left = [], size
-    for w in top:
-        left -= len(w) + 1
+    words = materialize(words.withColumn("level", F.floor(16 * F.log2("n")).cast("int")))
+    levels = words.groupBy("level").agg(F.sum(F.length("word") + 1).alias("bytes")).orderBy(F.desc("level"))
+    least, left = None, size
+    for r in levels.collect():  # under a thousand rows
+        left -= r["bytes"]
         if left < 0:
             break
-        out.append(w)
-    return " ".join(reversed(out)).encode()
+        least = r["level"]
+    if least is None:
+        return b""
+    top = sorted(words.filter(F.col("level") >= least).select("n", "word").collect(), key=lambda r: (r["n"], r["word"]))
+    return " ".join(r["word"] for r in top).encode()
 
 
 _PRIMED: dict[bytes, zstandard.ZstdCompressor] = {}
