@@ -104,14 +104,14 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     run = F.floor(F.col("turn") / RUN_TURNS)
-    runs = rows.groupBy("conv_id", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    runs = rows.groupBy("conv_id", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text"))).alias("rows"))
     runs = runs.select(
         "conv_id",
         "run",
         F.transform("rows", lambda x: x["role"]).alias("roles"),
         F.flatten(F.transform("rows", lambda x: segments(x["role"], x["text"], template))).alias("parts"),
     )
-    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "roles", "parts"))).alias("runs"))
+    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("run").isNull().alias("last"), "run", "roles", "parts"))).alias("runs"))
     whole = whole.select(
         "conv_id",
         _first_bad(F.flatten(F.transform("runs", lambda x: x["roles"])), template).alias("bad_turn"),

@@ -53,12 +53,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
-    """Write a file under the shared folder, where it stays until drop_scratch(); its path."""
-    path = f"{scratch_root(spark)}/quarry/{spark.sparkContext.applicationId}/files/{name}"
+    """Write a file under the shared folder, unless it is there; its path. Its name should come from its data.
+    Executors that start later may ask for it, so drop_scratch() leaves it."""
+    path = f"{scratch_root(spark)}/quarry-files/{name}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
-    out.write(bytearray(data))
-    out.close()
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place) or fs.getFileStatus(place).getLen() != len(data):
+        out = fs.create(place, True)
+        out.write(bytearray(data))
+        out.close()
     return path
 
 

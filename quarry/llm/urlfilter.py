@@ -140,8 +140,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     data = build_index(rules)
     name = f"rules-{hashlib.sha256(data).hexdigest()[:24]}.idx"
     sc = pages.sparkSession.sparkContext
+    path_of_rules = put_file(pages.sparkSession, name, data)  # again, if somebody has cleared the folder
     if not any(str(f).endswith(name) for f in sc.listFiles):
-        sc.addFile(put_file(pages.sparkSession, name, data))
+        sc.addFile(path_of_rules)
 
     @F.arrow_udf("struct<rule: string, block: boolean>")
     def probe(hosts: pa.Array, paths: pa.Array) -> pa.Array:

@@ -263,3 +263,54 @@ def test_spelling_of_nulls_repeats_and_chains(spark):
 
 def _all_words(texts):
     return {w: n // 5 for w, n in brute_words([t for t in texts for _ in range(5)]).items()}
+
+
+# ---- small contracts of earlier operators
+
+
+def test_turns_of_null_come_last_as_in_the_sql(spark):
+    import duckdb
+
+    from quarry.llm import chat
+
+    rows = [(1, None, "user", "late"), (1, 0, "user", "first"), (1, 300, "assistant", "middle"), (2, None, None, None), (2, None, "assistant", "b"), (3, 1, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(chat.ORACLE_SQL)
+    out = chat.digests(chat.with_probe(turns)).select(*want.columns)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    said = chat.format_conversations(turns).filter("conv_id = 1").first().formatted
+    assert said.index("first") < said.index("middle") < said.index("late")
+
+
+def test_rule_files_stay_for_executors_that_start_late(spark):
+    import os
+
+    from quarry.llm import common, urlfilter
+
+    pages = spark.createDataFrame([(1, "http://example.org/es/1")], "page_id long, url string")
+    judge = lambda: [r.verdict for r in urlfilter.verdicts(pages).collect()]
+    assert judge() == ["block"]
+    common.drop_scratch(spark)
+    named = [str(f) for f in spark.sparkContext.listFiles if str(f).endswith(".idx")]
+    here = f"{common.scratch_root(spark)}/quarry-files".removeprefix("file://")
+    assert named and os.listdir(here)
+    for f in os.listdir(here):  # somebody clears the folder: it is written again
+        os.remove(os.path.join(here, f))
+    assert judge() == ["block"] and [f for f in os.listdir(here) if f.endswith(".idx")]
+
+
+def test_workers_give_up_what_is_idle(monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    now = [0.0]
+    monkeypatch.setattr(common.time, "monotonic", lambda: now[0])
+    made = []
+    one = lambda key: common.kept(key, lambda: made.append(key) or key)
+    assert one("a") == "a" and one("a") == "a" and one("b") == "b" and one("a") == "a" and made == ["a", "b"]  # in turn: both stay
+    now[0] = 100.0
+    assert one("b") == "b" and one("c") == "c" and made == ["a", "b", "c"]
+    assert set(common._KEPT) == {"b", "c"} and one("a") == "a" and made[-1] == "a"
