@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.functions import geometry, render, text, vectors
 from quarry.models import batch_udf, hashed_bag
-from quarry.operators import answers, centroids, chunking, dense, hybrid, images, inverted, mmr, reports, spatial, store, validation
+from quarry.operators import answers, centroids, chunking, dense, history, hybrid, images, inverted, mmr, reports, spatial, store, validation
 from quarry.operators.common import ranked, score6
 from quarry.plans.engine import retrieve
 from quarry.sources import pages as html_pages
@@ -421,6 +421,23 @@ def validate_file_size(spark, sf_dir):
     return d.select("doc_id", text.validate_file_size(F.col("size")).alias("v")).select("doc_id", "v.ok", "v.message")
 
 
+# ---- chat
+
+def _messages(spark, sf_dir):
+    """conversations with times: a message a minute, and an hour more after every fifth turn."""
+    c = schemas.table(spark, sf_dir, "conversations")
+    seconds = 1_700_000_000 + F.col("turn") * 60 + F.floor(F.col("turn") / 5) * 3600
+    return c.select(F.col("conv_id").alias("session"), F.timestamp_seconds(seconds).alias("ts"), "turn", "role", "text")
+
+
+@query("chat_history", """WITH m AS (SELECT conv_id, turn, role, coalesce(role, '') || ': ' || left(coalesce(text, ''), 500) AS line, text FROM conversations),
+h AS (SELECT conv_id AS session, turn, role, text AS query, list(line) OVER (PARTITION BY conv_id, turn // 5 ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l FROM m)
+SELECT session, turn, query, coalesce(len(l), 0)::INT AS n_before, coalesce(array_to_string(l, chr(10)), '') AS history FROM h WHERE role = 'user'""")
+def chat_history(spark, sf_dir):
+    rows = history.with_history(_messages(spark, sf_dir))
+    return rows.select("session", "turn", "query", F.size("history").alias("n_before"), history.told(F.col("history")).alias("history"))
+
+
 # ---- geometry and links
 
 def _nearby(spark, sf_dir):
@@ -630,7 +647,22 @@ def figure_refs(spark, sf_dir):
     return _references(spark, sf_dir)
 
 
-@query("figure_resolve")
+@query(
+    "figure_resolve",
+    rf"""WITH RECURSIVE {_REFS}, {IMAGES},
+pool AS (SELECT book, page, id::VARCHAR AS image_id, row_number() OVER (PARTITION BY book, page ORDER BY id) AS position, lower(vlm_caption) AS caption FROM im),
+c AS (SELECT query_id, figure_number, page, list(image_id ORDER BY position) AS every, coalesce(list(image_id ORDER BY position) FILTER (position = figure_number::INT OR regexp_matches(caption, 'fig(ure|\.)? ' || figure_number)), []) AS fits
+  FROM rf JOIN pool USING (book, page) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY figure_number::INT, page) AS step FROM c),
+st AS (
+  SELECT DISTINCT query_id, 0::BIGINT AS step, []::VARCHAR[] AS used, []::VARCHAR[] AS ids, 0 AS page, '' AS caption FROM o
+  UNION ALL
+  SELECT query_id, step, used || ids, ids, page, caption FROM (
+    SELECT o.query_id, o.step, used, o.page, 'Figure ' || figure_number || CASE WHEN len(list_filter(fits, lambda x: NOT list_contains(used, x))) > 0 THEN '' ELSE ' on page ' || o.page END AS caption,
+      CASE WHEN len(list_filter(fits, lambda x: NOT list_contains(used, x))) > 0 THEN list_filter(fits, lambda x: NOT list_contains(used, x))[1:1] ELSE list_filter(every, lambda x: NOT list_contains(used, x)) END AS ids
+    FROM st JOIN o ON o.query_id = st.query_id AND o.step = st.step + 1))
+SELECT query_id, unnest(ids) AS image_id, page, caption FROM st""",
+)
 def figure_resolve(spark, sf_dir):
     pictures = schemas.images(spark, sf_dir).withColumn("surrounding_context", F.lit(""))
     return answers.resolve_figures(_references(spark, sf_dir), pictures)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.render import cut, figure_description, filled
+from quarry.operators.history import told
 
 NOTHING = "No relevant information was found in the documents for this question."
 NOTE = "[Note: this answer was put together from a template.]"
@@ -41,11 +40,12 @@ def figure_contexts(images: DataFrame) -> DataFrame:
     return out.select("query_id", F.transform("f", lambda x: x["d"]).alias("figures"))
 
 
-def prompt(query: Column, context: Column, figures: Column) -> Column:
-    """What a language model is asked: rules, context, figures and the question."""
+def prompt(query: Column, context: Column, figures: Column, history: Column | None = None) -> Column:
+    """What a language model is asked: rules, context, figures, what was said before, and the question."""
     listed = F.when(F.size(figures) > 0, F.concat(F.lit("\n\nFIGURES:\n"), F.array_join(F.transform(figures, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise("")
     rules = "INSTRUCTIONS: Answer from the context alone. Cite the page of every statement as [Page X]. Say so if the context has no answer. Name figures that help."
-    return F.concat(F.lit(f"{rules}\n\nCONTEXT:\n"), context, listed, F.lit("\n\nQUESTION: "), query, F.lit("\n\nANSWER:"))
+    before = F.lit("") if history is None else F.when(F.size(history) > 0, F.concat(F.lit("\n\nCONVERSATION:\n"), told(history))).otherwise("")
+    return F.concat(F.lit(f"{rules}\n\nCONTEXT:\n"), context, listed, before, F.lit("\n\nQUESTION: "), query, F.lit("\n\nANSWER:"))
 
 
 def template_answer(context: Column, figures: Column) -> Column:
@@ -85,7 +85,8 @@ def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame |
     Per reference, in order of figure and page: the first image of the page not referred to yet whose
     caption or surroundings name the figure, or whose position on the page is its number; else all the
     others of the page. shown: (query_id, image_id) that are referred to already. Where references have a
-    doc_id the page is that document's; only the images of pages referred to are read.
+    doc_id the page is that document's; only the images of pages referred to are read. The references of a
+    query are one row, folded in order with the images that are taken so far as the state.
     """
     place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("id"))
     pool = images.select("doc_id", "page", F.col("id").cast("string").alias("image_id"), place.alias("position"), F.lower(F.coalesce("vlm_caption", F.lit(""))).alias("caption"), F.lower(F.coalesce("surrounding_context", F.lit(""))).alias("around"))
@@ -95,23 +96,25 @@ def resolve_figures(references: DataFrame, images: DataFrame, shown: DataFrame |
     if shown is not None:
         rows = rows.join(shown.select("query_id", F.col("image_id").cast("string")), ["query_id", "image_id"], "left_anti")
 
-    def run(pdf):
-        columns = ("figure_number", "page", "doc_id", "position", "image_id", "fits", "query_id")
-        unknown = pdf["doc_id"].isna().tolist()  # images of no document come last
-        rows = zip(unknown, *(pdf[c].tolist() for c in columns), strict=True)
-        rows = [r[1:] for r in sorted(rows, key=lambda r: (r[1], r[2], r[0], 0 if r[0] else r[3], r[4]))]
-        used, out = set(), []
-        for (figure, page), group in groupby(rows, key=lambda r: r[:2]):
-            free = [r for r in group if r[4] not in used]
-            hit = [r for r in free if r[5]]
-            for r in hit[:1] or free:
-                used.add(r[4])
-                out.append((r[6], r[4], page, f"Figure {figure}" if hit else f"Figure {figure} on page {page}"))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["query_id", "image_id", "page", "caption"])
-
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, image_id string, page int, caption string")
+    # images of no document come last, by id alone
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("position")).alias("position"), "image_id", "fits")
+    refs = rows.groupBy("query_id", "figure_number", "page").agg(F.array_sort(F.collect_list(order)).alias("l"))
+    names = lambda some: F.transform(some, lambda x: x["image_id"])
+    refs = refs.select("query_id", "figure_number", "page", names(F.col("l")).alias("every"), names(F.filter("l", lambda x: x["fits"])).alias("fits"))
+    refs = refs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("figure_number", "page", "every", "fits"))).alias("refs"))
+
+    def step(a: Column, r: Column) -> Column:
+        hit = F.slice(F.array_except(r["fits"], a["used"]), 1, 1)
+        figure = F.concat(F.lit("Figure "), r["figure_number"].cast("string"))
+        caption = F.when(F.size(hit) > 0, figure).otherwise(F.concat(figure, F.lit(" on page "), r["page"].cast("string")))
+        ids = F.when(F.size(hit) > 0, hit).otherwise(F.array_except(r["every"], a["used"]))
+        found = F.struct(ids.alias("ids"), r["page"].alias("page"), caption.alias("caption"))
+        return F.struct(F.concat(a["used"], ids).alias("used"), F.concat(a["out"], F.array(found)).alias("out"))
+
+    kind = f"array<struct<ids: array<string>, page: {refs.schema['refs'].dataType.elementType['page'].dataType.simpleString()}, caption: string>>"
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(kind).alias("out"))
+    found = refs.select("query_id", F.inline(F.aggregate("refs", start, step, lambda a: a["out"])))
+    return found.select("query_id", F.explode("ids").alias("image_id"), "page", "caption")
 
 
 def image_references(images: DataFrame) -> DataFrame:

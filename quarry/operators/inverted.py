@@ -15,8 +15,9 @@ the mean length is. A search
 2. scores the most promising slots; the k-th best score is a threshold;
 3. reads the blocks of the slots whose bounds together reach it. The result is that of scoring everything.
 
-Blocks are stored by bucket of the term, sorted by term and slot. Buckets follow the size of the segment,
-and a bucket with a frequent term is dealt to several files, so no task writes much more than FILE_POSTINGS.
+Texts are dealt by slot once and counted, grouped and made into blocks where they lie; only blocks are moved
+again. They are stored by bucket of the term, sorted by term and slot. Buckets follow the size of the segment,
+and a frequent term is dealt to several files, so no task writes much more than FILE_POSTINGS.
 """
 
 from __future__ import annotations
@@ -46,10 +47,28 @@ MOST_PUSHED = 64
 _SLACK = 1e-8
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of rows (id, text)."""
-    words = rows.select("id", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+def _words(rows: DataFrame) -> DataFrame:
+    """(id, words) of those rows (id, text) that have words."""
+    return rows.select("id", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
+
+
+def _facts(rows: DataFrame) -> tuple[int, int, int]:
+    """How many rows (id, text) have words, how many words they have, and how many distinct ones, summed up."""
+    words = _words(rows)
+    return tuple(x or 0 for x in words.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.size(F.array_distinct("words")))).first())
+
+
+def _slot(id_: Column, docs: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(max(1, -(-docs // SLOT_DOCS)))).cast("long")
+
+
+def _postings(rows: DataFrame, docs: int) -> DataFrame:
+    """(slot, id, term, tf, dl) of rows (id, text). The texts are dealt by slot, so that all that follows is
+    grouped where it lies."""
+    dealt = rows.select("id", "text", _slot(F.col("id"), docs).alias("slot")).repartition("slot")
+    words = dealt.select("slot", "id", tokens(F.col("text")).alias("words"))
+    one = words.select("slot", "id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return one.groupBy("slot", "id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def _bucket(term: Column, count: int) -> Column:
@@ -95,16 +114,15 @@ class Inverted:
         name = uuid.uuid4().hex
         kind = next((r.schema["id"].dataType.simpleString() for r in (new, gone) if r is not None), base["id"])
         empty = self.spark.createDataFrame([], f"id {kind}, text string")
-        came, went = postings(new if new is not None else empty).persist(), postings(gone if gone is not None else empty).persist()
-        facts = lambda p: p.agg(F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long"), F.sum("tf"), F.count(F.lit(1))).first()
-        (docs, words, rows), (less, fewer, dead) = (tuple(x or 0 for x in facts(p)) for p in (came, went))
+        came, went = (new if new is not None else empty), (gone if gone is not None else empty)
+        (docs, words, rows), (less, fewer, dead) = _facts(came), _facts(went)
         if rows or dead:
             segment = {"name": name, "docs": docs - less, "words": words - fewer, "live": docs, "postings": rows, "gone": less, "buckets": self._buckets(rows + dead)}
-            change = came.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(went.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
-            self._write(segment, came, change.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), went.select("id").distinct() if less else None)
+            self._write_blocks(segment, _postings(came, docs))
+            lost = _words(went).select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+            held = self._held(segment).groupBy("term").agg(F.sum("n").alias("df"))
+            self._write_rest(segment, held.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), went.select("id").distinct() if less else None)
             base["segments"] = [*base["segments"], segment]
-        came.unpersist()
-        went.unpersist()
         state = {**base, "id": kind, "source": source}
         state["mean_idf"] = self._mean_idf({**state, "segments": self._numbered(state["segments"])})
         while True:
@@ -130,24 +148,30 @@ class Inverted:
         last = max((s["seq"] for s in segments if "seq" in s), default=0)
         return [s if "seq" in s else {**s, "seq": last + 1} for s in segments]
 
-    def _write(self, segment: dict, rows: DataFrame, terms: DataFrame, gone: DataFrame | None) -> None:
-        """The files of a segment. rows: id, term, tf, dl."""
-        count, at = segment["buckets"], f"segment={segment['name']}"
-        slots = max(1, -(-segment["live"] // SLOT_DOCS))
-        slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("long")
-        blocks = rows.withColumn("slot", slot).groupBy("term", "slot").agg(
+    def _write_blocks(self, segment: dict, rows: DataFrame) -> None:
+        """The blocks of a segment. rows: slot, id, term, tf, dl, dealt by slot."""
+        count, slots = segment["buckets"], max(1, -(-segment["live"] // SLOT_DOCS))
+        blocks = rows.groupBy("slot", "term").agg(
             F.count(F.lit(1)).cast("int").alias("n"),
             F.max("tf").alias("most_tf"),
             F.min(F.col("dl") / F.col("tf")).alias("least_ratio"),
             F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"),
         )
         blocks = blocks.select(_bucket(F.col("term"), count).alias("bucket"), "term", "slot", "n", "most_tf", "least_ratio", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")])
-        sizes = rows.groupBy(_bucket(F.col("term"), count).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))  # a row a bucket
-        sizes = sizes.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rows") / FILE_POSTINGS)).alias("files"))
-        blocks = blocks.join(F.broadcast(sizes), "bucket").withColumn("file", F.pmod(F.xxhash64("slot"), F.col("files")))
+        # a term with n documents in a slot has about n * slots in all
+        parts = F.greatest(F.lit(1), F.ceil(F.col("n") * slots / FILE_POSTINGS))
         files = count + -(-segment["postings"] // FILE_POSTINGS)
-        out = blocks.repartition(files, "bucket", "file").sortWithinPartitions("bucket", "term", "slot").drop("files", "file")
-        out.write.option("parquet.page.row.count.limit", "1024").partitionBy("bucket").parquet(f"{self.path}/blocks/{at}")
+        out = blocks.withColumn("file", F.pmod(F.xxhash64("slot"), parts)).repartition(files, "bucket", "file")
+        out = out.sortWithinPartitions("bucket", "term", "slot").drop("file")
+        out.write.option("parquet.page.row.count.limit", "1024").partitionBy("bucket").parquet(f"{self.path}/blocks/segment={segment['name']}")
+
+    def _held(self, segment: dict) -> DataFrame:
+        """(term, n) of the blocks of a segment."""
+        return self.spark.read.schema("term string, n int").parquet(f"{self.path}/blocks/segment={segment['name']}")
+
+    def _write_rest(self, segment: dict, terms: DataFrame, gone: DataFrame | None) -> None:
+        """How a segment changes the counts of terms, and the ids that are gone."""
+        count, at = segment["buckets"], f"segment={segment['name']}"
         by = terms.withColumn("bucket", _bucket(F.col("term"), count)).repartition(count, "bucket").sortWithinPartitions("bucket", "term")
         by.write.partitionBy("bucket").parquet(f"{self.path}/terms/{at}")
         if gone is not None:
@@ -308,13 +332,15 @@ class Inverted:
         rows = self.blocks(part).select("seq", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         rows = rows.select("seq", "term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
         last = self.gone(part).groupBy("id").agg(F.max("seq").alias("gone"))
-        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq").select("id", "term", "tf", "dl").persist()
-        count, docs = rows.agg(F.count(F.lit(1)), F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long")).first()
+        live = sum(s["live"] for s in some)
+        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq")
+        rows = rows.select(_slot(F.col("id"), live).alias("slot"), "id", "term", "tf", "dl").repartition("slot")
         gone = self.gone(part).select("id").distinct() if start and any(s["gone"] for s in some) else None
-        segment = {"name": uuid.uuid4().hex, "docs": sum(s["docs"] for s in some), "words": sum(s["words"] for s in some), "live": docs or 0, "postings": count, "gone": sum(s["gone"] for s in some) if start else 0, "seq": some[-1]["seq"]}
-        segment["buckets"] = self._buckets(count)
-        self._write(segment, rows, self.counts(part).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), gone)
-        rows.unpersist()
+        segment = {"name": uuid.uuid4().hex, "docs": sum(s["docs"] for s in some), "words": sum(s["words"] for s in some), "live": live, "postings": sum(s["postings"] for s in some), "gone": sum(s["gone"] for s in some) if start else 0, "seq": some[-1]["seq"]}
+        segment["buckets"] = self._buckets(segment["postings"])
+        self._write_blocks(segment, rows)
+        segment["postings"] = self._held(segment).agg(F.sum("n")).first()[0] or 0
+        self._write_rest(segment, self.counts(part).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), gone)
         names = [s["name"] for s in some]
         while True:
             now = self.state()

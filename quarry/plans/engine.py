@@ -230,8 +230,8 @@ class Engine:
         return found
 
     def ask(self, queries: DataFrame, text_k: int | None = None, image_k: int | None = None) -> DataFrame:
-        """(query_id, answer, citations, image_references) for queries (query_id, query): the images found,
-        and those that the figures named in the answer stand for."""
+        """(query_id, answer, citations, image_references) for queries (query_id, query, and where there is one the
+        history of the conversation, see operators.history): the images found, and those that the figures named in the answer stand for."""
         found = self.retrieve(queries, text_k, image_k)
         text = found["text"].withColumn("table_html", F.coalesce("table_meta.html", F.lit("")))
         rows = queries.join(answers.contexts(text), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
@@ -242,7 +242,8 @@ class Engine:
             rows = rows.withColumn("figures", none)
         answer = answers.template_answer(F.col("context"), F.col("figures"))
         if self.models.generate is not None:
-            said = batch_udf(self.models.generate, "string")(answers.prompt(F.col("query"), F.col("context"), F.col("figures")))
+            before = F.col("history") if "history" in rows.columns else None
+            said = batch_udf(self.models.generate, "string")(answers.prompt(F.col("query"), F.col("context"), F.col("figures"), before))
             answer = F.coalesce(said, answers.template_answer(F.lit(""), none))
         rows = rows.select("query_id", answer.alias("answer"), "citations")
         one = "array<struct<image_id: string, page: int, caption: string>>"
