@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.functions import geometry, render, text, vectors
 from quarry.models import batch_udf, hashed_bag
-from quarry.operators import answers, centroids, chunking, dense, history, hybrid, images, inverted, mmr, reports, spatial, store, validation
+from quarry.operators import answers, centroids, chunking, dense, history, hybrid, images, inverted, metadata, mmr, reports, spatial, store, validation
 from quarry.operators.common import ranked, score6
 from quarry.plans.engine import retrieve
 from quarry.sources import pages as html_pages
@@ -806,6 +806,27 @@ def metadata_json(spark, sf_dir):
     return store.as_json(schemas.chunks(spark, sf_dir).select("id", "page", "section_heading", "is_table"))
 
 
+@query("metadata_sidecars", """WITH d AS (SELECT doc_id AS id, text, lang, n_chars, 1 + doc_id % 20 AS page, doc_id % 5 = 0 AS odd, doc_id % 7 = 0 AS old, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'corrupt' WHEN doc_id % 7 = 0 THEN 'old' ELSE 'current' END AS state FROM documents),
+g AS (SELECT *, state IN ('old', 'current') AS good FROM d)
+SELECT id, state, CASE WHEN good THEN CASE WHEN odd OR text IS NULL THEN 'unknown' WHEN id % 3 = 0 THEN 'table' ELSE 'text' END END AS kind, CASE WHEN good THEN page::INT END AS page,
+  CASE WHEN good AND NOT odd THEN length(text)::INT END AS n_text, CASE WHEN good THEN '1.1' END AS metadata_version, CASE WHEN state = 'old' THEN 0 END AS n_related,
+  CASE WHEN good THEN array_to_string(list_filter([CASE WHEN odd THEN 'colour' END, CASE WHEN lang IS NOT NULL THEN 'lang' END, CASE WHEN n_chars IS NOT NULL THEN 'n_chars' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS others,
+  CASE WHEN good THEN n_chars END AS n_chars FROM g""")
+def metadata_sidecars(spark, sf_dir):
+    """JSON of every document, with fields that no column is for: some of an earlier version, of no known kind,
+    cut short, or missing."""
+    d, i = schemas.table(spark, sf_dir, "documents"), F.col("doc_id")
+    odd, old = i % 5 == 0, i % 7 == 0
+    fields = F.struct(
+        (1 + i % 20).alias("page"), F.when(~odd, F.col("text")).alias("text"), F.when(~odd & F.col("text").isNotNull() & (i % 3 == 0), True).alias("is_table"),
+        F.when(~old, schemas.METADATA_VERSION).alias("metadata_version"), F.when(odd, "blue").alias("colour"), "lang", "n_chars",
+    )
+    whole = F.to_json(fields)
+    value = F.when(i % 13 == 0, F.lit(None)).when(i % 11 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    rows = metadata.read(d.select(i.alias("id"), value.alias("value")))
+    return rows.select("id", "state", "kind", "page", F.length("text").alias("n_text"), "metadata_version", F.when(F.col("related_chunk_ids").isNotNull(), F.size("related_chunk_ids")).alias("n_related"), F.array_join("others", ",").alias("others"), metadata.field("n_chars", "bigint").alias("n_chars"))
+
+
 @query("metadata_consistency", """WITH c AS (SELECT doc_id AS id, doc_id % 11 = 0 AS gone, CASE WHEN doc_id % 10 = 0 THEN 'table' WHEN doc_id % 17 = 0 THEN 'sound' ELSE 'text' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS page, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text, doc_id % 4 = 3 AS few FROM documents)
 SELECT id, CASE WHEN NOT gone THEN kind END AS kind, CASE WHEN gone THEN 'No metadata found' WHEN kind = 'sound' THEN 'Unknown metadata type: sound' ELSE array_to_string(list_filter([CASE WHEN page < 1 THEN 'Invalid page number: 0' END, CASE WHEN kind = 'text' AND text = '' THEN 'Missing required field: text' END, CASE WHEN kind = 'table' AND few THEN 'table_metadata.num_rows must be a non-negative integer' END], lambda x: x IS NOT NULL), '; ') END AS errors FROM c""")
 def metadata_consistency(spark, sf_dir):

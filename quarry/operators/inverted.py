@@ -6,18 +6,19 @@ for which every term counts, is taken anew from the terms' counts. So an update
 and went, and a row a term. A posting is dead if a later segment lists its id as gone. Segments of like size
 are merged by compact(), which drops dead postings; a posting is merged as often as its segment doubles.
 
-Within a segment documents are dealt to slots of about SLOT_DOCS by a hash of their id, and the postings of
-a term in a slot are one row, a block: arrays of ids, counts and lengths, and as columns of their own the
-largest count and the least ratio of length to count, which bound what the block can add to a score whatever
-the mean length is. A search
+Within a segment documents are dealt to slots of about SLOT_DOCS by a hash of their id. Postings are stored
+sorted by term and slot, so those of a term in a slot are neighbours: a block. Of terms that are frequent there
+is a head for each block, with the largest count and the least ratio of length to count, which bound what the
+block can add to a score whatever the mean length is; the few postings of other terms are read to the same end.
+A search
 
-1. reads the bounds of its terms' blocks, not the blocks, and adds them up per slot;
+1. reads the heads of its terms' blocks and adds up the bounds per slot;
 2. scores the most promising slots; the k-th best score is a threshold;
 3. reads the blocks of the slots whose bounds together reach it. The result is that of scoring everything.
 
-Texts are dealt by slot once and counted, grouped and made into blocks where they lie; only blocks are moved
-again. They are stored by bucket of the term, sorted by term and slot. Buckets follow the size of the segment,
-and a frequent term is dealt to several files, so no task writes much more than FILE_POSTINGS.
+Texts are dealt by slot once and counted where they lie; the postings are moved once more, to the bucket of
+their term. Buckets follow the size of the segment, and a bucket is dealt to several files by slot where its
+terms are frequent, so no task writes much more than FILE_POSTINGS.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ from quarry.operators.common import broadcast_if_small, ranked
 from quarry.operators.store import Conflict, Versions
 
 SLOT_DOCS = 128
+#: Documents that hold a term from which on it is frequent.
+FREQUENT = 4 * SLOT_DOCS
+#: Frequent terms up to which they are sent to all tasks.
+MOST_OFTEN = 1_000_000
+#: Bytes of text for a posting, to tell their number before they are counted.
+BYTES_A_POSTING = 8
 #: Postings of a bucket and of a file on average; buckets at most.
 BUCKET_POSTINGS, FILE_POSTINGS, MOST_BUCKETS = 1 << 22, 1 << 22, 4096
 #: Segments that are merged at a time, at least.
@@ -47,28 +54,17 @@ MOST_PUSHED = 64
 _SLACK = 1e-8
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(id, words) of those rows (id, text) that have words."""
-    return rows.select("id", tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
-
-
-def _facts(rows: DataFrame) -> tuple[int, int, int]:
-    """How many rows (id, text) have words, how many words they have, and how many distinct ones, summed up."""
-    words = _words(rows)
-    return tuple(x or 0 for x in words.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.size(F.array_distinct("words")))).first())
-
-
 def _slot(id_: Column, docs: int) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(max(1, -(-docs // SLOT_DOCS)))).cast("long")
 
 
 def _postings(rows: DataFrame, docs: int) -> DataFrame:
-    """(slot, id, term, tf, dl) of rows (id, text). The texts are dealt by slot, so that all that follows is
-    grouped where it lies."""
+    """(slot, id, term, tf, dl, first) of rows (id, text); first: whether the term is the document's first, so
+    that these count the documents. A document is dealt to a task whole and counted there."""
     dealt = rows.select("id", "text", _slot(F.col("id"), docs).alias("slot")).repartition("slot")
     words = dealt.select("slot", "id", tokens(F.col("text")).alias("words"))
-    one = words.select("slot", "id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return one.groupBy("slot", "id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    one = words.select("slot", "id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
+    return one.groupBy("slot", "id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), (F.min("at") == 0).alias("first"))
 
 
 def _bucket(term: Column, count: int) -> Column:
@@ -115,13 +111,12 @@ class Inverted:
         kind = next((r.schema["id"].dataType.simpleString() for r in (new, gone) if r is not None), base["id"])
         empty = self.spark.createDataFrame([], f"id {kind}, text string")
         came, went = (new if new is not None else empty), (gone if gone is not None else empty)
-        (docs, words, rows), (less, fewer, dead) = _facts(came), _facts(went)
-        if rows or dead:
-            segment = {"name": name, "docs": docs - less, "words": words - fewer, "live": docs, "postings": rows, "gone": less, "buckets": self._buckets(rows + dead)}
-            self._write_blocks(segment, _postings(came, docs))
-            lost = _words(went).select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-            held = self._held(segment).groupBy("term").agg(F.sum("n").alias("df"))
-            self._write_rest(segment, held.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), went.select("id").distinct() if less else None)
+        (docs, size), (less, gone_size) = self._extent(came), self._extent(went)
+        if docs or less:
+            segment = {"name": name, "live": docs, "buckets": self._buckets((size + gone_size) // BYTES_A_POSTING), "gone": less}
+            self._write_postings(segment, _postings(came, docs))
+            lost = _postings(went, less).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"), F.count_if("first").alias("docs"))
+            self._write_rest(segment, self._counted(segment), lost, went.select("id").distinct() if less else None)
             base["segments"] = [*base["segments"], segment]
         state = {**base, "id": kind, "source": source}
         state["mean_idf"] = self._mean_idf({**state, "segments": self._numbered(state["segments"])})
@@ -148,34 +143,49 @@ class Inverted:
         last = max((s["seq"] for s in segments if "seq" in s), default=0)
         return [s if "seq" in s else {**s, "seq": last + 1} for s in segments]
 
-    def _write_blocks(self, segment: dict, rows: DataFrame) -> None:
-        """The blocks of a segment. rows: slot, id, term, tf, dl, dealt by slot."""
-        count, slots = segment["buckets"], max(1, -(-segment["live"] // SLOT_DOCS))
-        blocks = rows.groupBy("slot", "term").agg(
-            F.count(F.lit(1)).cast("int").alias("n"),
-            F.max("tf").alias("most_tf"),
-            F.min(F.col("dl") / F.col("tf")).alias("least_ratio"),
-            F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"),
-        )
-        blocks = blocks.select(_bucket(F.col("term"), count).alias("bucket"), "term", "slot", "n", "most_tf", "least_ratio", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")])
-        # a term with n documents in a slot has about n * slots in all
-        parts = F.greatest(F.lit(1), F.ceil(F.col("n") * slots / FILE_POSTINGS))
-        files = count + -(-segment["postings"] // FILE_POSTINGS)
-        out = blocks.withColumn("file", F.pmod(F.xxhash64("slot"), parts)).repartition(files, "bucket", "file")
-        out = out.sortWithinPartitions("bucket", "term", "slot").drop("file")
-        out.write.option("parquet.page.row.count.limit", "1024").partitionBy("bucket").parquet(f"{self.path}/blocks/segment={segment['name']}")
-
-    def _held(self, segment: dict) -> DataFrame:
-        """(term, n) of the blocks of a segment."""
-        return self.spark.read.schema("term string, n int").parquet(f"{self.path}/blocks/segment={segment['name']}")
-
-    def _write_rest(self, segment: dict, terms: DataFrame, gone: DataFrame | None) -> None:
-        """How a segment changes the counts of terms, and the ids that are gone."""
+    @staticmethod
+    def _extent(rows: DataFrame) -> tuple[int, int]:
+        """Number of rows (id, text), and bytes of their texts."""
+        return tuple(x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first())
+
+    def _write_postings(self, segment: dict, rows: DataFrame) -> None:
+        """rows: slot, id, term, tf, dl, first, by bucket of the term."""
+        count = segment["buckets"]
+        # a bucket gets more files than one if its terms may be in so many documents
+        parts = F.pmod(F.xxhash64("slot"), F.lit(max(1, -(-segment["live"] // FILE_POSTINGS))))
+        out = rows.withColumn("bucket", _bucket(F.col("term"), count)).withColumn("file", parts).repartition("bucket", "file")
+        out = out.sortWithinPartitions("bucket", "term", "slot", "id").select("bucket", "term", "slot", "id", "tf", "dl", "first")
+        out.write.option("parquet.page.row.count.limit", "4096").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment['name']}")
+
+    def _counted(self, segment: dict) -> DataFrame:
+        """(term, df, words, docs): of each term the postings, their counts, and documents that begin with it."""
+        rows = self.spark.read.schema("term string, tf int, first boolean").parquet(f"{self.path}/postings/segment={segment['name']}")
+        return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"), F.count_if("first").alias("docs"))
+
+    def _write_rest(self, segment: dict, came: DataFrame, went: DataFrame | None, gone: DataFrame | None, change: DataFrame | None = None) -> None:
+        """How a segment changes the counts of terms (by what came and went, unless `change` says it), the heads
+        of frequent terms, and the ids that are gone; and into segment its sizes."""
         count, at = segment["buckets"], f"segment={segment['name']}"
-        by = terms.withColumn("bucket", _bucket(F.col("term"), count)).repartition(count, "bucket").sortWithinPartitions("bucket", "term")
+        came = came.persist()
+        sums = lambda c: tuple(x or 0 for x in c.agg(F.sum("docs"), F.sum("words"), F.sum("df")).first())
+        docs, words, segment["postings"] = sums(came)
+        if change is None:
+            less, fewer, _ = sums(went) if gone is not None else (0, 0, 0)
+            segment |= {"docs": docs - less, "words": words - fewer}
+            negative = went.select("term", (-F.col("df")).alias("df"))
+            change = came.select("term", "df") if gone is None else came.select("term", "df").unionByName(negative).groupBy("term").agg(F.sum("df").alias("df"))
+        by = change.filter("df <> 0").withColumn("bucket", _bucket(F.col("term"), count)).repartition("bucket").sortWithinPartitions("bucket", "term")
         by.write.partitionBy("bucket").parquet(f"{self.path}/terms/{at}")
+        often = came.filter(F.col("df") >= FREQUENT).select("term")
+        rows = self.spark.read.schema("term string, slot long, tf int, dl int, bucket int").parquet(f"{self.path}/postings/{at}")
+        heads = rows.join(broadcast_if_small(often, MOST_OFTEN), "term", "left_semi").groupBy("bucket", "term", "slot").agg(
+            F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min(F.col("dl") / F.col("tf")).alias("least_ratio")
+        )
+        heads = heads.repartition("bucket").sortWithinPartitions("bucket", "term", "slot")
+        heads.write.partitionBy("bucket").parquet(f"{self.path}/heads/{at}")
         if gone is not None:
             gone.write.parquet(f"{self.path}/gone/{at}")
+        came.unpersist()
 
     def _part(self, state: dict, part: str, schema: str, only=lambda s: True) -> DataFrame:
         """One of the tables of all segments, with the segment's number."""
@@ -188,9 +198,12 @@ class Inverted:
         names = F.create_map(*[x for s in some for x in (F.lit(s["name"]), F.lit(s["seq"]).cast("long"))])
         return rows.withColumn("seq", F.element_at(names, F.col("segment")))
 
-    def blocks(self, state: dict | None = None) -> DataFrame:
+    def postings(self, state: dict | None = None) -> DataFrame:
         state = state or self.state()
-        return self._part(state, "blocks", f"term string, slot long, n int, most_tf int, least_ratio double, ids array<{state['id']}>, tfs array<int>, dls array<int>", lambda s: s["postings"])
+        return self._part(state, "postings", f"term string, slot long, id {state['id']}, tf int, dl int, first boolean", lambda s: s["postings"])
+
+    def heads(self, state: dict | None = None) -> DataFrame:
+        return self._part(state or self.state(), "heads", "term string, slot long, n long, most_tf int, least_ratio double", lambda s: s["postings"])
 
     def gone(self, state: dict) -> DataFrame:
         return self._part(state, "gone", f"id {state['id']}", lambda s: s["gone"])
@@ -240,20 +253,29 @@ class Inverted:
         return out
 
     def bounds(self, weighed: DataFrame) -> DataFrame:
-        """(query_id, segment, slot, bound, blocks): what a document of a slot can score at most, and how many
-        blocks of it hold a term of the query. The blocks themselves are not read."""
+        """(query_id, segment, slot, bound, postings): what a document of a slot can score at most, and how many
+        postings it has of the query's terms. Of frequent terms only the heads are read."""
         state = self.state()
         n, words = self._sizes(state)
-        heads = self._of(self.blocks(state), state, weighed).select("segment", "slot", "term", "most_tf", "least_ratio")
+        heads = self._of(self.heads(state), state, weighed).select("segment", "slot", "term", "n", "most_tf", "least_ratio")
+        often = self._of(self.heads(state), state, weighed).select("segment", "term").distinct().join(weighed.select("term").distinct(), "term", "left_semi")
+        rare = weighed.select("term").distinct().crossJoin(F.broadcast(self._names(state))).join(often, ["segment", "term"], "left_anti")
+        rows = self._of(self.postings(state), state, weighed).join(broadcast_if_small(rare), ["segment", "term"], "left_semi")
+        few = rows.groupBy("segment", "slot", "term").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min(F.col("dl") / F.col("tf")).alias("least_ratio"))
         least = 1 + K1 * (1 - B) / F.col("most_tf") + K1 * B / (words / max(n, 1) or 1.0) * F.col("least_ratio")
         bound = F.greatest(F.lit(0.0), F.col("weight")) * (K1 + 1) / least
-        return heads.join(broadcast_if_small(weighed), "term").groupBy("query_id", "segment", "slot").agg(F.sum(bound).alias("bound"), F.count(F.lit(1)).alias("blocks"))
+        heads = heads.unionByName(few).join(broadcast_if_small(weighed), "term")
+        return heads.groupBy("query_id", "segment", "slot").agg(F.sum(bound).alias("bound"), F.sum("n").alias("postings"))
+
+    def _names(self, state: dict) -> DataFrame:
+        """The segments' names, a few."""
+        return self.spark.createDataFrame([(s["name"],) for s in state["segments"]], "segment string")
 
     def _scored(self, weighed: DataFrame, slots: DataFrame | None) -> DataFrame:
         """(query_id, id, bm25_score) of the live documents of slots (query_id, segment, slot), or of all."""
         state = self.state()
         n, words = self._sizes(state)
-        rows = self._of(self.blocks(state), state, weighed)
+        rows = self._of(self.postings(state), state, weighed)
         if slots is not None:
             named = [r[0] for r in slots.select("slot").distinct().limit(MOST_PUSHED + 1).collect()]
             if 0 < len(named) <= MOST_PUSHED:
@@ -261,10 +283,9 @@ class Inverted:
         rows = rows.join(broadcast_if_small(weighed), "term")
         if slots is not None:
             rows = rows.join(broadcast_if_small(slots), ["query_id", "segment", "slot"], "left_semi")
-        one = rows.select("query_id", "seq", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         mean = words / max(n, 1) or 1.0
-        part = F.col("weight") * F.col("p.tfs") * (K1 + 1) / (F.col("p.tfs") + K1 * (1 - B + B * F.col("p.dls") / F.lit(mean)))
-        found = one.groupBy("query_id", F.col("p.ids").alias("id"), "seq").agg(F.sum(part).alias("bm25_score"))
+        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+        found = rows.groupBy("query_id", "id", "seq").agg(F.sum(part).alias("bm25_score"))
         if any(s["gone"] for s in state["segments"]):
             last = self.gone(state).groupBy("id").agg(F.max("seq").alias("gone"))
             found = found.join(last, "id", "left").filter("gone IS NULL OR gone <= seq")
@@ -275,14 +296,14 @@ class Inverted:
         return self._scored(self._weighed(queries), None)
 
     def needed(self, weighed: DataFrame, k: int) -> DataFrame:
-        """(query_id, segment, slot, blocks) that can hold one of a query's k best."""
+        """(query_id, segment, slot, postings) that can hold one of a query's k best."""
         bounds = self.bounds(weighed).persist()
         self._kept.append(bounds)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "slot"))
         seeds = bounds.withColumn("place", place).filter(F.col("place") <= SEEDS + k // RESULTS_A_SEED).select("query_id", "segment", "slot")
         kth = ranked(self._scored(weighed, seeds), ["query_id"], "bm25_score", k).filter(F.col("rank") == k).select("query_id", F.col("bm25_score").alias("least"))
         out = bounds.join(broadcast_if_small(kth), "query_id", "left").filter((F.col("bound") > 0) & (F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK)))
-        out = out.select("query_id", "segment", "slot", "blocks").persist()
+        out = out.select("query_id", "segment", "slot", "postings").persist()
         self._kept.append(out)
         return out
 
@@ -329,18 +350,15 @@ class Inverted:
         if len(some) < 2:
             return False
         part = {**base, "segments": some}
-        rows = self.blocks(part).select("seq", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-        rows = rows.select("seq", "term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+        rows = self.postings(part)
         last = self.gone(part).groupBy("id").agg(F.max("seq").alias("gone"))
         live = sum(s["live"] for s in some)
-        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq")
-        rows = rows.select(_slot(F.col("id"), live).alias("slot"), "id", "term", "tf", "dl").repartition("slot")
+        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq").select(_slot(F.col("id"), live).alias("slot"), "id", "term", "tf", "dl", "first")
         gone = self.gone(part).select("id").distinct() if start and any(s["gone"] for s in some) else None
-        segment = {"name": uuid.uuid4().hex, "docs": sum(s["docs"] for s in some), "words": sum(s["words"] for s in some), "live": live, "postings": sum(s["postings"] for s in some), "gone": sum(s["gone"] for s in some) if start else 0, "seq": some[-1]["seq"]}
-        segment["buckets"] = self._buckets(segment["postings"])
-        self._write_blocks(segment, rows)
-        segment["postings"] = self._held(segment).agg(F.sum("n")).first()[0] or 0
-        self._write_rest(segment, self.counts(part).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), gone)
+        segment = {"name": uuid.uuid4().hex, "live": live, "docs": sum(s["docs"] for s in some), "words": sum(s["words"] for s in some), "gone": sum(s["gone"] for s in some) if start else 0, "seq": some[-1]["seq"]}
+        segment["buckets"] = self._buckets(sum(s["postings"] for s in some))
+        self._write_postings(segment, rows)
+        self._write_rest(segment, self._counted(segment), None, gone, self.counts(part).groupBy("term").agg(F.sum("df").alias("df")))
         names = [s["name"] for s in some]
         while True:
             now = self.state()
@@ -357,7 +375,7 @@ class Inverted:
                 continue
 
     def _remove(self, name: str) -> None:
-        for part in ("blocks", "terms", "gone"):
+        for part in ("postings", "heads", "terms", "gone"):
             self.versions.delete(f"{self.path}/{part}/segment={name}")
 
     def vacuum(self, older_than: float = 24 * 3600) -> None:

@@ -69,11 +69,13 @@ def flat_metadata(linked: Column, n: int = 500) -> Column:
     return F.substring(F.array_join(linked.cast("array<string>"), ","), 1, n)
 
 
-def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
-    """(key, metadata): all columns of a row but vectors and bytes as JSON, with the metadata's version."""
+def as_json(rows: DataFrame, key: str = "id", updated: Column | None = None) -> DataFrame:
+    """(key, metadata): all columns of a row but vectors and bytes as JSON, with the metadata's version and,
+    where it is given, the time of the update. See metadata.read()."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     shown = [c for c in rows.columns if kinds[c] not in ("binary", "array<float>", "array<double>") and c != "metadata_version"]
-    return rows.select(key, F.to_json(F.struct(*shown, F.lit(METADATA_VERSION).alias("metadata_version")), {"ignoreNullFields": "false"}).alias("metadata"))
+    more = [F.lit(METADATA_VERSION).alias("metadata_version"), *([] if updated is None else [updated.alias("last_updated")])]
+    return rows.select(key, F.to_json(F.struct(*shown, *more), {"ignoreNullFields": "false"}).alias("metadata"))
 
 
 class Conflict(RuntimeError):

@@ -13,7 +13,7 @@ from quarry.config import Config, logger
 from quarry.functions import geometry, render
 from quarry.functions.text import sanitize_query
 from quarry.models import Models, batch_udf, process_images, rerank_with
-from quarry.operators import answers, bm25, centroids, chunking, hybrid, images, inverted, mmr, reports, spatial, validation
+from quarry.operators import answers, bm25, centroids, chunking, hybrid, images, inverted, metadata, mmr, reports, spatial, validation
 from quarry.operators.store import Conflict, Store, image_defaults, with_dimension
 from quarry.schemas import BOX, DECODED_IMAGES, DECODED_TABLES
 from quarry.sources import binary
@@ -159,6 +159,18 @@ class Engine:
         self.log.info("ingested into %s, version %d", self.path, self.store.version("chunks"))
         return out
 
+    def ingest_metadata(self, lines: DataFrame) -> DataFrame:
+        """JSON metadata (id, value) into the table `metadata`, known fields as columns; missing and corrupt ones
+        are left out. The number of each state."""
+        rows = metadata.read(lines)
+        good = rows.filter("state IN ('old', 'current')").withColumn("last_updated", F.coalesce("last_updated", F.current_timestamp()))
+        self.store.add("metadata", good, ["id"])
+        return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+    def metadata(self, ids: DataFrame | None = None) -> DataFrame | None:
+        """The metadata of ids (id), of which only their leaves are read, or all."""
+        return self.store.read("metadata") if ids is None else self.store.find("metadata", ids, "id")
+
     # ---- retrieval
 
     def _follow(self, index: inverted.Inverted | centroids.Centroids, rows: Callable[[DataFrame], DataFrame], same: list[str]):

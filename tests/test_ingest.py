@@ -149,3 +149,57 @@ def test_blocks_are_cut_to_the_size_that_is_set(spark, tmp_path):
     assert len(b) > len(a) and max(len(r.text) for r in b) <= 600 and len({r.id for r in b}) == len(b)
     assert [r.chunk_id for r in b if r.page == 1] == [f"p1_chunk{i}" for i in range(sum(r.page == 1 for r in b))]
     assert "".join("".join(r.text for r in b).split()) == "".join("".join(r.text for r in a).split())
+
+
+def test_a_model_is_built_once_a_worker_and_bad_rows_cost_few_calls(spark, tmp_path):
+    from quarry.models import Built, batch_udf
+
+    log = str(tmp_path / "log")
+
+    def make():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"built {os.getpid()}\n")
+
+        def model(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            if "bad" in texts:
+                raise ValueError
+            return [t.upper() for t in texts]
+
+        return model
+
+    rows = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 501, "bad").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("t"))
+    upper = batch_udf(Built(make, 50), "string")
+    for _ in range(2):
+        out = {r[0]: r[1] for r in rows.select("t", upper("t")).collect()}
+        assert out.pop("bad") is None and all(b == a.upper() for a, b in out.items()) and len(out) == 999
+    lines = open(log).read().split("\n")[:-1]
+    built = [x for x in lines if x.startswith("built")]
+    assert len(built) == len(set(built)) <= 8  # no worker built it twice, whatever its tasks
+    sizes = [int(x) for x in lines if not x.startswith("built")]
+    assert max(sizes) == 50 and len(sizes) <= 2 * (8 * 3 + 2 * 7)
+
+
+def test_metadata_of_any_fields(spark, tmp_path):
+    from quarry.operators import metadata, store
+
+    rows = [("a", '{"page": 3, "text": "x", "metadata_version": "1.1", "last_updated": "2024-05-06T07:08:09", "weight": {"kg": 2.5}, "tags": ["p", "q"]}'), ("b", '{"page": "three", "image_path": "i.png"}'), ("c", '{"page": 1'), ("d", None), ("e", "[1, 2]"), ("f", "{}")]
+    out = {r.id: r for r in metadata.read(spark.createDataFrame(rows, "id string, value string")).drop("fields").collect()}
+    assert {k: (r.state, r.kind) for k, r in out.items()} == {"a": ("current", "text"), "b": ("old", "image"), "c": ("corrupt", None), "d": ("missing", None), "e": ("corrupt", None), "f": ("old", "unknown")}
+    assert out["a"].others == ["tags", "weight"] and out["a"].page == 3 and out["a"].last_updated.year == 2024 and out["a"].related_chunk_ids is None
+    assert out["b"].page is None and out["b"].related_chunk_ids == [] and out["b"].related_text_chunks == [] and out["b"].metadata_version == "1.1"
+    for name, text in rows:
+        if text is not None:
+            (tmp_path / f"{name}.x.json").write_text(text + "\n")
+    e = Engine(spark, str(tmp_path / "s"))
+    told = {r.state: r.n for r in e.ingest_metadata(metadata.sidecars(spark, str(tmp_path))).collect()}
+    assert told == {"current": 1, "old": 2, "corrupt": 2}
+    held = e.metadata(spark.createDataFrame([("a.x",), ("c.x",)], "id string"))
+    got = held.select("id", metadata.field("weight.kg", "double"), metadata.field("tags[1]"), F.col("last_updated").isNotNull()).collect()
+    assert [tuple(r) for r in got] == [("a.x", 2.5, "q", True)] and e.metadata().count() == 3
+    again = store.as_json(spark.createDataFrame([(1, "x")], "id long, text string"), updated=F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    back = metadata.read(again.select("id", F.col("metadata").alias("value"))).first()
+    assert (back.state, back.text, back.last_updated.year, back.others) == ("current", "x", 2025, ["id"])

@@ -42,7 +42,7 @@ def found(index, asked, k):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    for name, n in (("SLOT_DOCS", 8), ("BUCKET_POSTINGS", 4000), ("FILE_POSTINGS", 900), ("SEEDS", 2)):
+    for name, n in (("SLOT_DOCS", 8), ("FREQUENT", 20), ("BUCKET_POSTINGS", 4000), ("FILE_POSTINGS", 90), ("SEEDS", 2)):
         monkeypatch.setattr(inverted, name, n)
 
 
@@ -59,8 +59,10 @@ def test_stored_index_gives_the_same_and_skips_blocks(spark, tmp_path, small_blo
         assert found(index, asked, k) == found(built, asked, k)
     terms = lambda t: sorted((r.term, r.df, round(r.idf, 9)) for r in t.collect())
     assert terms(index.terms()) == terms(built.terms)
-    # no block is larger than its slot, no document's score passes the bound of its slot
-    assert index.blocks().filter("size(ids) <> n OR n > 40").count() == 0
+    # heads are those of the frequent terms' blocks, no document's score passes the bound of its slot
+    often = {r.term: r.df for r in index.terms().filter("df >= 20").collect()}
+    assert {r.term: r.n for r in index.heads().groupBy("term").agg(F.sum("n").alias("n")).collect()} == often and often
+    assert index.heads().agg(F.max("n")).first()[0] < 40
     weighed = index._weighed(asked)
     bounds = {(r.query_id, r.slot): r.bound for r in index.bounds(weighed).collect()}
     slots = -(-index.state()["segments"][0]["live"] // 8)
@@ -69,12 +71,10 @@ def test_stored_index_gives_the_same_and_skips_blocks(spark, tmp_path, small_blo
     # a query with a rare word reads few blocks, and a plan doesn't read other buckets
     one = spark.createDataFrame([(1, "the zanzibar and of")], "query_id long, query string")
     weighed = index._weighed(one)
-    every, read = (x.agg(F.sum("blocks")).first()[0] for x in (index.bounds(weighed), index.needed(weighed, 1)))
+    every, read = (x.agg(F.sum("postings")).first()[0] for x in (index.bounds(weighed), index.needed(weighed, 1)))
     assert found(index, one, 1) == found(built, one, 1) and read < 0.25 * every
     plan = index.scores(one)._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Python" not in plan
-    heads = index.bounds(weighed)._jdf.queryExecution().executedPlan().toString()
-    assert "ids" not in heads and "tfs" not in heads
     index.release()
 
 
@@ -125,7 +125,7 @@ def test_index_follows_documents_by_segments(spark, tmp_path, small_blocks):
         index.update(frame({953: "y"}), source=102)
     rows[952] = "x"
     index.vacuum(older_than=0)
-    assert same() and {p.name for p in (tmp_path / "index" / "blocks").iterdir()} == {f"segment={s['name']}" for s in index.state()["segments"]}
+    assert same() and {p.name for p in (tmp_path / "index" / "postings").iterdir()} == {f"segment={s['name']}" for s in index.state()["segments"]}
     assert len(index.versions.numbers()) == 1
     index.drop()
     assert not (tmp_path / "index").exists() and index.search(asked, 3).count() == 0
