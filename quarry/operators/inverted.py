@@ -149,12 +149,24 @@ class Inverted:
         return tuple(x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first())
 
     def _write_postings(self, segment: dict, rows: DataFrame) -> None:
-        """rows: slot, id, term, tf, dl, first, by bucket of the term."""
-        count = segment["buckets"]
+        """rows: id, term, tf, dl, first, by bucket of the term. What is moved is term, id and one number."""
+        count, docs = segment["buckets"], segment["live"]
+        slot, bucket = _slot(F.col("id"), docs), _bucket(F.col("term"), count)
+        packed = F.call_function("shiftleft", F.col("tf").cast("long"), F.lit(33)) + F.col("dl").cast("long") * 2 + F.col("first").cast("long")
         # a bucket gets more files than one if its terms may be in so many documents
-        parts = F.pmod(F.xxhash64("slot"), F.lit(max(1, -(-segment["live"] // FILE_POSTINGS))))
-        out = rows.withColumn("bucket", _bucket(F.col("term"), count)).withColumn("file", parts).repartition("bucket", "file")
-        out = out.sortWithinPartitions("bucket", "term", "slot", "id").select("bucket", "term", "slot", "id", "tf", "dl", "first")
+        file = F.pmod(F.xxhash64(slot), F.lit(max(1, -(-docs // FILE_POSTINGS))))
+        moved = rows.select("term", "id", packed.alias("packed")).repartition(bucket, file)
+        low = F.call_function("shiftright", F.col("packed"), F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1))
+        out = moved.select(
+            bucket.alias("bucket"),
+            "term",
+            slot.alias("slot"),
+            "id",
+            F.call_function("shiftright", F.col("packed"), F.lit(33)).cast("int").alias("tf"),
+            low.cast("int").alias("dl"),
+            (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("first"),
+        )
+        out = out.sortWithinPartitions("bucket", "term", "slot", "id")
         out.write.option("parquet.page.row.count.limit", "4096").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment['name']}")
 
     def _counted(self, segment: dict) -> DataFrame:
@@ -353,7 +365,7 @@ class Inverted:
         rows = self.postings(part)
         last = self.gone(part).groupBy("id").agg(F.max("seq").alias("gone"))
         live = sum(s["live"] for s in some)
-        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq").select(_slot(F.col("id"), live).alias("slot"), "id", "term", "tf", "dl", "first")
+        rows = rows.join(last, "id", "left").filter("gone IS NULL OR gone <= seq").select("id", "term", "tf", "dl", "first")
         gone = self.gone(part).select("id").distinct() if start and any(s["gone"] for s in some) else None
         segment = {"name": uuid.uuid4().hex, "live": live, "docs": sum(s["docs"] for s in some), "words": sum(s["words"] for s in some), "gone": sum(s["gone"] for s in some) if start else 0, "seq": some[-1]["seq"]}
         segment["buckets"] = self._buckets(sum(s["postings"] for s in some))
