@@ -21,5 +21,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """a over its norm, which is bound once, so that it isn't computed anew for each component."""
+    over = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), over), F.lit(0))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import cosine, norm
+from quarry.functions.vectors import cosine, norm, normalise
 from quarry.operators.common import broadcast_if_small, ranked
 from quarry.operators.store import Conflict, Versions
 
@@ -90,8 +90,7 @@ class Centroids:
         new = self.spark.createDataFrame([], f"id {kind}, embedding array<float>") if new is None else new.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
         size = norm(F.col("embedding"))
         fine = F.coalesce(F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (size > 0) & (size < float("inf")), F.lit(False))
-        unit = F.when(fine, F.transform("embedding", lambda c: c.cast("double") / size))
-        rows = new.withColumn("x", unit)
+        rows = new.withColumn("x", F.when(fine, normalise(F.col("embedding"))))
         state = {**base, "id": kind, "source": source}
         if whole or state["centroids"] is None:
             state |= self._refit(rows)
@@ -181,8 +180,7 @@ class Centroids:
         at = self.spark.read.schema("centroid int, x array<double>").parquet(f"{self.path}/centroids/{state['centroids']}")
         facts = broadcast_if_small(facts.join(at, "centroid", "left"))  # MOST_CENTROIDS + 2 rows at most
         q, size = F.col("query_vec"), norm(F.col("query_vec"))
-        unit = F.when(size > 0, F.transform(q, lambda c: c.cast("double") / size))
-        asked = queries.filter("query_vec IS NOT NULL").select("query_id", "query_vec", unit.alias("u"))
+        asked = queries.filter("query_vec IS NOT NULL").select("query_id", "query_vec", F.when(size > 0, normalise(q)).alias("u"))
         off = F.sqrt(F.aggregate(F.zip_with("u", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
         near = F.greatest(F.col("off") - F.col("radius"), F.lit(0.0))
         flat = (F.col("centroid") == FLAT) | F.col("u").isNull() | (F.size("u") != F.size("x"))

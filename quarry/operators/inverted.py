@@ -16,8 +16,7 @@ A search
 2. scores the most promising slots; the k-th best score is a threshold;
 3. reads the blocks of the slots whose bounds together reach it. The result is that of scoring everything.
 
-Texts are dealt by slot once and counted where they lie; the postings are moved once more, to the bucket of
-their term. Buckets follow the size of the segment, and a bucket is dealt to several files by slot where its
+Words are counted in the row of their text; the postings are moved once, to the bucket of their term. Buckets follow the size of the segment, and a bucket is dealt to several files by slot where its
 terms are frequent, so no task writes much more than FILE_POSTINGS.
 """
 
@@ -58,13 +57,16 @@ def _slot(id_: Column, docs: int) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(max(1, -(-docs // SLOT_DOCS)))).cast("long")
 
 
-def _postings(rows: DataFrame, docs: int) -> DataFrame:
-    """(slot, id, term, tf, dl, first) of rows (id, text); first: whether the term is the document's first, so
-    that these count the documents. A document is dealt to a task whole and counted there."""
-    dealt = rows.select("id", "text", _slot(F.col("id"), docs).alias("slot")).repartition("slot")
-    words = dealt.select("slot", "id", tokens(F.col("text")).alias("words"))
-    one = words.select("slot", "id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
-    return one.groupBy("slot", "id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), (F.min("at") == 0).alias("first"))
+def _postings(rows: DataFrame) -> DataFrame:
+    """(id, term, tf, dl, first) of rows (id, text); first: whether the term is the document's first, so that
+    these count the documents. Words are sorted and counted within the row, so that nothing is moved."""
+    words = rows.select("id", tokens(F.col("text")).alias("words"))  # not filtered, which would cut the texts twice
+    words = words.select("id", F.size("words").alias("dl"), F.get("words", F.lit(0)).alias("head"), F.sort_array("words").alias("words"))
+    new = lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+    starts = words.withColumn("starts", F.when(F.col("dl") > 0, F.filter(F.sequence(F.lit(0), F.col("dl") - 1), new)))
+    run = lambda at, k: F.struct(F.get("words", at).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("dl")) - at).alias("tf"))
+    one = starts.select("id", "dl", "head", F.inline(F.transform("starts", run)))
+    return one.select("id", "term", "tf", "dl", (F.col("term") == F.col("head")).alias("first"))
 
 
 def _bucket(term: Column, count: int) -> Column:
@@ -114,8 +116,8 @@ class Inverted:
         (docs, size), (less, gone_size) = self._extent(came), self._extent(went)
         if docs or less:
             segment = {"name": name, "live": docs, "buckets": self._buckets((size + gone_size) // BYTES_A_POSTING), "gone": less}
-            self._write_postings(segment, _postings(came, docs))
-            lost = _postings(went, less).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"), F.count_if("first").alias("docs"))
+            self._write_postings(segment, _postings(came))
+            lost = _postings(went).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"), F.count_if("first").alias("docs"))
             self._write_rest(segment, self._counted(segment), lost, went.select("id").distinct() if less else None)
             base["segments"] = [*base["segments"], segment]
         state = {**base, "id": kind, "source": source}
