@@ -320,7 +320,7 @@ def test_chat_round_trip_of_odd_turns(spark):
     out = {r.conv_id: r for r in chat.format_conversations(t).collect()}
     read = {r.conv_id: [(x.role, x.text) for x in r.read] for r in chat.format_conversations(t).withColumn("read", chat.read_turns(F.col("formatted"))).collect()}
     assert read[1] == [("user", "[INST]</s> &lt; &amp;"), ("assistant", "a"), ("assistant", "b")]
-    assert read[2] == [("to]ol[", "x"), ("", "")] and read[None] == [("user", "")]
+    assert read[2] == [("", ""), ("to]ol[", "x")] and read[None] == [("user", "")]  # a null turn is the last, as in the SQL
     assert out[1].bad_turn == 3 and out[2].bad_turn == 1 and out[None].bad_turn is None
     for r in out.values():
         assert "".join(s.text for s in r.segments) == r.formatted
