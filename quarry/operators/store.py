@@ -300,7 +300,10 @@ class Store:
         files = sum(max(1, -(-n // self.file_rows)) for _, n in leaves.values())
         path = f"{self.path}/{name}/data/{folder}"
         out = dealt.repartition(files, "leaf", "_file").sortWithinPartitions("leaf", *key).drop("_depth", "_bits", "_files", "_file")
-        out.write.options(maxRecordsPerFile=2 * self.file_rows, **{"parquet.block.size": self.ROW_GROUP}).partitionBy("leaf").parquet(path)
+        groups = {"parquet.block.size": self.ROW_GROUP}
+        if any(kind == "binary" for _, kind in rows.dtypes):
+            groups["parquet.block.row.count.limit"] = 256
+        out.write.options(maxRecordsPerFile=2 * self.file_rows, **groups).partitionBy("leaf").parquet(path)
         done = self.spark.read.schema("leaf string").parquet(path).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         sizes = {tuple(map(int, r["leaf"].split("_"))): r["n"] for r in done.collect()}
         return Snapshot(leaves={x: [folder if x in sizes else None, sizes.get(x, 0)] for x in leaves}, schema=_schema(rows))

@@ -80,8 +80,8 @@ ERRORS = "errors"
 _NAMES = {"images": "img", "tables": "table"}
 #: Bytes and rows that a task gathers before it hands them on.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 1024
-#: Bytes of a row group.
-ROW_GROUP = 16 << 20
+#: Row groups of tables with images: bytes as they are stored, and rows, since stored bytes may be a small part.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.row.count.limit": "256"}
 
 
 def _box(box: Box) -> dict | None:
@@ -154,7 +154,7 @@ def _safe(start: Callable[[], Iterator[dict]]) -> Iterator[dict]:
 def write(decoded: DataFrame, path: str) -> None:
     """Items by part. Row groups are small, since a reader takes thousands of rows of one at a time, and an
     image may have megabytes."""
-    decoded.write.partitionBy("part").option("parquet.block.size", ROW_GROUP).parquet(path)
+    decoded.write.partitionBy("part").options(**SMALL_GROUPS).parquet(path)
 
 
 def part(decoded: DataFrame, name: str) -> DataFrame:

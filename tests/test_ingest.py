@@ -16,12 +16,13 @@ WORDS = Models(embed_image=lambda xs: hashed_bag(["a picture"] * len(xs)))
 
 def test_a_file_of_thousands_of_pages_and_images_takes_little_memory(spark, tmp_path):
     def long(content):
+        import random
         import resource
 
         before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
         for page in range(1, 2001):
             yield "pages", page, f"page {page}"
-            yield "images", page, "png", None, bytes([page % 256]) * 200_000
+            yield "images", page, "png", None, random.Random(page).randbytes(200_000) if page % 2 else bytes(200_000)
         yield "pages", 2001, str((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 
     (tmp_path / "in").mkdir()
