@@ -25,4 +25,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from quarry import catalogue
+
+    catalogue.release()
     s.stop()
