@@ -380,6 +380,25 @@ def test_similarity_of_all_pairs_in_blocks(spark, monkeypatch):
     assert sum(r.n_pairs for r in dense.pair_summary(v).collect()) == len(want)
 
 
+def test_similarity_moves_a_vector_a_few_times_and_counts_at_the_limits(spark, monkeypatch):
+    for name, n in (("BLOCK", 1), ("STRIP", 5), ("COLUMNS", 7)):
+        monkeypatch.setattr(dense, name, n)
+    at = [0.5, 0.5 - 4e-7, 0.5 - 6e-7, 0.6, 0.6 - 6e-7, 0.7, 0.7 + 4e-7, 0.7 + 6e-7, 0.8, 0.8 - 4e-7, 0.8 - 6e-7, -0.9, 0.99]
+    rows = [(i, [c, math.sqrt(1 - c * c)]) for i, c in enumerate(at)] + [(50 + i, [2.0, 0.0]) for i in range(30)] + [(50, [1.0, 0.0]), (90, None), (91, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+
+    def similarity(x, y):
+        return math.nan if any(z is not None and any(map(math.isnan, z)) for z in (x, y)) else round(sum(a * b for a, b in zip(x, y, strict=True)) / math.hypot(*x) / math.hypot(*y), 6) if x and y else 0.0
+
+    s = [similarity(x, y) for a, x in rows for b, y in rows if a < b]
+    low, medium, high = [z for z in s if not z >= 0.6], [z for z in s if 0.6 <= z < 0.8], [z for z in s if z >= 0.8]
+    want = {n: (len(zs), sum(z > 0.7 for z in zs), sum(z < 0.5 for z in zs)) for n, zs in (("low", low), ("medium", medium), ("high", high))}
+    assert {r[0]: tuple(r[1:]) for r in dense.pair_summary(v).collect()} == want
+    assert dense.pairs(v).count() == len(s) and dense.pair_summary(v.limit(0)).count() == 0
+    # 8 blocks, where there were as many as vectors and each was sent to all
+    assert ", 36)" in dense.pairs(v)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_engine_of_text_images_and_tables(spark, tmp_path):
     import base64
 
