@@ -78,6 +78,34 @@ def test_stored_index_gives_the_same_and_skips_blocks(spark, tmp_path, small_blo
     index.release()
 
 
+def test_search_of_texts_gives_the_same_and_stores_nothing(spark, monkeypatch):
+    rows = [(1, "the cat the dog"), (2, "The bird"), (3, None), (4, "..."), (5, "dog dog dog cat"), (6, "the the the")]
+    chunks = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([(1, "the dog, the cat"), (2, "unheard bird"), (3, ""), (4, "dog")], "query_id long, query string")
+    index = bm25.build(chunks)
+    for most in (1_000, 0):
+        monkeypatch.setattr(bm25, "MOST_NAMED", most)
+        texts = bm25.Texts(chunks)
+        for k in (2, 10):
+            got, want = ({(r.query_id, r.rank, r.id): r.bm25_score for r in x.search(asked, k).collect()} for x in (texts, index))
+            assert got == pytest.approx(want) and want
+        assert bm25.Texts(chunks.limit(0)).search(asked, 2).count() == 0
+        texts.release()
+    index.release()
+
+
+def test_hybrid_queries_store_no_index_and_move_no_texts(spark):
+    catalogue.release()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("hybrid_topk", "hybrid_section_filter"):
+            plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert not catalogue._INDEXES, name
+            assert re.search(r"BroadcastHashJoin \[id#\w+\], \[id#\w+\], LeftOuter", plan) and not re.search(r"SortMergeJoin \[id#\w+\], \[id#\w+\], LeftOuter", plan), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_index_follows_documents_by_segments(spark, tmp_path, small_blocks):
     rows = {r.id: r.text for r in schemas.chunks(spark, SMALL).collect()}
     frame = lambda d: spark.createDataFrame(list(d.items()), "id long, text string")
