@@ -98,7 +98,7 @@ def test_hybrid_queries_store_no_index_and_move_no_texts(spark):
     catalogue.release()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("hybrid_topk", "hybrid_section_filter", "retrieve_text", "template_answer"):
+        for name in ("hybrid_topk", "hybrid_section_filter", "retrieve_text", "template_answer", "mmr_select"):
             plan = catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
             assert not catalogue._INDEXES, name
             assert re.search(r"BroadcastHashJoin \[id#\w+\], \[id#\w+\], LeftOuter", plan) and not re.search(r"SortMergeJoin \[id#\w+\], \[id#\w+\], LeftOuter", plan), name
