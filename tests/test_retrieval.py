@@ -168,6 +168,27 @@ def exact(spark, rows, asked, k):
     return sorted((r.query_id, r["rank"], r.id, round(r.dense_score, 9)) for r in dense.search(vectors, asked, k).collect())
 
 
+def test_merge_moves_postings_once(spark, tmp_path, monkeypatch):
+    plans, write = [], inverted.Inverted._write_postings
+
+    def seen(self, segment, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(self, segment, rows)
+
+    monkeypatch.setattr(inverted.Inverted, "_write_postings", seen)
+    rows = [spark.createDataFrame(r, "id long, text string") for r in ([(1, "cat dog"), (2, "bird")], [(1, "dog")], [(1, "cat dog")])]
+    index = inverted.Inverted(spark, str(tmp_path / "i"))
+    index.update(rows[0], whole=True)
+    index.update(rows[1], rows[2])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert index.compact(0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
+    assert {(r.term, r.df) for r in index.terms().collect()} == {("dog", 1), ("bird", 1)}
+
+
 def test_vector_index_is_exact_and_skips_partitions(spark, tmp_path, monkeypatch):
     import random
 
