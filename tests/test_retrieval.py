@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +449,47 @@ def test_similarity_moves_a_vector_a_few_times_and_counts_at_the_limits(spark, m
     assert ", 36)" in dense.pairs(v)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_the_similarity_matrix_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 1 << 12)  # a block
+    size = lambda path: sum(f.stat().st_size for f in path.glob("*.parquet"))
+    for name, most, x in (("many", 0.85, F.randn), ("few", 1.05, lambda k: F.signum(F.randn(k)))):  # many and few different similarities
+        rows = spark.range(0, 2000, 1, 2).select(F.col("id").alias("vec_id"), F.array(*[x(k).cast("float") for k in range(64)]).alias("embedding"))
+        rows.write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        found = catalogue.queries()["similarity_matrix"](spark, str(tmp_path / name))
+        found.write.parquet(str(tmp_path / name / "found"))
+        written = spark.read.parquet(str(tmp_path / name / "found"))
+        assert written.distinct().count() == written.count() == 2000 * 1999 // 2
+        written.coalesce(1).sortWithinPartitions("a", "b").write.parquet(str(tmp_path / name / "by_ids"))
+        assert size(tmp_path / name / "found") < most * size(tmp_path / name / "by_ids")
+
+
+def test_rounded_similarities(spark, monkeypatch):
+    odd = [1.0, 127.0, 15.0, 5.0, 2.0]  # of length 128
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0]), (2, odd), (3, [-odd[0], *odd[1:]]), (3, [2.0, 0.0, 0.0, 0.0, 0.0]), (4, None), (5, [math.nan, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(20 - i, [math.cos(i * k) for k in range(1, 6)]) for i in range(9)] + [(30 + i, [0.0, 0.0, 0.0, 0.0, -2.0 - i]) for i in range(40)]
+
+    def similarity(x, y):
+        if x is None or y is None:
+            return "nan" if any(map(math.isnan, x or y or [])) else 0.0
+        s = sum(a * b for a, b in zip(x, y, strict=True)) / (math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y)))
+        return "nan" if math.isnan(s) else math.copysign(math.floor(abs(s) * 1e6 + 0.5), s) / 1e6 + 0.0
+
+    shown = lambda s: "nan" if math.isnan(s) else s
+    want = sorted((a, b, str(similarity(x, y))) for a, x in rows for b, y in rows if a < b)
+    assert (1, 2, "0.007813") in want and (1, 3, "-0.007813") in want  # 1 / 128 lies between two
+    v = spark.createDataFrame([*rows, (None, odd)], "id long, embedding array<double>").repartition(3)
+    assert sorted((r.a, r.b, str(shown(r.similarity))) for r in dense.pairs(v, 6).collect()) == want
+    assert dense.pairs(v.limit(0), 6).count() == 0
+    # areas, rows and batches of few pairs, in either order
+    x = np.array([[0.0] * 5 if r[1] is None else r[1] for r in rows])
+    parts = [dense._Block.of([(np.array([r[0] for r, k in zip(rows, keep, strict=True) if k]), x[keep])], 5) for keep in (np.array([r[0] < 16 for r in rows]), np.array([r[0] >= 16 for r in rows]))]
+    for area, row, batch, dictionary in ((64, 5, 10, 3), (64, 7, 3, 1000), (8, 8, 8, 8), (1 << 24, 1 << 14, 5, 0)):
+        for k, n in (("AREA", area), ("LONGEST_ROW", row), ("BATCH", batch), ("DICTIONARY", dictionary), ("STRIP", 3)):
+            monkeypatch.setattr(dense, k, n)
+        found = [p for a, b in ((0, 0), (0, 1), (1, 1)) for t in dense._rounded_rows(parts[a], parts[b], 6) for p in t.to_pylist()]
+        assert sorted((r["a"], r["b"], str(shown(r["similarity"]))) for r in found) == want
+
+
 def test_engine_of_text_images_and_tables(spark, tmp_path):
     import base64
 
